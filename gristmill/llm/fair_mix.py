@@ -106,3 +106,16 @@ def sized(docs: DataFrame) -> DataFrame:
 def op4_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix(sized(docs)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, with their own columns."""
+    took = mix(sized(docs), **options).select("doc_id", "tie", "epochs").groupBy("doc_id", "tie").agg(F.sum("epochs").alias("epochs"), F.count(F.lit(1)).alias("rows"))
+    took = materialize(took, "mix-epochs")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("i"), F.xxhash64("text").alias("t"))
+    per = F.col("epochs")
+    if took.where("rows > 1").limit(1).count():  # copies of one row share what they take, the first ones one more
+        rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("i", "t").orderBy(F.xxhash64("doc"))))
+        per = F.floor(F.col("epochs") / F.col("rows")) + F.when(F.col("k") <= F.col("epochs") % F.col("rows"), 1).otherwise(0)
+    out = rows.join(took.where("epochs > 0"), F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("tie"))).withColumn("n", per.cast("int")).where("n > 0")
+    return out.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("n")))).select("doc.*")

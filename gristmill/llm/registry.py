@@ -8,13 +8,22 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = {
+    "op1_bradley_terry": "quality_bt",
     "op2_token_planes": "token_files",
+    "op3_risk_rules": "risk_rules",
     "op4_fair_mix": "fair_mix",
+    "op6_lang_embeddings": "langid",
+    "op7_linked_secrets": "secrets",
+    "op9_min_max": "minmax",
+    "op10_prefix_join": "decontam",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: getattr(import_module(f"gristmill.llm.{module}"), name) for name, module in MODULES.items()}
+    out = {name: getattr(import_module(f"gristmill.llm.{module}"), name) for name, module in MODULES.items()}
+    from corpus_pipeline import run
+
+    return out | {"pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:
