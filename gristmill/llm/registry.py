@@ -12,8 +12,10 @@ MODULES = {
     "op2_token_planes": "token_files",
     "op3_risk_rules": "risk_rules",
     "op4_fair_mix": "fair_mix",
+    "op5_chat_round_trip": "chat",
     "op6_lang_embeddings": "langid",
     "op7_linked_secrets": "secrets",
+    "op8_warc_segments": "warc",
     "op9_min_max": "minmax",
     "op10_prefix_join": "decontam",
 }
