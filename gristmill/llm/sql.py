@@ -1,3 +1,120 @@
-"""SQL that gives the rows of the queries of this subpackage."""
+"""SQL that gives the rows of the queries of this subpackage, for an engine with RE2 expressions and list functions.
 
-ORACLE_SQL: dict[str, str] = {}
+None for scores, tokenizers, archives and hashes that SQL lacks: those are tested against plain programs.
+"""
+
+from __future__ import annotations
+
+from gristmill.llm.decontam import WINDOW
+from gristmill.llm.fair_mix import REPEATS, WEIGHTS
+from gristmill.llm.risk_rules import DELTA, FEATURES, MIN_WORDS, RISK, RULES
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_GAP = r"[\x20\x09-\x0D]+"
+_LETTERS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _split(text: str, gap: str) -> str:
+    return f"list_filter(string_split_regex({text}, '{gap}'), lambda x: x <> '')"
+
+
+def _lowered(text: str) -> str:
+    return f"translate(coalesce({text}, ''), '{_UPPER}', '{_UPPER.lower()}')"
+
+
+# --- risk-controlled rules ------------------------------------------------------------------------------------------
+
+
+def _ratio(rule: str) -> str:
+    top, bottom = RULES[rule][0].split(" / ")
+    return f"CASE WHEN {bottom} > 0 THEN CAST({top} AS DOUBLE) / {bottom} ELSE 0 END"
+
+
+_GRID = " UNION ALL ".join(f"SELECT stratum, '{r}' AS rule, {i} AS step, CAST({c} AS DOUBLE) AS cut, n, k_{r}_{i} AS k FROM held" for r, (_, cs) in RULES.items() for i, c in enumerate(cs))
+_SUMS = ", ".join(f"count(*) FILTER ({_ratio(r)} > {c}) AS k_{r}_{i}" for r, (_, cs) in RULES.items() for i, c in enumerate(cs))
+_REJECTS = " OR ".join(f"coalesce({_ratio(r)} > c.cut_{r}, false)" for r in RULES)
+_CUTS = ", ".join(f"min(cut) FILTER (rule = '{r}') AS cut_{r}" for r in RULES)
+
+RISK_RULES = rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, u.w, u.i FROM d, unnest({_split("text", _GAP)}) WITH ORDINALITY AS u(w, i)),
+g AS (SELECT doc_id, i, w || ' ' || lead(w, 1) OVER (PARTITION BY doc_id ORDER BY i) || ' ' || lead(w, 2) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM w),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g WHERE g IS NOT NULL) WHERE c > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM again, (VALUES (0), (1), (2)) AS t(o) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup FROM d, unnest(string_split(text, chr(10))) AS u(x) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+f AS (SELECT d.doc_id, d.lang AS stratum, len({_split("text", _GAP)}) AS n_words, len(regexp_replace(text, '{_GAP}', '', 'g')) AS word_chars, len(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+    coalesce(l.n_dup, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, coalesce(l.n_lines, 0) AS n_lines, len(regexp_replace(text, '[^!]+', '', 'g')) AS n_bangs, len(regexp_replace(text, '[^A-Z]+', '', 'g')) AS n_capitals
+  FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN lines l USING (doc_id)),
+m AS (SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM f),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
+held AS (SELECT stratum, count(*) AS n, {_SUMS} FROM m WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY stratum),
+grid AS ({_GRID}),
+tails AS (SELECT stratum, rule, step, cut, CASE WHEN k >= n * CAST({RISK} AS DOUBLE) THEN 1.0 ELSE (
+    SELECT sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln(CAST({RISK} AS DOUBLE)) + (n - i) * ln(CAST({1 - RISK} AS DOUBLE)))) FROM unnest(range(0, k + 1)) AS u(i)) END AS p FROM grid),
+passed AS (SELECT stratum, rule, step, cut, max(CASE WHEN p <= CAST({DELTA} AS DOUBLE) / {len(RULES)} / (SELECT count(*) FROM held) THEN 0 ELSE 1 END) OVER (PARTITION BY stratum, rule ORDER BY step) AS stopped FROM tails),
+cuts AS (SELECT stratum, {_CUTS} FROM passed WHERE stopped = 0 GROUP BY stratum)
+SELECT doc_id, {", ".join(f"CAST({x} AS BIGINT) AS {x}" for x in FEATURES)}, base_failed, (NOT base_failed AND NOT ({_REJECTS})) AS kept
+FROM m LEFT JOIN cuts c ON m.stratum IS NOT DISTINCT FROM c.stratum
+"""
+
+# --- fair mixing ----------------------------------------------------------------------------------------------------
+
+FAIR_MIX = rf"""
+WITH s AS (SELECT doc_id, source, CAST(len({_split("coalesce(text, '')", _GAP)}) AS BIGINT) AS size, CAST('0x' || substr(md5('mix' || CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) AS key FROM documents),
+b AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY source),
+p AS (SELECT *, list_extract([{", ".join(map(str, WEIGHTS))}], CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1 AS BIGINT)) AS w, {REPEATS} * source_size AS cap FROM b),
+r AS (SELECT *, CAST(cap AS DOUBLE) / w AS ratio FROM p),
+v AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - CAST(coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
+    / CAST(sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS level FROM r),
+x AS (SELECT *, max(CASE WHEN level <= ratio THEN level END) OVER () AS top, max(CASE WHEN level <= ratio THEN 1 ELSE 0 END) OVER (ORDER BY ratio, source NULLS LAST) AS fits FROM v),
+t AS (SELECT source, source_size, CASE WHEN fits = 1 THEN w * top ELSE CAST(cap AS DOUBLE) END AS target FROM x),
+q AS (SELECT s.*, t.source_size, t.target, sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id ROWS UNBOUNDED PRECEDING) AS cum FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
+i AS (SELECT doc_id, source, size, epoch, key, CAST(epoch * source_size + cum AS DOUBLE) / target AS finish FROM q, (VALUES {", ".join(f"({e})" for e in range(REPEATS))}) AS e(epoch) WHERE size > 0 AND target > 0),
+run AS (SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, key, doc_id, epoch ROWS UNBOUNDED PRECEDING) AS spent FROM i),
+took AS (SELECT doc_id, count(*) AS n FROM run WHERE spent <= (SELECT sum(target) FROM t) + 0.5 GROUP BY doc_id)
+SELECT q.doc_id, q.size, q.source_size, q.target, CAST(q.size * coalesce(took.n, 0) AS BIGINT) AS taken FROM q LEFT JOIN took USING (doc_id)
+"""
+
+# --- chat -----------------------------------------------------------------------------------------------------------
+
+_CONTROL = r"([\[<])(\\*)(/?INST\]|/?SYS\]|/?ROLE\]|TEXT\]|/?s>)"
+
+CHAT = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, regexp_matches(text, '{_CONTROL}') OR (role NOT IN ('user', 'assistant', 'system') AND regexp_matches(role, '{_CONTROL}')) AS hard, regexp_replace(text, '{_CONTROL}', '\1\2\\\3', 'g') AS safe FROM c),
+f AS (SELECT *, bool_or(hard) OVER (PARTITION BY conv_id) AS escaped FROM e),
+t AS (SELECT *, len(CASE WHEN escaped THEN safe ELSE text END) + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 WHEN 'system' THEN 11 ELSE 19 + len(role) END AS chars FROM f)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars, bool_or(hard) AS escaped, true AS round_trip
+FROM t GROUP BY conv_id
+"""
+
+# --- decontamination ------------------------------------------------------------------------------------------------
+
+_NEXT = " || ' ' || ".join(["w", *(f"lead(w, {k}) OVER (PARTITION BY id ORDER BY i)" for k in range(1, WINDOW))])
+
+DECONTAMINATION = rf"""
+WITH d AS (SELECT doc_id AS id, {_split(_lowered("text"), _LETTERS)} AS words FROM documents),
+b AS (SELECT item_id AS id, {_split(_lowered("text"), _LETTERS)} AS words FROM benchmark),
+dw AS (SELECT id, words, u.w, u.i FROM d, unnest(words) WITH ORDINALITY AS u(w, i)),
+bw AS (SELECT id, u.w, u.i FROM b, unnest(words) WITH ORDINALITY AS u(w, i)),
+bg AS (SELECT id, {_NEXT} AS g FROM bw),
+dg AS (SELECT id, i, {_NEXT} AS g FROM dw),
+full_hits AS (SELECT dg.id, dg.i, {WINDOW} AS n, bg.id AS item FROM dg JOIN bg USING (g)),
+short AS (SELECT id AS item, words AS win, len(words) AS n FROM b WHERE len(words) BETWEEN 1 AND {WINDOW - 1}),
+short_hits AS (SELECT dw.id, dw.i, short.n, short.item FROM dw JOIN short ON dw.w = short.win[1] WHERE array_slice(dw.words, dw.i, dw.i + short.n - 1) = short.win),
+h AS (SELECT DISTINCT id, i, n, item FROM (SELECT * FROM full_hits UNION ALL SELECT * FROM short_hits)),
+hit AS (SELECT id, count(DISTINCT p) AS n_hit FROM (SELECT id, unnest(range(CAST(i AS BIGINT), CAST(i + n AS BIGINT))) AS p FROM h) GROUP BY id),
+names AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT id, CAST(item AS VARCHAR) AS item FROM h) GROUP BY id)
+SELECT d.id AS doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, (n_hit IS NOT NULL) AS contaminated
+FROM d LEFT JOIN hit USING (id) LEFT JOIN names USING (id)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_risk_rules": RISK_RULES,
+    "op4_fair_mix": FAIR_MIX,
+    "op5_chat_round_trip": CHAT,
+    "op10_prefix_join": DECONTAMINATION,
+}
