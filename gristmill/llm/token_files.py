@@ -38,40 +38,85 @@ FILE_IDS = 8_000_000
 MANIFEST = "part int, seq int, path string, size long, n_docs long, n_ids long"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 #: White space that str.split() knows besides the six ASCII ones: texts that hold any are encoded whole.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_NOT_LATIN = re.compile("[^\x00-\xff]")
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-z0-9ªµºß-öø-ÿ²³¹¼½¾]+")
 
 
 # --- encoding -------------------------------------------------------------------------------------------------------
 
 
 class WordEncoder:
-    """Encodes texts by a tokenizer whose tokens never span ASCII white space, keeping the ids of words seen before."""
+    """Encodes texts by a tokenizer whose tokens never span white space, keeping the ids of words and pieces seen before.
 
-    def __init__(self, path: str, words: int = 500_000, chars: int = 16_000_000):
+    Words come apart into pieces (runs of letters, single digits, runs of others) as the tokenizer's own pattern cuts
+    them; so much is known here for Latin-1.  Words with other characters, or with a special token's brackets, and texts
+    with odd white space go to the tokenizer whole.
+    """
+
+    def __init__(self, path: str, words: int = 400_000, pieces: int = 800_000, chars: int = 24_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
-        self.limits, self.known, self.chars = (words, chars), {}, 0
-
-    def _learn(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, self.dtype).tobytes()
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 65536 else "<u4")
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.limits = (words, pieces, chars)
+        self.words, self.pieces, self.chars = {}, {}, 0
+
+    def _forget(self) -> None:
+        """Keeps what is known within its bounds."""
+        if len(self.words) > self.limits[0]:
+            self.words = {}
+        if len(self.pieces) > self.limits[1] or self.chars > self.limits[2]:
+            self.words, self.pieces, self.chars = {}, {}, 0
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        """Many at once: each ends with its only token that closes a word."""
+        for i in range(0, len(pieces), 1000):
+            part = pieces[i : i + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part) and cuts[-1] == len(ids):
+                raw, at = ids.tobytes(), [0, *(cuts * self.dtype.itemsize).tolist()]
+                found = [raw[a:b] for a, b in zip(at, at[1:])]
+            else:
+                found = [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            self.pieces.update(zip(part, found, strict=True))
+        self.chars += sum(map(len, pieces))
+
+    def _learn(self, words: set[str]) -> None:
+        apart = {w: None if _NOT_LATIN.search(w) or "<|" in w else _PIECE.findall(w.lower()) for w in words}
+        self._learn_pieces(list({p for ps in apart.values() if ps for p in ps if p not in self.pieces}))
+        whole = [w for w, ps in apart.items() if ps is None]
+        for w, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+            self.words[w] = np.array(e.ids, self.dtype).tobytes()
             self.chars += len(w)
+        get = self.pieces.__getitem__
+        self.words.update((w, b"".join(map(get, ps))) for w, ps in apart.items() if ps is not None)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > self.limits[0] or self.chars > self.limits[1]:
-            self.known, self.chars = {}, 0
+        self._forget()
         split = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
-        self._learn([w for w in set().union(*(s for s in split if s)) if w not in self.known])
-        get = self.known.__getitem__
+        self._learn(set().union(*(s for s in split if s)) - self.words.keys())
+        get = self.words.__getitem__
         return [
             np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.dtype) if s is None else np.frombuffer(b"".join(map(get, s)), self.dtype)
             for t, s in zip(texts, split, strict=True)
         ]
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """One for all tasks of a worker process."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 # --- the file format ------------------------------------------------------------------------------------------------
 
 
@@ -168,7 +213,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq, run = WordEncoder(tokenizer_path), TaskContext.get().partitionId(), 0, uuid.uuid4().hex[:12]
+        words, part, seq, run = encoder(tokenizer_path), TaskContext.get().partitionId(), 0, uuid.uuid4().hex[:12]
         end = np.array([end_id], "<u4")
         keys, held, n = [], [], 0
 
@@ -183,7 +228,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         for b in batches:
             for i in range(0, len(b), 256):
                 piece = b.slice(i, 256)
-                for key, ids in zip(piece.column(0).to_pylist(), encoder.encode([t or "" for t in piece.column(1).to_pylist()]), strict=True):
+                for key, ids in zip(piece.column(0).to_pylist(), words.encode([t or "" for t in piece.column(1).to_pylist()]), strict=True):
                     keys.append(key)
                     held.append(np.concatenate([ids.astype("<u4"), end]))
                     n += len(held[-1])
