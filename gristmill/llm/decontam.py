@@ -92,8 +92,11 @@ def hits(texts: DataFrame, segs: DataFrame, block: int = BLOCK) -> DataFrame:
         near = at.join(F.broadcast(s), "key").where((F.size("words") >= F.col("win")) & (left | right))
         shift = F.col("pos") - F.col("off")
         whole = F.filter(F.sequence(F.lit(0), F.size("seg") - F.col("win")), lambda w: (w + shift >= 0) & (F.slice("words", F.greatest(w + shift + 1, F.lit(1)), F.col("win")) == F.slice("seg", w + 1, F.col("win"))))
-        near = near.select("d_id", "d_tie", "item", shift.alias("shift"), "win", whole.alias("whole")).where(F.size("whole") > 0)
-        found.append(near.select("d_id", "d_tie", "item", (F.col("shift") + F.array_min("whole")).alias("start"), (F.col("shift") + F.array_max("whole") + F.col("win")).alias("stop")))
+        span = F.when(F.size("whole") > 0, F.struct((F.col("shift") + F.array_min("whole")).alias("start"), (F.col("shift") + F.array_max("whole") + F.col("win")).alias("stop")))
+        near = near.select("d_id", "d_tie", "item", shift.alias("shift"), "win", whole.alias("whole"))
+        # an outer explode holds the check above the join, whose condition then stays compiled
+        near = near.select("d_id", "d_tie", "item", F.explode_outer(F.array(span)).alias("at")).where("at is not null")
+        found.append(near.select("d_id", "d_tie", "item", "at.start", "at.stop"))
     if not found:
         return texts.select("d_id", "d_tie", F.lit(None).cast("string").alias("item"), F.lit(0).alias("start"), F.lit(0).alias("stop")).where("false")
     return _union(found)
