@@ -110,15 +110,11 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: f
     sums = [F.sum(F.when(_ratio(r) > c, 1).otherwise(0)).alias(f"{r}_{i}") for r, (_, cs) in RULES.items() for i, c in enumerate(cs)]
     counts = held.groupBy("_stratum").agg(F.count(F.lit(1)).alias("n"), *sums)  # a row a stratum
     counts = counts.withColumn("level", F.lit(delta) / len(RULES) / F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
-    chosen = []
-    for r, (_, cs) in RULES.items():
-        passed, use = F.lit(True), F.lit(None).cast("double")
-        for i, c in enumerate(cs):
-            passed = passed & (F.col(f"p_{r}_{i}") <= F.col("level"))
-            use = F.when(passed, F.lit(c)).otherwise(use)
-        chosen.append(use.alias(f"cut_{r}"))
-    counts = counts.withColumns({f"p_{r}_{i}": binomial_tail(F.col(f"{r}_{i}"), F.col("n"), risk) for r, (_, cs) in RULES.items() for i in range(len(cs))})
-    return counts.select(F.col("_stratum").alias("c_stratum"), *chosen)
+    steps = [F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cut"), F.col(f"{r}_{i}").alias("k")) for r, (_, cs) in RULES.items() for i, c in enumerate(cs)]
+    tests = counts.select("_stratum", "n", "level", F.explode(F.array(*steps)).alias("t")).select("_stratum", "n", "level", "t.*")
+    tests = tests.withColumn("failed", (binomial_tail(F.col("k"), F.col("n"), risk) > F.col("level")).cast("int"))
+    reached = tests.withColumn("stopped", F.max("failed").over(Window.partitionBy("_stratum", "rule").orderBy("step"))).where("stopped = 0")
+    return reached.groupBy(F.col("_stratum").alias("c_stratum")).agg(*[F.min(F.when(F.col("rule") == r, F.col("cut"))).alias(f"cut_{r}") for r in RULES])
 
 
 def judged(measured: DataFrame, cuts: DataFrame) -> DataFrame:
