@@ -7,12 +7,12 @@ Jaccard similarity.  Bands of ``rows`` entries bring candidates together.
 1. Documents with equal shingle sets (a 128-bit fingerprint) become one class, stood for by its least doc_id.
 2. In every bucket that classes share, all members meet the bucket's least one; the sets of such pairs are compared in
    full; links give components.
-3. While some bucket holds several components, either the next member meets all others of other components, or, when
-   the pairs left are no more than a fixed multiple of the bucket rows, all pairs between components are compared.
-   Pairs inside a component need no comparison: they could not change it.
+3. Buckets that still hold several components are dealt to cells: a bucket's members in blocks of ``cell_rows``, every
+   two blocks one cell.  A cell counts all its intersections at once, as a product of the matrix of members and the
+   shingles that occur twice in it, and returns the links that join components.
 
-So candidates are never all pairs of a group, and no candidate is given up.  With 44 bands of 5 rows a pair at
-similarity 0.75 shares no bucket with a probability below 1e-5.
+So no pair is ever a row unless its members meet in a star or are linked, and no candidate is given up.  With 44 bands
+of 5 rows a pair at similarity 0.75 shares no bucket with a probability below 1e-5.
 
 Rows: null, empty or blank text has an empty set, is linked with nothing and kept.  Fewer words than a shingle are one
 shingle.  Rows that share a doc_id are one document (its texts' links are joined).  A null doc_id is linked with
@@ -36,8 +36,9 @@ SHINGLE_WORDS = 5
 PERMUTATIONS = 110
 ROWS = 5
 PERCENT = 75
-#: All pairs between components are compared at once when they are at most so many for each bucket row.
-PAIRS_A_ROW = 4
+#: Members of a bucket in a block; blocks of a bucket meet two by two.
+CELL_ROWS = 256
+_STRIP = 8192
 _SLICE = 64
 
 
@@ -114,7 +115,57 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return pairs.join(two, "b").join(one, "a").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, permutations: int = PERMUTATIONS, rows: int = ROWS, n: int = SHINGLE_WORDS, pairs_a_row: int = PAIRS_A_ROW) -> DataFrame:
+def joining_links(docs: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between members of different components, as many as join what they join."""
+    m = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    values, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    column, owner = (np.cumsum(shared) - 1)[at], np.repeat(np.arange(m), sizes)
+    use = shared[at]
+    column, owner = column[use], owner[use]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    both = np.zeros((m, m), np.float32)  # counts stay far below 2 ** 24
+    for first in range(0, int(shared.sum()), _STRIP):
+        lo, hi = np.searchsorted(column, [first, first + _STRIP])
+        strip = np.zeros((m, min(_STRIP, int(shared.sum()) - first)), np.float32)
+        strip[owner[lo:hi], column[lo:hi] - first] = 1
+        both += strip @ strip.T
+    linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    linked &= parts[:, None] != parts[None, :]
+    found, top = [], {p: p for p in parts.tolist()}
+
+    def root(p: int) -> int:
+        while top[p] != p:
+            top[p] = top[top[p]]
+            p = top[p]
+        return p
+
+    for i, j in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+        a, b = root(int(parts[i])), root(int(parts[j]))
+        if a != b:
+            top[a] = b
+            found.append((int(docs[i]), int(docs[j])))
+    return found
+
+
+def _between_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of members (band, key, doc, part, blocks) that share a bucket and not a component."""
+
+    def compare(cell: pa.Table) -> pa.Table:
+        sets_ = [np.frombuffer(x.as_buffer(), U) for x in cell["shingles"]]
+        links = joining_links(cell["doc"].to_numpy(), cell["part"].to_numpy(), sets_, percent)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc", "part")
+    full = dealt.join(sets.withColumnRenamed("doc_id", "doc"), "doc")
+    return full.groupBy("band", "key", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, permutations: int = PERMUTATIONS, rows: int = ROWS, n: int = SHINGLE_WORDS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text)."""
     sig = materialize(signatures(docs, permutations, rows, n), "minmax-signatures")
     real = sig.where("n_shingles > 0 and doc_id is not null")
@@ -137,31 +188,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     pairs = members.where("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b"), F.col("n").alias("nb")).distinct()
     pairs = pairs.join(classes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na")), "a")
     near = materialize(confirmed(_fitting(pairs, percent), sets, percent), "minmax-links")
-    while True:
-        parts = connected_components(near)
-        rest = members.where("doc <> pivot").select("band", "key", "doc", "n")
-        rest = materialize(rest.join(parts, F.col("doc") == F.col("node"), "left").select("band", "key", "doc", "n", F.coalesce("component", "doc").alias("part")), "minmax-members")
-        discard(members)
-        buckets = rest.groupBy("band", "key", "part").agg(F.count(F.lit(1)).alias("c"), F.min("doc").alias("d")).groupBy("band", "key").agg(F.count(F.lit(1)).alias("parts"), F.min("d").alias("pivot"), F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("cc"))
-        buckets = materialize(buckets.where("parts > 1"), "minmax-open")
-        left, among = buckets.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("cc")) / 2), F.lit(0.0)), F.coalesce(F.sum("m"), F.lit(0))).first()
-        if not left:
-            break
-        members = materialize(rest.join(buckets.select("band", "key", "pivot"), ["band", "key"]), "minmax-members")
-        discard(rest, buckets)
-        last = left <= pairs_a_row * max(among, 1)
-        x = members.select("band", "key", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-        if not last:
-            x = materialize(members.where("doc = pivot").select("band", "key", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa")), "minmax-pivots")
-        y = members.select("band", "key", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
-        pairs = _fitting(x.join(y, ["band", "key"]).where("pa < pb" if last else "pa <> pb"), percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        near = near.unionByName(materialize(confirmed(pairs, sets, percent), "minmax-links"))
-        if last:
-            break
+    parts = connected_components(near)
+    rest = members.select("band", "key", "doc").join(parts, F.col("doc") == F.col("node"), "left").select("band", "key", "doc", F.coalesce("component", "doc").alias("part"))
+    rest = materialize(rest, "minmax-members")
+    buckets = rest.groupBy("band", "key").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.count(F.lit(1)).alias("m")).where("p0 <> p1")
+    open_ = rest.join(materialize(buckets.select("band", "key", F.ceil(F.col("m") / cell_rows).cast("int").alias("blocks")), "minmax-open"), ["band", "key"])
+    near = near.unionByName(materialize(_between_components(open_, sets, percent), "minmax-links"))
     parts = connected_components(equal.unionByName(near))
     out = sig.select("doc_id", "n_shingles").join(parts, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     out = materialize(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "minmax-result")
-    discard(sig, classes, shared, sets, members)
+    discard(sig, classes, shared, sets, members, rest)
     return out
 
 

@@ -313,8 +313,8 @@ def test_shingle_counts():
     assert [len(s) for s in shingles.shingle_sets(pa.array(texts, pa.string()).slice(5, 9))] == [len(s) for s in plain_sets(texts[5:14])]
 
 
-@pytest.mark.parametrize("pairs", [5.0, 0.0])
-def test_near_duplicates(spark, pairs):
+@pytest.mark.parametrize("cell", [256, 7])
+def test_near_duplicates(spark, cell):
     rng = random.Random(9)
     base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
     texts = hard_texts()
@@ -326,11 +326,11 @@ def test_near_duplicates(spark, pairs):
     texts += [texts[-1]] * 5
     d = docs(spark, texts)
     want = plain_components(plain_sets(texts))
-    got = minmax.near_duplicates(spark, d, pairs_a_doc=pairs).collect()
+    got = minmax.near_duplicates(spark, d, cell_rows=cell).collect()
     assert len(got) == d.count()
     for r in got:
         assert r["component_id"] == want[r["doc_id"]] and r["kept"] == (r["doc_id"] == want[r["doc_id"]]) and r["n_shingles"] == len(plain_sets([texts[r["doc_id"]]])[0])
-    if pairs:
+    if cell == 256:
         one = minmax.keep_one(spark, d)
         assert one.columns == d.columns and sorted(r["doc_id"] for r in one.collect()) == sorted(set(want))
 
