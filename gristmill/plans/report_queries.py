@@ -173,7 +173,7 @@ def row_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     + r""", v AS (SELECT DISTINCT row_idx, id, pos, unnest(regexp_extract_all(text, '\d{3}\.\d{3}')) AS number FROM comments), s AS (SELECT item_id, lpad(CAST(item_id * 25 % 1000 AS VARCHAR), 3, '0') || '.' || lpad(CAST(item_id * 7 % 1000 AS VARCHAR), 3, '0') AS number FROM benchmark),
     k AS (SELECT number, count(*) AS n, count(*) FILTER (pos = 'Oppose') AS oppose, count(*) FILTER (pos = 'Support') AS support FROM v GROUP BY number)
     SELECT s.item_id, s.number, coalesce(n, 0) AS n, coalesce(oppose, 0) AS oppose, coalesce(support, 0) AS support FROM s LEFT JOIN k USING (number)
-    UNION ALL SELECT NULL, number, n, oppose, support FROM k WHERE number NOT IN (SELECT number FROM s)"""
+    UNION ALL SELECT -1, number, n, oppose, support FROM k WHERE number NOT IN (SELECT number FROM s)"""
 )
 def rule_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gristmill.operators import flags
@@ -182,7 +182,7 @@ def rule_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda f: F.lpad((F.col("item_id") * f % 1000).cast("string"), 3, "0")
     s = table(spark, sf_dir, "benchmark").select("item_id", F.concat(part(25), F.lit("."), part(7)).alias("number"))
     known = s.join(k, "number", "left").na.fill(0, ["n", "oppose", "support"]).select("item_id", "number", "n", "oppose", "support")
-    other = k.join(s, "number", "left_anti").select(F.lit(None).cast("long").alias("item_id"), "number", "n", "oppose", "support")
+    other = k.join(s, "number", "left_anti").select(F.lit(-1).cast("long").alias("item_id"), "number", "n", "oppose", "support")
     return known.unionByName(other)
 
 
@@ -326,9 +326,9 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("row_idx", evaluate.review_first(F.col("truth") == F.col("pred"), F.when(F.col("lang") == "fr", "hard"), F.when(F.col("row_idx") % 50 == 0, "?")).alias("review_first"))
 
 
-@query("SELECT percentile // 2 AS short_cutoff FROM (SELECT CAST(quantile_cont(len(text), 0.5) AS BIGINT) AS percentile FROM documents)")
+@query("SELECT CAST(floor(quantile_cont(len(text), 0.5) / 2) AS BIGINT) AS short_cutoff FROM documents")
 def short_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").agg(F.percentile(F.length("text"), 0.5).alias("m")).select(F.floor(F.floor("m") / 2).cast("long").alias("short_cutoff"))
+    return table(spark, sf_dir, "documents").agg(F.percentile(F.length("text"), 0.5).alias("m")).select(F.floor(F.col("m") / 2).cast("long").alias("short_cutoff"))
 
 
 @query("SELECT lang, count(*) AS n, avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END) AS accuracy FROM documents JOIN labels USING (doc_id) GROUP BY lang")
@@ -349,7 +349,7 @@ def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gristmill.storage import scratch_path
 
     src, out, state = (scratch_path(spark, f"stream-{x}") for x in ("in", "out", "state"))
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "ts", "event_type")
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
     e.write.parquet(src)
     incremental.ingest_new(spark, src, out, state)
     return spark.read.parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
