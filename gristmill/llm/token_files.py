@@ -56,9 +56,14 @@ class WordEncoder:
 
     def __init__(self, path: str, words: int = 400_000, pieces: int = 800_000, chars: int = 24_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # for pieces, which are lowered and cut already; each comes once, so the model's own cache would only cost
+        self.by_piece = Tokenizer.from_file(path)
+        self.by_piece.normalizer = normalizers.Sequence([])
+        self.by_piece.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.by_piece.model._resize_cache(0)
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 65536 else "<u4")
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
@@ -74,9 +79,9 @@ class WordEncoder:
 
     def _learn_pieces(self, pieces: list[str]) -> None:
         """Many at once: each ends with its only token that closes a word."""
-        for i in range(0, len(pieces), 1000):
-            part = pieces[i : i + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
+        parts = [pieces[i : i + 1000] for i in range(0, len(pieces), 1000)]
+        for part, encoded in zip(parts, self.by_piece.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(encoded.ids, self.dtype)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part) and cuts[-1] == len(ids):
                 raw, at = ids.tobytes(), [0, *(cuts * self.dtype.itemsize).tolist()]
@@ -87,14 +92,16 @@ class WordEncoder:
         self.chars += sum(map(len, pieces))
 
     def _learn(self, words: set[str]) -> None:
-        apart = {w: None if _NOT_LATIN.search(w) or "<|" in w else _PIECE.findall(w.lower()) for w in words}
-        self._learn_pieces(list({p for ps in apart.values() if ps for p in ps if p not in self.pieces}))
-        whole = [w for w, ps in apart.items() if ps is None]
+        plain = {w: w.lower() for w in words if w.isascii() and w.isalpha()}
+        apart = {w: _PIECE.findall(w.lower()) for w in words - plain.keys() if not _NOT_LATIN.search(w) and "<|" not in w}
+        self._learn_pieces(list(({p for ps in apart.values() for p in ps} | set(plain.values())) - self.pieces.keys()))
+        whole = list(words - plain.keys() - apart.keys())
         for w, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
             self.words[w] = np.array(e.ids, self.dtype).tobytes()
             self.chars += len(w)
         get = self.pieces.__getitem__
-        self.words.update((w, b"".join(map(get, ps))) for w, ps in apart.items() if ps is not None)
+        self.words.update(zip(plain, map(get, plain.values()), strict=True))
+        self.words.update((w, b"".join(map(get, ps))) for w, ps in apart.items())
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         self._forget()
