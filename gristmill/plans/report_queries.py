@@ -76,8 +76,7 @@ def families(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def campaign_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
-    body = F.when(k % 3 == 0, "Please see the attached file").when(k % 3 == 1, F.substring("text", 1, 30)).otherwise(F.col("text"))
-    return d.select("doc_id", F.md5(T.label_text(body, F.when(k % 2 == 0, F.col("text")).otherwise(""))).alias("label"))
+    return d.select("doc_id", F.md5(T.label_text(F.col("text"), F.when(k % 2 == 0, F.col("text")).otherwise(""))).alias("label"))
 
 
 @query(

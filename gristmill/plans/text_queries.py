@@ -89,9 +89,7 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
       CAST(len(text) - len(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g')) AS DOUBLE) / len(text) > 0.02 OR CAST(len(text) - len(regexp_replace(text, '\pL', '', 'g')) AS DOUBLE) / len(text) < 0.1 END AS gibberish FROM t"""
 )
 def gibberish(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, t = F.col("doc_id") % 5, F.col("text")
-    text = F.when(k == 0, F.substring(t, 1, 5)).when(k == 1, F.concat(F.lit("123 456 789 0123 "), F.col("doc_id").cast("string"))).when(k == 2, F.concat(F.substring(t, 1, 40), F.lit("\x01\x02"))).otherwise(t)
-    return table(spark, sf_dir, "documents").select("doc_id", T.gibberish(text).alias("gibberish"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.gibberish("text").alias("gibberish"))
 
 
 @query(r"SELECT doc_id, regexp_matches(text, '(?i)licen[cs]e|copyright') AS mentions_license, regexp_matches(text, '\d{3}\.\d{3}') AS cites_section, regexp_matches(text, '(?i)[a-z0-9.]+@[a-z0-9.]+') AS has_mail FROM documents")

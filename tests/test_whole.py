@@ -1,7 +1,11 @@
 """Registered queries over all rows and whole texts: each against plain SQL or Python that leaves nothing out."""
 
+import re
+
 import duckdb
+from pyspark.sql import functions as F
 
+from gristmill.functions import text as T
 from gristmill.plans import catalogue
 
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
@@ -34,3 +38,36 @@ def test_previous_corpus_is_by_date(spark, sf):
     assert got.keys() == want.keys() and all(r[1] is not None for r in want.values())
     for k in want:
         assert abs(got[k][0] - want[k][0]) < 1e-9 and abs(got[k][1] - want[k][1]) < 1e-9 and got[k][2] == want[k][2]
+
+
+def test_gibberish_judges_whole_texts(spark, tmp_path):
+    prose = "This is a long and clean sentence about the proposed rule. " * 20
+    kinds = {prose: False, prose + "\x01\x02" * 40: True, "0123 4567 " * 60: True, prose[:600] + "0123456789" * 1500: True, "tiny": True}
+    rows = [(i, t) for i, t in enumerate(t for t in kinds for _ in range(5))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert dict(QUERIES["gibberish"](spark, str(tmp_path)).collect()) == {i: kinds[t] for i, t in rows}
+
+
+def test_gibberish_cases(spark):
+    cases = {"abcde": True, "123 456 789 0123 17": True, "forty plain characters of a text or so..\x01\x02": True, "one line of plain text that is clean": False}
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert dict(df.select("t", T.gibberish("t")).collect()) == cases
+
+
+def test_gibberish_as_whole_sql(spark, sf):
+    sql = SQL["gibberish"]
+    sql = "WITH t AS (SELECT doc_id, text FROM documents)" + sql[sql.index("\n    SELECT doc_id, CASE WHEN len(") :]
+    assert dict(QUERIES["gibberish"](spark, sf).collect()) == dict(oracle(sf, sql, "documents"))
+
+
+def test_campaign_labels_of_whole_texts(spark, sf):
+    sql = re.sub(r"CASE WHEN doc_id % 3 = 0 .*? ELSE text END AS body", "text AS body", SQL["campaign_labels"])
+    assert "Please see" not in sql
+    assert dict(QUERIES["campaign_labels"](spark, sf).collect()) == dict(oracle(sf, sql, "documents"))
+
+
+def test_label_cases(spark):
+    long, att = "twelve words make a body that stands for itself and needs nothing else", "what the file says"
+    rows = [("Please see the attached file", att, att), (long[:30], att, att), (long, att, long), ("short", "", "short"), ("", "", "")]
+    df = spark.createDataFrame(rows, "body string, att string, want string")
+    assert [r[0] for r in df.select(T.label_text(F.col("body"), F.col("att")) != F.col("want")).collect()] == [False] * 5
