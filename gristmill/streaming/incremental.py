@@ -1,4 +1,4 @@
-"""Incremental ingest: new files are read once, repeats within a watermark dropped, each batch merged by key."""
+"""Incremental ingest: new files are read once, each batch loses its repeats and is merged by key, however old its rows."""
 
 from __future__ import annotations
 
@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def ingest_new(spark: SparkSession, source: str, target: str, state: str, key: str = "id", time: str = "ts", late: str = "1 day") -> int:
+def ingest_new(spark: SparkSession, source: str, target: str, state: str, key: str = "id") -> int:
     """Append the rows of new parquet files below ``source`` whose keys ``target`` doesn't have; how many rows it has then."""
     schema = spark.read.parquet(source).schema
-    stream = spark.readStream.schema(schema).parquet(source).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+    stream = spark.readStream.schema(schema).parquet(source)
 
     def merge(batch: DataFrame, _: int) -> None:
         try:
@@ -18,7 +18,8 @@ def ingest_new(spark: SparkSession, source: str, target: str, state: str, key: s
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             known = None
-        fresh = batch if known is None else batch.join(known, key, "left_anti")
+        once = batch.dropDuplicates([key])
+        fresh = once if known is None else once.join(known, key, "left_anti")
         fresh.write.mode("append").parquet(target)
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
