@@ -107,6 +107,76 @@ def signer_trigger(text: Column, phrases: list[str]) -> Column:
     return any_match(text_or_empty(text), phrases) | repeated_short_line(text)
 
 
+#: what an attorney says of themself, in lower-cased text
+SELF_IDENTIFIED = (
+    r"i am (?:a |an )?(?:concerned )?(?:citizen[, ]+ (?:and )?(?:a )?)?(?:attorney|lawyer)|as (?:a |an )?(?:former |retired )?(?:attorney|lawyer)"
+    r"|licensed (?:attorney|to practice)|member of (?:the |a )?(?:\w+ )?bar|admitted to (?:the |a )?bar|practicing (?:attorney|lawyer)"
+    r"|i practice law|law degree|juris doctor|j\.d\.|esq\b|passed the bar|barred in|my license to practice"
+    r"|(?:former |retired )?(?:prosecutor|AUSA|assistant u\.?s\.? attorney)|(?:concerned |retired |former )?(?:attorney|lawyer) who"
+)
+ATTORNEY = "Attorney/Lawyer"
+
+
+def entity_trigger(analysis: Column, body: Column, types: list[str], attorneys: bool = False) -> Column:
+    """Types to look at again, and attorneys who don't say in their text that they are; an empty verified type doesn't count."""
+    kind = text_or_empty(analysis["entity_type"])
+    fire = kind.isin(types)
+    if attorneys:
+        fire = fire | ((kind == ATTORNEY) & ~F.lower(text_or_empty(body)).rlike("(?U)" + SELF_IDENTIFIED))
+    return fire & (text_or_empty(analysis["verified_entity_type"]) == "") & analysis.isNotNull()
+
+
+def state_trigger(analysis: Column, text: Column, every: bool = False, mismatch: bool = True) -> Column:
+    """States whose quote isn't in the text, or all; an empty verified state counts as verified."""
+    quote = F.lower(text_or_empty(analysis["state_quote"]))
+    fire = F.lit(every) | (F.lit(mismatch) & (quote != "") & ~F.lower(text_or_empty(text)).contains(quote))
+    return fire & (text_or_empty(analysis["state_identified"]) != "") & analysis["verified_state"].isNull() & analysis.isNotNull()
+
+
+def political_trigger(analysis: Column) -> Column:
+    """Every affiliation that isn't verified yet; an empty verified one counts as verified."""
+    return (text_or_empty(analysis["political_affiliation"]) != "") & analysis["verified_political"].isNull() & analysis.isNotNull()
+
+
+@dataclass(frozen=True)
+class Verified:
+    """The fields of an analysis that a verdict touches; one with a quote can be cleared, and its verdicts are stripped."""
+
+    value: str
+    verified: str
+    reasoning: str
+    quote: str | None = None
+
+    def read(self, verdict: Column) -> Column:
+        return strip(verdict) if self.quote else verdict
+
+    def write(self, analysis: Column, verdict: Column, reasoning: Column) -> Column:
+        """The analysis after a verdict, null (a failed call) leaves it; it has all the fields named here."""
+        new, old = self.read(verdict), analysis
+        put = lambda name, x: F.when(verdict.isNotNull(), x).otherwise(old[name])
+        out = analysis.withField(self.verified, put(self.verified, new)).withField(self.reasoning, put(self.reasoning, text_or_empty(reasoning))).withField(self.value, put(self.value, new))
+        if self.quote:
+            out = out.withField(self.quote, F.when(verdict.isNotNull() & (new == "") & ~new.eqNullSafe(old[self.value]), "").otherwise(old[self.quote]))
+        return out
+
+    def outcome(self, analysis: Column, verdict: Column) -> Column:
+        """error, confirmed, cleared or changed, for an analysis before the verdict is written."""
+        new = self.read(verdict)
+        out = F.when(verdict.isNull(), "error").when(new.eqNullSafe(analysis[self.value]), "confirmed")
+        return (out.when(new == "", "cleared") if self.quote else out).otherwise("changed")
+
+
+ENTITY = Verified("entity_type", "verified_entity_type", "entity_verification_reasoning")
+STATE = Verified("state_identified", "verified_state", "state_verification_reasoning", "state_quote")
+POLITICAL = Verified("political_affiliation", "verified_political", "political_verification_reasoning", "political_affiliation_quote")
+
+
+def outcome_counts(rows: DataFrame, outcomes: dict[str, Column]) -> DataFrame:
+    """field, outcome, n; ``outcomes`` are null where nothing was asked."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("field"), c.alias("outcome")) for k, c in outcomes.items()]))
+    return rows.select(pairs.alias("r")).select("r.*").where("outcome is not null").groupBy("field", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 def write_stance(analysis: Column, verdict: Column) -> Column:
     """The tags after a verdict: position tags go, the verdict's comes first (none for Unclear); null leaves them."""
     kept = F.filter(position.tags(analysis), lambda x: ~x.startswith("Position:"))

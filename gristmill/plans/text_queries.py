@@ -265,6 +265,66 @@ def verify_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comments(spark, sf_dir).where("analysis is not null").select("row_idx", F.array_join(infer.write_stance(F.col("analysis"), verdict), "|").alias("tags"))
 
 
+_REVIEWED = (
+    "WITH "
+    + COMMENTS_SQL
+    + f""", a AS (SELECT row_idx, text, CASE lang WHEN 'en' THEN 'Attorney/Lawyer' WHEN 'fr' THEN 'Organization' ELSE 'Individual' END AS kind, CASE WHEN source IN ('src1', 'src2', 'src3') THEN source ELSE '' END AS state,
+      CASE row_idx % 3 WHEN 0 THEN left(text, 30) WHEN 1 THEN 'I live in ' || source ELSE '' END AS quote, CASE row_idx % 4 WHEN 0 THEN 'Democrat' WHEN 1 THEN 'Republican' ELSE '' END AS party FROM comments WHERE analysed),
+    t AS (SELECT *, row_idx % 10 <> 0 AND (kind = 'Organization' OR (kind = 'Attorney/Lawyer' AND NOT regexp_matches(lower(text), '{infer.SELF_IDENTIFIED}'))) AS entity_fires,
+      row_idx % 8 <> 0 AND state <> '' AND quote <> '' AND NOT contains(lower(text), lower(quote)) AS state_fires, row_idx % 12 <> 0 AND party <> '' AS party_fires, row_idx % 5 AS v FROM a)
+    """
+)
+
+
+def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analyses with entity, state and party, some verified already, and the verdicts on those that the triggers pick."""
+    k, none = F.col("row_idx"), F.lit(None).cast("string")
+    c = comments(spark, sf_dir).where("analysis is not null")
+    kind = F.when(F.col("lang") == "en", infer.ATTORNEY).when(F.col("lang") == "fr", "Organization").otherwise("Individual")
+    quote = F.when(k % 3 == 0, F.substring("text", 1, 30)).when(k % 3 == 1, F.concat(F.lit("I live in "), F.col("source"))).otherwise("")
+    party = F.when(k % 4 == 0, "Democrat").when(k % 4 == 1, "Republican").otherwise("")
+    fields = {"entity_type": kind, "verified_entity_type": F.when(k % 10 == 0, kind).when(k % 10 == 1, ""), "entity_verification_reasoning": none}
+    fields |= {"state_identified": infer.known_or(F.col("source"), STATES), "state_quote": quote, "verified_state": F.when(k % 8 == 0, ""), "state_verification_reasoning": none}
+    fields |= {"political_affiliation": party, "political_affiliation_quote": quote, "verified_political": F.when(k % 12 == 0, ""), "political_verification_reasoning": none}
+    a, v = F.col("analysis"), k % 5
+    c = c.select("row_idx", "text", F.struct(*[x.alias(n) for n, x in fields.items()]).alias("analysis"))
+    fires = {"entity_fires": infer.entity_trigger(a, F.col("text"), ["Organization"], attorneys=True), "state_fires": infer.state_trigger(a, F.col("text")), "party_fires": infer.political_trigger(a)}
+    c = c.select("row_idx", "analysis", *[x.alias(n) for n, x in fires.items()])
+    verdict = lambda old, new: F.when(v == 1, F.concat(F.lit(" "), old, F.lit(" "))).when(v == 2, "").when(v > 2, new)
+    entity = F.when(v == 1, a["entity_type"]).when(v > 1, "Individual")
+    return c.select("*", F.when(F.col("entity_fires"), entity).alias("entity"), F.when(F.col("state_fires"), verdict(a["state_identified"], "src9")).alias("state"), F.when(F.col("party_fires"), verdict(a["political_affiliation"], "Libertarian")).alias("party"))
+
+
+@query(_REVIEWED + "SELECT row_idx, entity_fires, state_fires, party_fires FROM t")
+def verify_field_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reviewed(spark, sf_dir).select("row_idx", "entity_fires", "state_fires", "party_fires")
+
+
+@query(
+    _REVIEWED
+    + """SELECT row_idx, CASE WHEN entity_fires AND v > 1 THEN 'Individual' ELSE kind END AS entity_type, CASE WHEN entity_fires AND v > 1 THEN 'Individual' WHEN (entity_fires AND v = 1) OR row_idx % 10 = 0 THEN kind WHEN row_idx % 10 = 1 THEN '' END AS verified_entity_type,
+    CASE WHEN state_fires AND v = 2 THEN '' WHEN state_fires AND v > 2 THEN 'src9' ELSE state END AS state_identified, CASE WHEN state_fires AND v = 2 THEN '' ELSE quote END AS state_quote, CASE WHEN state_fires THEN CASE v WHEN 0 THEN NULL WHEN 1 THEN state WHEN 2 THEN '' ELSE 'src9' END WHEN row_idx % 8 = 0 THEN '' END AS verified_state,
+    CASE WHEN party_fires AND v = 2 THEN '' WHEN party_fires AND v > 2 THEN 'Libertarian' ELSE party END AS political_affiliation, CASE WHEN party_fires AND v = 2 THEN '' ELSE quote END AS political_affiliation_quote, CASE WHEN party_fires THEN CASE v WHEN 0 THEN NULL WHEN 1 THEN party WHEN 2 THEN '' ELSE 'Libertarian' END WHEN row_idx % 12 = 0 THEN '' END AS verified_political FROM t"""
+)
+def verify_field_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, why = _reviewed(spark, sf_dir), F.lit("")
+    for fields, verdict in ((infer.ENTITY, "entity"), (infer.STATE, "state"), (infer.POLITICAL, "party")):
+        r = r.withColumn("analysis", fields.write(F.col("analysis"), F.col(verdict), why))
+    names = ["entity_type", "verified_entity_type", "state_identified", "state_quote", "verified_state", "political_affiliation", "political_affiliation_quote", "verified_political"]
+    return r.select("row_idx", *[F.col("analysis")[n].alias(n) for n in names])
+
+
+@query(
+    _REVIEWED
+    + """SELECT field, outcome, count(*) AS n FROM (SELECT 'entity' AS field, CASE WHEN v = 0 THEN 'error' WHEN v = 1 OR kind = 'Individual' THEN 'confirmed' ELSE 'changed' END AS outcome FROM t WHERE entity_fires
+    UNION ALL SELECT 'state', CASE v WHEN 0 THEN 'error' WHEN 1 THEN 'confirmed' WHEN 2 THEN 'cleared' ELSE 'changed' END FROM t WHERE state_fires UNION ALL SELECT 'political', CASE v WHEN 0 THEN 'error' WHEN 1 THEN 'confirmed' WHEN 2 THEN 'cleared' ELSE 'changed' END FROM t WHERE party_fires) GROUP BY 1, 2"""
+)
+def verify_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = F.col("analysis")
+    told = {"entity": (infer.ENTITY, "entity_fires", "entity"), "state": (infer.STATE, "state_fires", "state"), "political": (infer.POLITICAL, "party_fires", "party")}
+    return infer.outcome_counts(_reviewed(spark, sf_dir), {k: F.when(F.col(f), x.outcome(a, F.col(v))) for k, (x, f, v) in told.items()})
+
+
 @query(
     r"""WITH l AS (SELECT doc_id, i, regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS x FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(x, i)),
     c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, lower(x)) AS n FROM l WHERE x <> '' AND NOT regexp_matches(x, '(?i)^(page\s*)?\d+(\s*of\s*\d+)?$') AND NOT regexp_matches(x, '^\d{1,3}\s+\S') AND NOT regexp_matches(x, '(?i)^(sincerely|very truly yours|yours truly|respectfully( submitted)?|regards|best regards|cordially)[,.]?$') AND NOT regexp_matches(x, '\sv\.\s.+\(\d{4}\)$'))

@@ -3,9 +3,11 @@
 import re
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as T
+from gristmill.operators import infer
 from gristmill.plans import catalogue
 
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
@@ -71,3 +73,36 @@ def test_label_cases(spark):
     rows = [("Please see the attached file", att, att), (long[:30], att, att), (long, att, long), ("short", "", "short"), ("", "", "")]
     df = spark.createDataFrame(rows, "body string, att string, want string")
     assert [r[0] for r in df.select(T.label_text(F.col("body"), F.col("att")) != F.col("want")).collect()] == [False] * 5
+
+
+@pytest.mark.parametrize("name", ["verify_field_triggers", "verify_field_writeback", "verify_outcomes"])
+def test_second_pass_queries(spark, sf, name):
+    got = [tuple(r) for r in QUERIES[name](spark, sf).collect()]
+    assert got and sorted(got, key=str) == sorted(oracle(sf, SQL[name], "documents", "events", "labels"), key=str)
+
+
+FIELDS = "entity_type, verified_entity_type, entity_verification_reasoning, state_identified, state_quote, verified_state, state_verification_reasoning, political_affiliation, political_affiliation_quote, verified_political, political_verification_reasoning"
+
+
+def test_second_pass_fields(spark):
+    def row(text, **x):
+        return (text, tuple(x.get(f) for f in FIELDS.split(", ")))
+
+    rows = [
+        row("I am an attorney in Ohio", entity_type="Attorney/Lawyer", state_identified="OH", state_quote="IN ohio"),
+        row("The rule is bad", entity_type="Attorney/Lawyer", state_identified="OH", state_quote="in Ohio", political_affiliation="Democrat", political_affiliation_quote="q"),
+        row("x", entity_type="Organization", verified_entity_type="", state_identified="OH", state_quote="q", verified_state="", political_affiliation="Democrat", verified_political=""),
+        row("x", entity_type="Organization", verified_entity_type="Organization", state_quote="q"),
+        ("x", None),
+    ]
+    df = spark.createDataFrame(rows, "text string, analysis struct<" + ", ".join(f"{f}: string" for f in FIELDS.split(", ")) + ">")
+    a, t = F.col("analysis"), F.col("text")
+    fires = [infer.entity_trigger(a, t, ["Organization"], True), infer.state_trigger(a, t), infer.political_trigger(a), infer.state_trigger(a, t, every=True)]
+    got = [tuple(bool(x) for x in r) for r in df.select(*[F.coalesce(f, F.lit(False)) for f in fires]).collect()]
+    assert got == [(False, False, False, True), (True, True, True, True), (True, False, False, False), (False, False, False, False), (False, False, False, False)]
+    one = df.where("text like 'The%'")
+    for verdict, state, quote, checked, why, outcome in ((None, "OH", "in Ohio", None, None, "error"), (" OH ", "OH", "in Ohio", "OH", "r", "confirmed"), (" ", "", "", "", "r", "cleared"), ("TX", "TX", "in Ohio", "TX", "r", "changed")):
+        v = F.lit(verdict).cast("string")
+        r = one.select(infer.STATE.write(a, v, F.lit("r")).alias("a"), infer.STATE.outcome(a, v).alias("o")).first()
+        assert (r["a"]["state_identified"], r["a"]["state_quote"], r["a"]["verified_state"], r["a"]["state_verification_reasoning"], r["o"]) == (state, quote, checked, why, outcome)
+        assert (r["a"]["political_affiliation"], r["a"]["entity_type"]) == ("Democrat", "Attorney/Lawyer")
