@@ -22,9 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.storage import materialize
+
 BUCKETS = 1 << 15
 DIM = 12
 SAMPLE = 800
+#: counts of no more languages than this are broadcast; more are joined by shuffle, none is left out
+FEW_LANGUAGES = 1000
 EPOCHS = 4
 ACCEPTED_RIGHT = 0.995
 _SLICE_CHARS = 400_000
@@ -124,9 +128,10 @@ def held_out():
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # a row a language
+    counts = materialize(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")  # a row a language
+    sizes = F.broadcast(counts) if counts.count() <= FEW_LANGUAGES else counts
     share = F.lit(sample) / F.col("n")
-    rows = known.join(F.broadcast(counts.limit(1000)), "lang").where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("lang")), F.lit(1_000_000)) < share * 1_000_000)
+    rows = known.join(sizes, "lang").where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("lang")), F.lit(1_000_000)) < share * 1_000_000)
     got = rows.select("doc_id", "lang", "text").toPandas().sort_values(["doc_id", "lang", "text"], kind="stable")
     ids = got["doc_id"].to_numpy(np.int64)
     calibrate = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(5) == 0
