@@ -120,7 +120,7 @@ def concern_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(C + "SELECT source, count(*) AS n, string_agg(id, ',' ORDER BY row_idx) FILTER (k <= 10) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY row_idx) AS k FROM comments) GROUP BY source")
 def entity_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.samples(comments(spark, sf_dir), "source", 10).select("source", "n", F.array_join("samples", ",").alias("samples"))
+    return report.samples(comments(spark, sf_dir), "source", 200).select("source", "n", F.array_join("samples", ",").alias("samples"))
 
 
 @query(

@@ -144,7 +144,7 @@ def matching_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flag_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["mentions_license", "cites_section"]
     c = comments(spark, sf_dir).select("row_idx", "id", *flags.regex_flags(F.col("text"), {n: FLAGS[n] for n in names}))
-    return flags.flag_sections(c, names, samples=5)
+    return flags.flag_sections(c, names, samples=500)
 
 
 @query(

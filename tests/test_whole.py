@@ -106,3 +106,10 @@ def test_second_pass_fields(spark):
         r = one.select(infer.STATE.write(a, v, F.lit("r")).alias("a"), infer.STATE.outcome(a, v).alias("o")).first()
         assert (r["a"]["state_identified"], r["a"]["state_quote"], r["a"]["verified_state"], r["a"]["state_verification_reasoning"], r["o"]) == (state, quote, checked, why, outcome)
         assert (r["a"]["political_affiliation"], r["a"]["entity_type"]) == ("Democrat", "Attorney/Lawyer")
+
+
+@pytest.mark.parametrize(("name", "cut", "limit"), [("flag_sections", "k <= 5)", "k <= 500)"), ("entity_samples", "k <= 10)", "k <= 200)")])
+def test_ids_up_to_the_references_limits(spark, sf, name, cut, limit):
+    assert cut in SQL[name] or limit in SQL[name]
+    got = [tuple(r) for r in QUERIES[name](spark, sf).collect()]
+    assert sorted(got) == sorted(oracle(sf, SQL[name].replace(cut, limit), "documents", "events", "labels"))
