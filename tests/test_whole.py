@@ -109,7 +109,8 @@ def test_second_pass_fields(spark):
 
 
 @pytest.mark.parametrize(("name", "cut", "limit"), [("flag_sections", "k <= 5)", "k <= 500)"), ("entity_samples", "k <= 10)", "k <= 200)")])
-def test_ids_up_to_the_references_limits(spark, sf, name, cut, limit):
+def test_ids_up_to_the_references_limits(spark, name, cut, limit):
+    sf = "/root/testdata/sf0.01"  # sf0.001 has too few rows a group to tell
     assert cut in SQL[name] or limit in SQL[name]
     got = [tuple(r) for r in QUERIES[name](spark, sf).collect()]
     assert sorted(got) == sorted(oracle(sf, SQL[name].replace(cut, limit), "documents", "events", "labels"))
