@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (as pa.compute)
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gristmill.llm.files import read_range, write_file
+from gristmill.llm.shingles import buffers
 from gristmill.storage import materialize, scratch_path
 
 MAGIC = b"GMTOKID1"
@@ -37,81 +39,174 @@ BLOCK_IDS = 65536
 FILE_IDS = 8_000_000
 MANIFEST = "part int, seq int, path string, size long, n_docs long, n_ids long"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
-#: White space that str.split() knows besides the six ASCII ones: texts that hold any are encoded whole.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_NOT_LATIN = re.compile("[^\x00-\xff]")
-_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-z0-9ªµºß-öø-ÿ²³¹¼½¾]+")
+#: Bytes of text that are encoded at once.
+SLICE_BYTES = 4_000_000
+#: Control characters that str.split() takes for white space, and the brackets of special tokens: such texts go whole.
+_ODD = re.compile("[\x1c-\x1f]|<\\|")
+#: fixed values: what a tokenizer's file must say for its texts to be cut here
+_NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Kinds of ASCII bytes: white space, letter, digit, other; and of the two-byte characters up to U+00FF by their code.
+_GAP, _LETTER, _DIGIT, _OTHER = range(4)
+_KIND = np.array([_GAP if chr(c) in " \t\n\v\f\r\x85\xa0" else _LETTER if chr(c).isalpha() else _DIGIT if chr(c).isnumeric() else _OTHER for c in range(256)], np.uint8)
+_DOWN = np.arange(256, dtype=np.uint8)
+_DOWN[65:91] += 32
 
 
 # --- encoding -------------------------------------------------------------------------------------------------------
 
 
+def cut_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Lowered pieces of texts of characters up to U+00FF: runs of letters, single digits, runs of others, and ``'s``,
+    ``'t``, ``'re``, ``'ve``, ``'m``, ``'ll``, ``'d`` where such a run of others would begin.  Also each text's first piece.
+    """
+    low, kind = _DOWN[data], _KIND[data]
+    lead = np.flatnonzero(data >= 0xC2) if len(data) and data.max() >= 0x80 else np.zeros(0, np.int64)
+    if len(lead):
+        code = (data[lead].astype(np.int16) - 0xC0) * 64 + (data[lead + 1] & 0x3F)
+        kind[lead] = kind[lead + 1] = _KIND[code]
+        capital = (code >= 0xC0) & (code <= 0xDE) & (code != 0xD7)
+        low[lead[capital] + 1] += 32
+    starts = np.empty(len(data), bool)
+    starts[:1] = True
+    np.not_equal(kind[1:], kind[:-1], out=starts[1:])
+    starts |= kind == _DIGIT
+    starts[offsets[:-1][offsets[:-1] < len(data)]] = True
+    starts[lead + 1] = False
+    starts &= kind != _GAP
+    marks = np.flatnonzero((data == 39) & starts)
+    if len(marks):
+        stop = offsets[np.searchsorted(offsets, marks, "right")]
+        after = lambda k: np.where(marks + k < stop, low[np.minimum(marks + k, len(low) - 1)], 0)
+        one, two = after(1), after(2)
+        size = np.where(np.isin(one, list(b"stmd")), 1, np.where(((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108), 2, 0))
+        marks, stop, size = marks[size > 0], stop[size > 0], size[size > 0]
+        starts[marks + 1] = False
+        nxt = marks + size + 1
+        nxt = nxt[nxt < stop]
+        starts[nxt[kind[nxt] != _GAP]] = True
+    used = kind != _GAP
+    first = np.flatnonzero(starts)
+    before = np.concatenate([np.zeros(1, np.int64), np.cumsum(used)])
+    bounds = np.append(before[first], before[-1])
+    pieces = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(low[used])))
+    return pieces, np.searchsorted(first, offsets)
+
+
 class WordEncoder:
-    """Encodes texts by a tokenizer whose tokens never span white space, keeping the ids of words and pieces seen before.
+    """Encodes texts by a tokenizer, keeping the ids of pieces and words seen before.
 
-    Words come apart into pieces (runs of letters, single digits, runs of others) as the tokenizer's own pattern cuts
-    them; so much is known here for Latin-1.  Words with other characters, or with a special token's brackets, and texts
-    with odd white space go to the tokenizer whole.
+    Where the tokenizer's file has the settings above, no token spans two of the pieces that its own pattern cuts.  Texts of
+    characters up to U+00FF are cut into them here, a slice of texts at once.  Others are cut at white space into words.
+    Texts with odd control characters or a special token's brackets, and all texts of another tokenizer, go to it whole.
     """
 
-    def __init__(self, path: str, words: int = 400_000, pieces: int = 800_000, chars: int = 24_000_000):
+    def __init__(self, path: str, known: int = 800_000, chars: int = 24_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # for pieces, which are lowered and cut already; each comes once, so the model's own cache would only cost
-        self.by_piece = Tokenizer.from_file(path)
-        self.by_piece.normalizer = normalizers.Sequence([])
-        self.by_piece.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.by_piece.model._resize_cache(0)
+        settings = json.loads(self.tokenizer.to_str())
+        cuts = (settings["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        split = cuts[0].get("pattern") == {"Regex": _CUTS} and cuts[0].get("behavior") == "Removed" and cuts[0].get("invert") and [(c["type"], c.get("add_prefix_space"), c.get("use_regex")) for c in cuts[1:]] == [("ByteLevel", False, False)]
+        special = all(t["content"].startswith("<|") and t["special"] for t in settings["added_tokens"])
+        self.cuttable = bool(settings["normalizer"] == _NORMAL and split and special and settings["model"]["type"] == "BPE" and settings["model"].get("end_of_word_suffix") == "</w>")
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 65536 else "<u4")
-        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.limits = (words, pieces, chars)
-        self.words, self.pieces, self.chars = {}, {}, 0
+        if self.cuttable:
+            # for pieces, which are lowered and cut already; each comes once, so the model's own cache would only cost
+            self.by_piece = Tokenizer.from_file(path)
+            self.by_piece.normalizer = normalizers.Sequence([])
+            self.by_piece.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.by_piece.model._resize_cache(0)
+            self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.limits = (known, chars)
+        self._forget()
 
     def _forget(self) -> None:
-        """Keeps what is known within its bounds."""
-        if len(self.words) > self.limits[0]:
-            self.words = {}
-        if len(self.pieces) > self.limits[1] or self.chars > self.limits[2]:
-            self.words, self.pieces, self.chars = {}, {}, 0
-
-    def _learn_pieces(self, pieces: list[str]) -> None:
+        self.pieces, self.words, self.chars = {}, {}, 0
+        self.ids, self.used = np.zeros(1 << 16, self.dtype), 0
+        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _keep(self, table: dict[str, int], keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Enter keys whose ids stand one after the other in ``ids``."""
+        at = len(self.pieces) + len(self.words)
+        while at + len(keys) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[at : at + len(keys)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[at : at + len(keys)] = sizes
+        table.update(zip(keys, range(at, at + len(keys)), strict=True))
+        self.used += len(ids)
+        self.chars += sum(map(len, keys))
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([*got, np.zeros(0, self.dtype)]), np.array([len(g) for g in got], np.int64)
+
+    def _learn(self, pieces: list[str]) -> None:
         """Many at once: each ends with its only token that closes a word."""
-        parts = [pieces[i : i + 1000] for i in range(0, len(pieces), 1000)]
-        for part, encoded in zip(parts, self.by_piece.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
-            ids = np.array(encoded.ids, self.dtype)
+        for i in range(0, len(pieces), 1000):
+            part = pieces[i : i + 1000]
+            ids = np.array(self.by_piece.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part) and cuts[-1] == len(ids):
-                raw, at = ids.tobytes(), [0, *(cuts * self.dtype.itemsize).tolist()]
-                found = [raw[a:b] for a, b in zip(at, at[1:])]
+                self._keep(self.pieces, part, ids, np.diff(cuts, prepend=0))
             else:
-                found = [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            self.pieces.update(zip(part, found, strict=True))
-        self.chars += sum(map(len, pieces))
-
-    def _learn(self, words: set[str]) -> None:
-        plain = {w: w.lower() for w in words if w.isascii() and w.isalpha()}
-        apart = {w: _PIECE.findall(w.lower()) for w in words - plain.keys() if not _NOT_LATIN.search(w) and "<|" not in w}
-        self._learn_pieces(list(({p for ps in apart.values() for p in ps} | set(plain.values())) - self.pieces.keys()))
-        whole = list(words - plain.keys() - apart.keys())
-        for w, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
-            self.words[w] = np.array(e.ids, self.dtype).tobytes()
-            self.chars += len(w)
-        get = self.pieces.__getitem__
-        self.words.update(zip(plain, map(get, plain.values()), strict=True))
-        self.words.update((w, b"".join(map(get, ps))) for w, ps in apart.items())
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        self._forget()
-        split = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
-        self._learn(set().union(*(s for s in split if s)) - self.words.keys())
-        get = self.words.__getitem__
-        return [
-            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.dtype) if s is None else np.frombuffer(b"".join(map(get, s)), self.dtype)
-            for t, s in zip(texts, split, strict=True)
-        ]
+                self._keep(self.pieces, part, *self._whole(part))
+
+    def _gather(self, numbers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known pieces one after the other, and how many each text has."""
+        sizes = self.sizes[numbers]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+        ids = self.ids[np.repeat(self.starts[numbers] - ends[:-1], sizes) + np.arange(ends[-1])]
+        return ids, np.diff(ends[first])
+
+    def _by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        pieces, first = cut_pieces(*buffers(texts))
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.pieces) + len(self.words) > self.limits[0] or self.chars > self.limits[1]:
+            self._forget()
+        self._learn([p for p in distinct if p not in self.pieces])
+        numbers = np.fromiter(map(self.pieces.__getitem__, distinct), np.int64, len(distinct))
+        return self._gather(numbers[coded.indices.to_numpy()], first)
+
+    def _by_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        split = [t.split() for t in texts]
+        distinct = set().union(*split)
+        if len(self.pieces) + len(self.words) > self.limits[0] or self.chars > self.limits[1]:
+            self._forget()
+        new = sorted(distinct - self.words.keys())
+        if new:
+            self._keep(self.words, new, *self._whole(new))
+        sizes = np.array([0, *map(len, split)], np.int64)
+        numbers = np.fromiter((self.words[w] for s in split for w in s), np.int64, int(sizes.sum()))
+        return self._gather(numbers, np.cumsum(sizes))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each text has; a null counts as empty."""
+        texts = texts.fill_null("")
+        if not self.cuttable:
+            return self._whole(texts.to_pylist())
+        data, offsets = buffers(texts)
+        # by the highest byte that a text holds, and whether it is odd
+        high = np.maximum.reduceat(np.append(data, 0), offsets[:-1]) if len(texts) else np.zeros(0, np.uint8)
+        wide = (high >= 0xC4) & (np.diff(offsets) > 0)
+        odd = pa.compute.match_substring_regex(texts, _ODD.pattern).to_numpy(zero_copy_only=False)
+        if not (wide | odd).any():
+            return self._by_pieces(texts)
+        kinds = [(~(wide | odd), self._by_pieces), (wide & ~odd, lambda x: self._by_words(x.to_pylist())), (odd, lambda x: self._whole(x.to_pylist()))]
+        parts: list[np.ndarray] = [np.zeros(0, self.dtype)] * len(texts)
+        for which, encode in kinds:
+            at = np.flatnonzero(which)
+            if len(at):
+                ids, sizes = encode(texts.take(pa.array(at)))
+                for i, part in zip(at.tolist(), np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+                    parts[i] = part
+        return np.concatenate(parts), np.array(list(map(len, parts)), np.int64)
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -151,8 +246,8 @@ def unpack_block(planes: list[bytes], n: int, width: int, mode: str) -> np.ndarr
     return cells.reshape(-1, width).view(f"<u{width}").reshape(-1).astype("<u4")
 
 
-def write_token_file(doc_ids: list[int | None], docs: list[np.ndarray], mode: str = "bit", block: int = BLOCK_IDS, level: int = 1) -> bytes:
-    ids = np.concatenate(docs) if docs else np.zeros(0, "<u4")
+def write_token_file(doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray, mode: str = "bit", block: int = BLOCK_IDS, level: int = 1) -> bytes:
+    """``ids``: those of all documents one after the other, ``lengths`` of them in each."""
     body, chunks = [MAGIC], []
     at = len(MAGIC)
     for i in range(0, len(ids), block):
@@ -161,11 +256,10 @@ def write_token_file(doc_ids: list[int | None], docs: list[np.ndarray], mode: st
         chunks.append([at, len(part), width, [len(p) for p in planes]])
         body += planes
         at += sum(map(len, planes))
-    lengths = np.array([len(d) for d in docs], "<i8")
     keys = np.array([0 if d is None else d for d in doc_ids], "<i8")
     nulls = np.array([d is None for d in doc_ids], np.uint8)
-    head = json.dumps({"mode": mode, "block": block, "chunks": chunks, "n_docs": len(docs)}).encode()
-    footer = zstandard.ZstdCompressor(level=3).compress(struct.pack("<q", len(head)) + head + keys.tobytes() + nulls.tobytes() + lengths.tobytes())
+    head = json.dumps({"mode": mode, "block": block, "chunks": chunks, "n_docs": len(doc_ids)}).encode()
+    footer = zstandard.ZstdCompressor(level=3).compress(struct.pack("<q", len(head)) + head + keys.tobytes() + nulls.tobytes() + np.asarray(lengths, "<i8").tobytes())
     return b"".join([*body, footer, struct.pack("<q", len(footer)), MAGIC])
 
 
@@ -209,6 +303,26 @@ class TokenFile:
             rest = rest[n:]
 
 
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of text (column 1), and at least one row."""
+    held, n = [], 0
+    for b in batches:
+        ends = np.cumsum(pa.compute.binary_length(b.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at, base = 0, 0
+        while at < len(b):
+            to = int(np.searchsorted(ends, base + size - n, "right"))
+            if to <= at and held:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+                continue
+            to = max(at + 1, to)
+            held.append(b.slice(at, to - at))
+            n += int(ends[to - 1]) - base
+            at, base = to, int(ends[to - 1])
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 # --- the operator ---------------------------------------------------------------------------------------------------
 
 
@@ -221,26 +335,24 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, seq, run = encoder(tokenizer_path), TaskContext.get().partitionId(), 0, uuid.uuid4().hex[:12]
-        end = np.array([end_id], "<u4")
-        keys, held, n = [], [], 0
+        keys, held, lengths, n = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal keys, held, n, seq
-            path, data = f"{folder}/{part:06d}-{seq:05d}-{run}.tok", write_token_file(keys, held, mode, block)
+            nonlocal keys, held, lengths, n, seq
+            path, data = f"{folder}/{part:06d}-{seq:05d}-{run}.tok", write_token_file(keys, np.concatenate(held), np.concatenate(lengths), mode, block)
             write_file(path, data)
             row = pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "path": path, "size": len(data), "n_docs": len(keys), "n_ids": n}], schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("size", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
-            keys, held, n, seq = [], [], 0, seq + 1
+            keys, held, lengths, n, seq = [], [], [], 0, seq + 1
             return row
 
-        for b in batches:
-            for i in range(0, len(b), 256):
-                piece = b.slice(i, 256)
-                for key, ids in zip(piece.column(0).to_pylist(), words.encode([t or "" for t in piece.column(1).to_pylist()]), strict=True):
-                    keys.append(key)
-                    held.append(np.concatenate([ids.astype("<u4"), end]))
-                    n += len(held[-1])
-                    if n >= file_ids:
-                        yield flush()
+        for b in slices(batches):
+            ids, sizes = words.encode(b.column(1))
+            keys += b.column(0).to_pylist()
+            held.append(np.insert(ids.astype("<u4"), np.cumsum(sizes), end_id))
+            lengths.append(sizes + 1)
+            n += len(held[-1])
+            if n >= file_ids:
+                yield flush()
         if keys:
             yield flush()
 

@@ -47,15 +47,41 @@ def tokenizer_path():
 
 @pytest.fixture(scope="module")
 def words():
-    return token_files.WordEncoder(tokenizer_path(), words=50, pieces=80)
+    return token_files.WordEncoder(tokenizer_path(), known=80)
 
 
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("abÀéßÿİΣσς'sdtl 01²½ª_<|>!.\n\t\x1c\x85 ́中ﬁ"), st.characters(codec="utf-8")), max_size=40), max_size=5))
 @settings(max_examples=150, deadline=None)
 def test_words_are_encoded_as_whole_texts(words, texts):
-    texts = [*texts, "<|endoftext|> a<|startoftext|>b"]
-    for t, got in zip(texts, words.encode(texts), strict=True):
-        assert got.tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids
+    texts = [*texts, "<|endoftext|> a<|startoftext|>b", None]
+    encoded_as_whole(words, texts)
+
+
+def encoded_as_whole(encoder, texts):
+    ids, sizes = encoder.encode(pa.array(texts, pa.string()))
+    for t, got in zip(texts, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+        assert got.tolist() == encoder.tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
+def test_texts_up_to_latin_are_cut_as_the_tokenizer_cuts(words):
+    rng = random.Random(5)
+    assert words.cuttable
+    encoded_as_whole(words, ["".join(rng.choice("ab'strevmldST1²é×Àß \x85\xa0!.\n-") for _ in range(rng.randint(0, 30))) for _ in range(3000)])
+
+
+def test_another_tokenizer_encodes_whole_texts():
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    other = token_files.WordEncoder(path)
+    assert not other.cuttable
+    encoded_as_whole(other, ["Don't  stop é 日 123", None, "", "a\nb "])
+
+
+def test_slices_keep_rows_and_bounds():
+    batch = pa.RecordBatch.from_pydict({"k": list(range(40)), "t": [None if i % 7 == 0 else "x" * (i * 13 % 50) for i in range(40)]})
+    for size in (1, 60, 500, 10_000):
+        got = list(token_files.slices(iter([batch.slice(0, 11), batch.slice(11, 0), batch.slice(11)]), size))
+        assert pa.Table.from_batches(got).to_pydict() == pa.Table.from_batches([batch]).to_pydict()
+        assert all(len(b) == 1 or sum(len(x or "") for x in b.column(1).to_pylist()) <= size for b in got)
 
 
 @pytest.mark.parametrize("mode", ["bit", "byte"])
