@@ -167,7 +167,7 @@ class WordEncoder:
     def _by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         pieces, first = cut_pieces(*buffers(texts))
         coded = pieces.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.pieces) + len(self.words) > self.limits[0] or self.chars > self.limits[1]:
             self._forget()
         self._learn([p for p in distinct if p not in self.pieces])
