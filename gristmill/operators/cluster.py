@@ -2,86 +2,122 @@
 
 from __future__ import annotations
 
-import random
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gristmill.functions.text import campaign_form, family_form, shingles, words
+from gristmill.functions.shingles import U, mixed, shingle_sets
+from gristmill.functions.text import campaign_form, collapse, family_form, words
 from gristmill.operators.components import connected_components
-from gristmill.storage import discard, materialize
+from gristmill.operators.skew import lookup, with_least
+from gristmill.storage import discard, materialize, scratch_path
 
-PRIME = (1 << 31) - 1
+BUCKET = ["band", "bucket"]
+_SLICE = 256
 
 
-def permutations(n: int, seed: int = 7) -> list[tuple[int, int]]:
-    """Coefficients of n linear permutations modulo PRIME; products stay below 2 ** 62."""
-    rng = random.Random(seed)
-    return [(rng.randrange(1, PRIME), rng.randrange(PRIME)) for _ in range(n)]
+class MinHash:
+    """Least values of a set under ``bands * rows`` hash functions, and a key for every band of them."""
 
+    def __init__(self, bands: int, rows: int, seed: int = 7):
+        n = bands * rows
+        numbers = mixed(np.arange(1, 2 * n + 1, dtype=U) + U(seed << 32))
+        self.turn, self.stretch, self.shape = numbers[:n, None], numbers[n:, None] | U(1), (bands, rows)
+        self.weights = mixed(np.arange(1, rows + 1, dtype=U)) | U(1)
 
-def shingle_hash(c: Column) -> Column:
-    return F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long") % PRIME
+    def keys(self, shingles: np.ndarray) -> np.ndarray:
+        least = np.full(self.shape[0] * self.shape[1], np.iinfo(U).max, U)
+        for i in range(0, len(shingles), 2048):  # so that long texts need no more memory
+            np.minimum(least, ((shingles[None, i : i + 2048] ^ self.turn) * self.stretch).min(axis=1), out=least)
+        return mixed((mixed(least).reshape(self.shape) * self.weights).sum(axis=1, dtype=U))
 
 
-def signatures(sets: DataFrame, key: str, bands: int, rows: int) -> DataFrame:
-    """key, bands (array of texts, one a band).  ``sets``: key, shingles."""
-    h = sets.select(key, F.explode("shingles").alias("s")).select(key, shingle_hash(F.col("s")).alias("h"))
-    out = h.groupBy(key).agg(*[F.min((F.lit(a) * F.col("h") + F.lit(b)) % PRIME).alias(f"m{i}") for i, (a, b) in enumerate(permutations(bands * rows))])
-    return out.select(key, F.array(*[F.concat_ws("-", *[F.col(f"m{b * rows + r}").cast("string") for r in range(rows)]) for b in range(bands)]).alias("bands"))
+def signatures(texts: DataFrame, key: str, bands: int, rows: int, form: str = "form", short_ok: bool = False) -> DataFrame:
+    """key, bands (array of longs, one a band) of the five-word shingles of each text.
+
+    A text of fewer words is one shingle with ``short_ok``, else it has no bands and is left out.
+    """
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = MinHash(bands, rows)
+        for batch in batches:
+            for i in range(0, len(batch), _SLICE):
+                b = batch.slice(i, _SLICE)
+                found = [hasher.keys(s).astype(np.int64) if len(s) else None for s in shingle_sets(b.column(1))]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], [key, "bands"])
+
+    enough = F.size(words(F.col(form))) >= (1 if short_ok else 5)
+    return texts.where(enough).select(F.col(key).cast("long").alias(key), form).mapInArrow(sign, f"{key} long, bands array<long>")
 
 
-def colliding(sigs: DataFrame, key: str) -> DataFrame:
-    """a < b of every pair of texts that share a band."""
-    rows = sigs.select(F.col(key).alias("k"), F.posexplode("bands").alias("band", "bucket"))
-    return rows.alias("x").join(rows.alias("y"), ["band", "bucket"]).where("x.k < y.k").select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
+def buckets(sigs: DataFrame, key: str) -> DataFrame:
+    """band, bucket, key of every bucket that several texts share: all candidate pairs, in as many rows as members."""
+    rows = sigs.select(F.col(key), F.posexplode("bands").alias(*BUCKET))
+    shared = rows.groupBy(*BUCKET).agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi").select(*BUCKET)
+    return lookup(rows, shared, BUCKET, key)
 
 
 def eligible(comments: DataFrame, min_chars: int = 100) -> DataFrame:
-    """row_idx, form, shingles of texts long enough to compare."""
+    """row_idx, form of texts long enough to compare."""
     rows = comments.select("row_idx", campaign_form("text").alias("form"))
-    rows = rows.withColumn("w", words(F.col("form"))).where((F.size("w") >= 5) & (F.length("form") >= min_chars))
-    return rows.select("row_idx", "form", shingles(F.col("w")).alias("shingles"))
+    return rows.where((F.length("form") >= min_chars) & (F.size(words(F.col("form"))) >= 5))
 
 
-def leaders(pairs: DataFrame) -> DataFrame:
-    """The vertices that a pass in ascending order would pick, each striking out its neighbours.
+def distinct_forms(comments: DataFrame, min_chars: int = 100) -> tuple[DataFrame, DataFrame]:
+    """row_idx, h of every eligible comment; h, v (its first row), copies, form of every normal form.  Both stored."""
+    texts = materialize(eligible(comments, min_chars).withColumn("h", F.md5("form")), "campaign-texts")
+    firsts = texts.groupBy("h").agg(F.min("row_idx").alias("v"), F.count(F.lit(1)).alias("copies"))
+    return texts, materialize(texts.select(F.col("row_idx").alias("v"), "form").join(firsts, "v"), "campaign-forms")
 
-    Rounds: a vertex with no smaller open neighbour is picked, its neighbours are struck.  Few rounds settle all.
+
+def leaders(members: DataFrame) -> DataFrame:
+    """band, bucket, v: the buckets of the texts that a pass in ascending order would pick, each striking out all it shares a bucket with.
+
+    ``members`` (band, bucket, v) is stored.  Rounds: an open text that is the least open one of all its buckets is picked; the
+    members of its buckets are struck.  A bucket never has two that are picked.  Few rounds settle all.
     """
-    both = materialize(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "leader-edges")
-    open_ = materialize(both.select(F.col("a").alias("v")).distinct(), "leader-open")
-    picked = None
-    while open_.limit(1).count():
-        edges = both.join(open_.withColumnRenamed("v", "a"), "a").join(open_.withColumnRenamed("v", "b"), "b")
-        held = edges.where("b < a").select(F.col("a").alias("v")).distinct()
-        now = materialize(open_.join(held, "v", "left_anti"), "leader-picked")
-        picked = now if picked is None else picked.unionByName(now)
-        struck = both.join(now.withColumnRenamed("v", "a"), "a").select(F.col("b").alias("v")).distinct()
-        old, open_ = open_, materialize(open_.join(now, "v", "left_anti").join(struck, "v", "left_anti"), "leader-open")
-        discard(old)
-    return picked if picked is not None else open_
+    spark, path, open_, first = members.sparkSession, scratch_path(members.sparkSession, "leaders"), members, True
+    while first or open_.limit(1).count():
+        told = materialize(with_least(open_, BUCKET, "v", "m"), "leader-least")
+        heads = materialize(told.groupBy("v").agg(F.min("m").alias("m")).where("v = m").select("v"), "leader-heads")
+        told.where("v = m").join(heads, "v").select(*BUCKET, "v").write.mode("append").parquet(path)
+        # the buckets of those picked, then who is in them
+        taken = told.where("v = m").join(heads, "v", "left_semi").select(*BUCKET)
+        struck = materialize(lookup(told.select(*BUCKET, "v"), taken, BUCKET, "v").select("v").distinct(), "leader-struck")
+        rest = materialize(told.select(*BUCKET, "v").join(struck, "v", "left_anti"), "leader-open")
+        discard(told, heads, struck, *([] if first else [open_]))
+        open_, first = rest, False
+    return spark.read.schema(members.select(*BUCKET, "v").schema).parquet(path)
 
 
 def campaigns(comments: DataFrame, bands: int = 25, rows: int = 5, least: int = 5, min_chars: int = 100) -> DataFrame:
-    """row_idx, campaign_id, campaign_size of clustered comments.
+    """row_idx, campaign_id, campaign_size of clustered comments, stored.
 
     Equal normal forms are compared once: they stand as their first row, and count with all their rows.  A comment in
     several clusters ends in the one with the largest id; the size stays that of the whole cluster.
     """
-    texts = materialize(eligible(comments, min_chars), "campaign-texts")
-    forms = materialize(texts.groupBy("form").agg(F.min("row_idx").alias("rep"), F.count(F.lit(1)).alias("copies")), "campaign-forms")
-    sets = texts.join(forms.select(F.col("rep").alias("row_idx")), "row_idx", "left_semi").select(F.col("row_idx").alias("k"), "shingles")
-    pairs = materialize(colliding(signatures(sets, "k", bands, rows), "k"), "campaign-pairs")
-    alone = forms.select(F.col("rep").alias("v")).join(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct(), "v", "left_anti")
-    picked = leaders(pairs).unionByName(alone)
-    edges = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    reps = picked.select(F.col("v").alias("leader"), F.col("v").alias("rep")).unionByName(edges.join(picked, F.col("a") == F.col("v")).select(F.col("a").alias("leader"), F.col("b").alias("rep")))
-    sizes = reps.join(forms, "rep").groupBy("leader").agg(F.sum("copies").alias("campaign_size")).where(F.col("campaign_size") >= least)
+    texts, forms = distinct_forms(comments, min_chars)
+    members = materialize(buckets(materialize(signatures(forms, "v", bands, rows), "campaign-signatures"), "v"), "campaign-buckets")
+    heads = leaders(members)
+    near = lookup(members, heads.withColumnRenamed("v", "leader"), BUCKET, "v").select("leader", "v").distinct()
+    alone = forms.select("v").join(members.select("v").distinct(), "v", "left_anti").select(F.col("v").alias("leader"), "v")
+    near = materialize(near.unionByName(alone), "campaign-near")
+    sizes = near.join(forms.select("v", "copies"), "v").groupBy("leader").agg(F.sum("copies").alias("campaign_size")).where(F.col("campaign_size") >= least)
     ids = sizes.withColumn("campaign_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("campaign_size"), "leader")) - 1)  # a row a campaign
-    best = reps.join(ids, "leader").groupBy("rep").agg(F.max(F.struct("campaign_id", "campaign_size")).alias("c")).select("rep", "c.campaign_id", "c.campaign_size")
-    return texts.select("row_idx", "form").join(forms, "form").join(best, "rep").select("row_idx", F.col("campaign_id").cast("int"), "campaign_size")
+    best = lookup(near, ids, ["leader"], "v").groupBy("v").agg(F.max(F.struct("campaign_id", "campaign_size")).alias("c")).select("v", "c.campaign_id", "c.campaign_size")
+    by_form = forms.join(best, "v").select("h", F.col("campaign_id").cast("int").alias("campaign_id"), "campaign_size")
+    out = materialize(lookup(texts.select("row_idx", "h"), by_form, ["h"], "row_idx").select("row_idx", "campaign_id", "campaign_size"), "campaign-tags")
+    discard(texts, forms, members, near)
+    return out
+
+
+def with_campaigns(comments: DataFrame, tagged: DataFrame) -> DataFrame:
+    """All comments, with null for those in no campaign."""
+    return comments.join(tagged, "row_idx", "left")
 
 
 def canonical(comments: DataFrame, tagged: DataFrame, label: str = "label") -> DataFrame:
@@ -96,10 +132,11 @@ def families(canon: DataFrame, sizes: DataFrame, bands: int = 37, rows: int = 3)
     The family takes the id of its campaign with most tagged comments (the smaller id among equals) and that one's
     first eight words.
     """
-    sets = canon.select("campaign_id", shingles(words(family_form("canonical")), short_ok=True).alias("shingles"))
-    parts = connected_components(colliding(signatures(sets, "campaign_id", bands, rows), "campaign_id"))
+    canon = materialize(canon.withColumn("form", collapse(family_form("canonical"))), "family-texts")
+    members = materialize(buckets(materialize(signatures(canon, "campaign_id", bands, rows, short_ok=True), "family-signatures"), "campaign_id"), "family-buckets")
+    parts = connected_components(with_least(members, BUCKET, "campaign_id", "first").select(F.col("first").alias("a"), F.col("campaign_id").alias("b")))
     out = canon.join(sizes, "campaign_id").join(parts, F.col("campaign_id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "campaign_id"))
-    best = out.groupBy("part").agg(F.max_by(F.struct("campaign_id", "canonical"), F.struct("tagged", -F.col("campaign_id"))).alias("m"))
-    label = F.array_join(F.slice(words(family_form("m.canonical")), 1, 8), " ")
+    best = out.groupBy("part").agg(F.max_by(F.struct("campaign_id", "form"), F.struct("tagged", -F.col("campaign_id"))).alias("m"))
+    label = F.array_join(F.slice(words(F.col("m.form")), 1, 8), " ")
     best = best.select("part", F.col("m.campaign_id").alias("family_id"), label.alias("l"))
     return out.join(best, "part").select("campaign_id", "family_id", F.when(F.col("l") != "", F.col("l")).otherwise(F.concat(F.lit("campaign-"), F.col("family_id").cast("string"))).alias("family_label"))

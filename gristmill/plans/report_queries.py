@@ -10,6 +10,7 @@ from gristmill.operators import cluster, dedup, evaluate, export, filters, gates
 from gristmill.plans.registry import query
 from gristmill.plans.text_queries import CITATION, CLASSIFIER
 from gristmill.sources.fixture import COMMENTS_SQL, comments, table
+from gristmill.storage import materialize
 from gristmill.streaming import incremental
 
 C = "WITH " + COMMENTS_SQL
@@ -53,8 +54,10 @@ def concern_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def minhash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = cluster.eligible(comments(spark, sf_dir))
-    return cluster.colliding(cluster.signatures(texts.select(F.col("row_idx").alias("k"), "shingles"), "k", 25, 5), "k")
+    """The buckets that distinct texts share: every candidate pair, as members of a bucket and not as pairs of copies."""
+    _, forms = cluster.distinct_forms(comments(spark, sf_dir))
+    found = cluster.buckets(materialize(cluster.signatures(forms, "v", 25, 5), "pair-signatures"), "v")
+    return found.join(forms.select("v", "copies"), "v").select("band", "bucket", F.col("v").alias("row_idx"), "copies")
 
 
 @query()
@@ -65,7 +68,7 @@ def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def families(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = comments(spark, sf_dir).withColumn("label", T.label_text("text", F.lit("")))
-    tagged = cluster.campaigns(c, least=3)
+    tagged = cluster.campaigns(c, least=3)  # stored
     return cluster.families(cluster.canonical(c, tagged), tagged.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("tagged")))
 
 

@@ -37,10 +37,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return the stored table, which has no lineage to recompute."""
+    """Write ``df`` once and return the stored table, which has no lineage to recompute.
+
+    Row groups are no larger than a split, as only one of the tasks that share a row group reads it.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    df.write.option("parquet.block.size", min(split, 128 << 20)).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._gristmill_path = path
     return out
