@@ -20,7 +20,8 @@ def split_pct(part: Column, other: Column) -> Column:
 
 
 def safe_int(c: Column) -> Column:
-    return F.expr(f"try_cast({c._jc.toString()} as int)") if c._jc.toString().isidentifier() else c.try_cast("int")
+    """The whole number that a value is or is cut to, else null."""
+    return c.try_cast("int")
 
 
 def significant(c: Column, digits: int = 2) -> Column:

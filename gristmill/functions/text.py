@@ -91,11 +91,7 @@ def clip_at_word(c: Column | str, n: int) -> Column:
 
 def head_tail(c: Column | str, head: int, tail: int, marker: str = "\n...\n") -> Column:
     t = text_or_empty(c)
-    return F.when(F.length(t) > head + tail, F.concat(F.substring(t, 1, head), F.lit(marker), F.expr(f"right({_sql(c)}, {tail})"))).otherwise(t)
-
-
-def _sql(c: Column | str) -> str:
-    return c if isinstance(c, str) else c._jc.toString()
+    return F.when(F.length(t) > head + tail, F.concat(F.substring(t, 1, head), F.lit(marker), F.right(t, F.lit(tail)))).otherwise(t)
 
 
 def combined_text(body: Column | str, attachment: Column | str, separator: str = "\n\n--- ATTACHMENT CONTENT ---\n") -> Column:
@@ -118,10 +114,14 @@ def tag_value(c: Column, prefix: str) -> Column:
     return F.regexp_replace(c, f"^{prefix}: ?", "")
 
 
+#: fixed pattern: a body that only points to its attachment
+STUB = r"^\s*(\[draft\]\s*)?(please\s+)?see\s+(the\s+)?attach"
+
+
 def label_text(body: Column | str, attachment: Column | str) -> Column:
     """What stands for a campaign member: the attachment where the body only points to it or has under 12 words."""
     b, a = strip(body), strip(attachment)
-    stub = b.rlike(r"(?iu)^\s*(\[draft\]\s*)?(please\s+)?see\s+(the\s+)?attach")
+    stub = b.rlike("(?iu)" + STUB)
     short = F.size(F.filter(F.split(b, r"(?U)\s+"), lambda w: w != "")) < 12
     return F.when((a != "") & (stub | short), a).when(b != "", b).otherwise(a)
 
@@ -159,10 +159,12 @@ SMALL_WORDS = frozenset({"a", "an", "and", "as", "at", "by", "for", "from", "in"
 
 
 def flag_label(key: str, label: str | None = None) -> str:
+    """The label given, else the key without its verb as a title: ``mentions_rate_of_pay`` is ``Rate of Pay``."""
     if label:
         return label
-    words_ = re.sub("^(mentions|cites)_", "", key).split("_")
-    return " ".join(w.lower() if i and w.lower() in SMALL_WORDS else w.capitalize() for i, w in enumerate(words_)) or key
+    first, *rest = (w.capitalize() for w in re.sub("^(?:mentions|cites)_", "", key).split("_"))
+    small = {w.capitalize(): w for w in SMALL_WORDS}
+    return " ".join([first, *(small.get(w, w) for w in rest)]) or key
 
 
 def slug(name: str) -> str:

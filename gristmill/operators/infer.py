@@ -6,7 +6,6 @@ recorded answers are here.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -215,55 +214,42 @@ def signers(rows: DataFrame, block: str) -> DataFrame:
     return rows.withColumn("count", F.coalesce(stated, F.size("names"))).drop("_b", "_l", "_low", "_dense", "_parts")
 
 
-def find_quote(text: str, quote: str, start: int = 0, last: bool = False) -> tuple[int, int]:
-    """Start and length of a quote in a text: as it is, else with any white space between its words; (-1, 0) if absent."""
-    import re
-
-    rest = text[start:]
-    at = rest.rfind(quote) if last else rest.find(quote)
-    if at >= 0:
-        return start + at, len(quote)
-    found = list(re.finditer(r"\s+".join(map(re.escape, quote.split())), rest)) if quote.split() else []
-    if not found:
-        return -1, 0
-    m = found[-1 if last else 0]
-    return start + m.start(), m.end() - m.start()
-
-
-def signer_block(text: str, first: str, last: str, ahead: int = 500, rounds: int = 5) -> str:
-    """From the last place of one quote to the end of another, and on while a line of the block follows again."""
-    plain = lambda x: " ".join(x.replace("\t", " ").split(" ")).strip().lower()
-    a, _ = find_quote(text, first, last=True) if first and last else (-1, 0)
-    if a < 0:
-        return ""
-    b, n = find_quote(text, last, a)
-    if b < 0:
-        return ""
-    end = b + n
-    for _ in range(rounds):
-        known = {plain(x) for x in text[a:end].splitlines()} - {""}
-        step, total = 0, 0
-        for line in text[end : end + ahead].splitlines(keepends=True):
-            total += len(line)
-            if plain(line) in known:
-                step = total
-                break
-        if not step:
-            break
-        end += step
-    return text[a:end]
+_ENDS = r"\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029"
+_LINE = f"[^{_ENDS}]*(?:\r\n|[{_ENDS}])|[^{_ENDS}]+"
+
 
+def quote_place(text: Column, quote: Column, last: bool = False) -> Column:
+    """Struct of how many characters stand before a quote and how many it takes; null where it is absent.
 
-def slice_blocks(rows: DataFrame, text: str, first: str, last: str) -> DataFrame:
-    """Adds block; call it on the rows with quotes only."""
+    The quote as it is, else its words with any white space between them; of several places the first or the last one.
+    """
+    span = lambda before, n: F.struct(before.cast("int").alias("before"), n.cast("int").alias("n"))
+    at = F.position(F.reverse(quote), F.reverse(text)) if last else F.position(quote, text)
+    before = F.length(text) - (at - 1) - F.length(quote) if last else at - 1
+    literal = lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    terms = F.array_join(F.transform(F.filter(F.split(quote, r"(?U)\s+"), lambda w: w != ""), literal), r"(?U:\s+)")
+    end = -1 if last else 1
+    hit, rest = F.try_element_at(F.regexp_extract_all(text, terms, F.lit(0)), F.lit(end)), F.element_at(F.split(text, terms), end)
+    loose = F.when((terms != "") & hit.isNotNull(), span(F.length(text) - F.length(rest) - F.length(hit) if last else F.length(rest), F.length(hit)))
+    return F.when(at > 0, span(before, F.length(quote))).otherwise(loose)
 
-    @F.pandas_udf("string")
-    def cut(t, a, b):
-        import pandas as pd
 
-        return pd.Series([signer_block(x or "", y or "", z or "") for x, y, z in zip(t, a, b, strict=True)])
+def _line_keys(lines: Column) -> Column:
+    return F.transform(lines, lambda x: F.lower(strip(F.regexp_replace(x, "[ \t]+", " "))))
 
-    return rows.withColumn("block", cut(F.col(text), F.col(first), F.col(last)))
 
+def slice_blocks(rows: DataFrame, text: str, first: str, last: str, ahead: int = 500, rounds: int = 5) -> DataFrame:
+    """Adds block: from the last place of one quote to the end of another behind it, empty where one is absent or not given.
 
-Answer = Callable[[str], dict]
+    A block goes on to a line that it has already, if that comes again within ``ahead`` characters; so up to ``rounds`` times.
+    """
+    t, a, b = text_or_empty(text), text_or_empty(first), text_or_empty(last)
+    rows = rows.withColumn("_a", F.when((a != "") & (b != ""), quote_place(t, a, last=True)["before"]))
+    rows = rows.withColumn("_t", F.substring(t, F.col("_a") + 1, F.length(t))).withColumn("_b", quote_place(F.col("_t"), b))
+    rows = rows.withColumn("_n", F.col("_b.before") + F.col("_b.n")).drop("_b")
+    for _ in range(rounds):
+        had = _line_keys(F.regexp_extract_all(F.substring("_t", F.lit(1), F.col("_n")), F.lit(_LINE), F.lit(0)))
+        rows = rows.withColumn("_had", had).withColumn("_next", F.regexp_extract_all(F.substring("_t", F.col("_n") + 1, F.lit(ahead)), F.lit(_LINE), F.lit(0)))
+        again = F.array_position(F.transform(_line_keys(F.col("_next")), lambda k: (k != "") & F.array_contains("_had", k)), F.lit(True))
+        rows = rows.withColumn("_n", F.col("_n") + F.length(F.array_join(F.slice("_next", F.lit(1), again.cast("int")), "")))
+    return rows.withColumn("block", F.coalesce(F.substring("_t", F.lit(1), F.col("_n")), F.lit(""))).drop("_a", "_t", "_n", "_had", "_next")

@@ -1,11 +1,12 @@
 import json
 import random
+import re
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.operators import cluster, components, dedup, evaluate, export, filters, gates, infer, ingest, report
+from gristmill.operators import cluster, components, dedup, evaluate, export, filters, gates, infer, ingest, report, skew
 from gristmill.sources import files
 
 
@@ -45,8 +46,52 @@ def test_leaders_are_those_of_one_pass(spark):
             if v not in seen:
                 want.add(v)
                 seen |= near[v] | {v}
-        got = {r[0] for r in cluster.leaders(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()}
+        members = [(0, i, v) for i, pair in enumerate(sorted(pairs)) for v in pair]
+        got = {r["v"] for r in cluster.leaders(spark.createDataFrame(members, "band int, bucket long, v long")).collect()}
         assert got == want
+    none = spark.createDataFrame([], "band int, bucket long, v long")
+    assert cluster.leaders(none).count() == 0
+
+
+def test_campaigns_are_those_of_one_pass_over_shared_buckets(spark):
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(400)}" for _ in range(60)] for _ in range(6)]
+    rows = []
+    for i in range(90):
+        w = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 2, 5])):
+            w[rng.randrange(60)] = f"x{rng.randrange(400)}"
+        rows.append((i, rng.choice(["{}", " {} ", "{}."]).format(" ".join(w))))
+    c = spark.createDataFrame(rows, "row_idx long, text string")
+    _, forms = cluster.distinct_forms(c)
+    sigs = {r["v"]: (r["form"], r["copies"]) for r in forms.collect()}
+    keys = {r["v"]: set(enumerate(r["bands"])) for r in cluster.signatures(forms, "v", 25, 5).collect()}
+    shared = {(r["band"], r["bucket"], r["v"]) for r in cluster.buckets(cluster.signatures(forms, "v", 25, 5), "v").collect()}
+    assert shared == {(*k, v) for v in keys for k in keys[v] if sum(k in other for other in keys.values()) > 1}
+    seen, found = set(), []
+    for v in sorted(keys):
+        if v not in seen:
+            near = [u for u in keys if keys[u] & keys[v]]
+            seen |= set(near)
+            found.append((sum(sigs[u][1] for u in near), v, near))
+    want = {}
+    for n, (size, _, near) in enumerate(sorted((f for f in found if f[0] >= 5), key=lambda f: (-f[0], f[1]))):
+        for i, text in rows:
+            if any(sigs[u][0] == " ".join(text.strip(" .").split()) for u in near):
+                want[i] = (n, size)
+    got = {r["row_idx"]: (r["campaign_id"], r["campaign_size"]) for r in cluster.campaigns(c).collect()}
+    assert got == want and len(want) > 20
+    every = cluster.with_campaigns(c, cluster.campaigns(c)).collect()
+    assert len(every) == 90 and {r["row_idx"] for r in every if r["campaign_id"] is None} == set(range(90)) - set(want)
+
+
+def test_hot_keys_are_joined_in_groups(spark):
+    rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(300)] + [(None, 5)], "k long, v long")
+    got = {(r["k"], r["v"]): r["m"] for r in skew.with_least(rows, ["k"], "v", "m").collect()}
+    assert got == {(1 if i % 3 else i, i): 1 if i % 3 else i for i in range(300)}
+    table = spark.createDataFrame([(1, "a"), (3, "b")], "k long, x string")
+    assert sorted((r["v"], r["x"]) for r in skew.lookup(rows, table, ["k"], "v").collect()) == sorted([(i, "a") for i in range(300) if i % 3] + [(3, "b")])
+    assert skew.lookup(rows, table, ["k"], "v", "left").count() == 301
 
 
 def test_campaigns_find_copies(spark):
@@ -165,6 +210,24 @@ def test_allocate(scheme):
             assert sum(got.values()) == min(size, sum(counts.values()))
 
 
+@pytest.mark.parametrize("scheme", ["balanced", "sqrt"])
+def test_allocation_levels_one_by_one(scheme):
+    rng = random.Random(3)
+    for _ in range(500):
+        counts = {f"k{i}": rng.choice([0, rng.randint(1, 30), rng.randint(1, 2000)]) for i in range(rng.randint(0, 6))}
+        size, floor = rng.randint(0, 600), rng.choice([0, 5, 40])
+        live = {k: n for k, n in counts.items() if n}
+        weight = {k: n**0.5 if scheme == "sqrt" else 1.0 for k, n in live.items()}
+        want = {k: min(n, max(min(floor, n), round(size * weight[k] / sum(weight.values())))) for k, n in live.items()}
+        while live and (gap := size - sum(want.values())):
+            room = {k: live[k] - want[k] if gap > 0 else want[k] - min(floor, live[k]) for k in live}
+            best = max(room, key=lambda k: room[k])
+            if not room[best]:
+                break
+            want[best] += 1 if gap > 0 else -1
+        assert evaluate.allocate(counts, size, scheme, floor) == want
+
+
 def test_metrics(spark):
     rows = spark.createDataFrame([("a", "a", 2.0), ("a", "b", 1.0), ("b", "b", 1.0), ("c", "a", 1.0)], "truth string, pred string, weight double")
     got = {r["class"]: (r["tp"], r["fp"], r["fn"], r["precision"], r["recall"]) for r in evaluate.class_metrics(rows, weight=F.col("weight")).collect()}
@@ -205,11 +268,30 @@ def test_signers(spark):
     assert got[2][1] == 323 and got[3] == ([], 0)
 
 
-def test_signer_block():
+def plain_place(text, quote, last):
+    if quote in text:
+        return (text.rindex(quote) if last else text.index(quote)), len(quote)
+    found = [m.span() for m in re.finditer(r"\s+".join(map(re.escape, quote.split())), text)] if quote.split() else []
+    return (found[-1 if last else 0][0], found[-1 if last else 0][1] - found[-1 if last else 0][0]) if found else None
+
+
+def test_quote_places(spark):
+    rng = random.Random(9)
+    say = lambda n: "".join(rng.choice(["a", "b", ".", "\\E", "\\Q", " ", "\n", "\t ", "\xa0", "𝕏"]) for _ in range(n))
+    rows = [(i, say(rng.randint(0, 25)), say(rng.randint(1, 5))) for i in range(600)] + [(600, "a  b\nc", "b c"), (601, "a  a  a", "a a")]
+    got = spark.createDataFrame(rows, "i int, t string, q string").select("i", infer.quote_place(F.col("t"), F.col("q")).alias("x"), infer.quote_place(F.col("t"), F.col("q"), last=True).alias("y")).collect()
+    for r in got:
+        _, text, quote = rows[r["i"]]
+        assert (tuple(r["x"]) if r["x"] else None) == plain_place(text, quote, False)
+        assert (tuple(r["y"]) if r["y"] else None) == plain_place(text, quote, True)
+
+
+def test_signer_block(spark):
     text = "Intro Ann Lee.\nWe ask.\nAnn Lee\nOrg A\nBob Roe\nOrg A\nend of it"
-    assert infer.signer_block(text, "Ann Lee", "Org A") == "Ann Lee\nOrg A\nBob Roe\nOrg A\n"
-    assert infer.signer_block(text, "Nobody", "Org A") == ""
-    assert infer.find_quote("a  b\nc", "b c") == (3, 3)
+    far = "S\nOrg A\n" + "x" * 600 + "\nOrg A\n"
+    rows = [(0, text, "Ann Lee", "Org A"), (1, text, "Nobody", "Org A"), (2, text, "", "Org A"), (3, None, "a", "b"), (4, far, "S", "Org A"), (5, "A\n1\r\nB\n \n1\nC\nb \x0b rest", "A", "B")]
+    got = {r["i"]: r["block"] for r in infer.slice_blocks(spark.createDataFrame(rows, "i int, t string, a string, b string"), "t", "a", "b").collect()}
+    assert got == {0: "Ann Lee\nOrg A\nBob Roe\nOrg A\n", 1: "", 2: "", 3: "", 4: "S\nOrg A", 5: "A\n1\r\nB\n \n1\nC\nb \x0b"}
 
 
 def test_html_and_rules():
