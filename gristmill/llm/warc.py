@@ -6,8 +6,10 @@ HTTP message in chunked transfer framing.  Blocks longer than ``segment_bytes``
 number 1 and ``continuation`` records with the numbers that follow, which name their origin; the last one states the
 total length.  Every record is a gzip member of its own.
 
-Reading: files yield records; those of one origin are brought together, ordered by segment number, checked for gaps and
-for the total length, joined; the HTTP message is parsed, its chunked framing decoded, and the payload's digest compared.
+Reading: files yield records.  A record without a segment number is judged where it is read; segments of one origin are
+brought together, ordered by segment number, checked for gaps and for the total length, joined.  The HTTP message is parsed, its
+chunked framing decoded, and the payload's digest compared.  Archives of other writers are read as well, compressed by
+record, as a whole or not at all: fields that they lack are null (the length of a revisit that states none, too).
 
 Rows: null html is an empty payload.  A null page_id is less than any other; a group of null ids only is all responses.
 Rows that share the largest page_id and the payload are all responses.  An empty table gives an empty result.
@@ -34,6 +36,7 @@ from gristmill.storage import materialize, scratch_path
 SEGMENT_BYTES = 32_768
 CHUNK_BYTES = 4096
 FILE_BYTES = 32_000_000
+FEED_BYTES = 16_384
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2024-01-01T00:00:00Z"
 
@@ -86,21 +89,55 @@ def page_records(page_id: int | None, url: str, payload: bytes, refers_to: int |
         yield record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", _DATE), ("WARC-Target-URI", common[1][1]), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", str(n)), *total], block[at : at + segment_bytes])
 
 
+def members(data: bytes) -> Iterator[bytes]:
+    """The gzip members of an archive, decompressed; one that isn't compressed comes as it is.
+
+    Input is fed in small slices, as what a member leaves over is copied: the time stays linear in the file's size.
+    """
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, out = zlib.decompressobj(31), []
+        while not z.eof and at < len(view):
+            part = view[at : at + FEED_BYTES]
+            out.append(z.decompress(part))
+            at += len(part) - len(z.unused_data)
+        if not z.eof:
+            raise ValueError("a gzip member ends early")
+        yield b"".join(out)
+
+
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of every record of an archive of gzip members."""
-    at = 0
-    while at < len(data):
-        z = zlib.decompressobj(31)
-        raw = z.decompress(memoryview(data)[at:]) + z.flush()
-        at = len(data) - len(z.unused_data)
+    """Headers (names in lower case) and block of every record of an archive."""
+    for raw in members(data):
         stream = io.BytesIO(raw)
-        if not stream.readline().startswith(b"WARC/"):
-            raise ValueError("not a WARC record")
-        headers = {}
-        while line := stream.readline().strip():
-            k, _, v = line.decode().partition(":")
-            headers[k.strip().lower()] = v.strip()
-        yield headers, stream.read(int(headers["content-length"]))
+        while start := stream.readline():
+            if not start.strip():
+                continue
+            if not start.startswith(b"WARC/"):
+                raise ValueError("not a WARC record")
+            headers, last = {}, None
+            while (line := stream.readline()).strip():
+                if line[:1] in b" \t" and last:  # a folded header goes on
+                    headers[last] += " " + line.decode("utf-8", "replace").strip()
+                    continue
+                k, _, v = line.decode("utf-8", "replace").partition(":")
+                last = k.strip().lower()
+                headers[last] = v.strip()
+            if not line:
+                raise ValueError("a record's headers end early")
+            size = _number(headers.get("content-length"))
+            block = stream.read() if size is None else stream.read(size)
+            if size is not None and len(block) < size:
+                raise ValueError("a record ends early")
+            yield headers, block
+
+
+def _number(text: str | None) -> int | None:
+    """A decimal number of a header, null where there is none."""
+    return int(text) if text and text.isascii() and text.isdigit() else None
 
 
 # --- writing --------------------------------------------------------------------------------------------------------
@@ -144,37 +181,71 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0, segment_
 # --- reading --------------------------------------------------------------------------------------------------------
 
 
+RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, status string"
+_SEGMENT = [("origin", pa.string()), ("seg", pa.int64()), ("total", pa.int64()), ("kind", pa.string()), ("page", pa.string()), ("ref", pa.string()), ("digest", pa.string()), ("block", pa.binary())]
+_JUDGED = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("status", pa.string())]
+
+
+def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields, strict=True)], [n for n, _ in fields])
+
+
+def judge(status: str, first: dict, block: bytes) -> tuple:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, status of a whole record."""
+    head, _, body = block.partition(b"\r\n\r\n")
+    digest, size = (first["digest"] or "").removeprefix("sha1:"), None
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:])}
+    if status == "ok" and first["kind"] == "revisit":
+        size = _number(fields.get("content-length"))
+    elif status == "ok":
+        try:
+            body = dechunked(body) if fields.get("transfer-encoding", "").lower() == "chunked" else body
+            size, found = len(body), base32_sha1(body)
+            status, digest = ("ok" if not digest or found == digest else "wrong digest"), found
+        except ValueError:
+            status = "broken framing"
+    return _page(first["page"]), size, digest, first["kind"], _page(first["ref"]), status
+
+
+def _page(text: str | None) -> int | None:
+    return int(text) if text and text.isascii() and text.removeprefix("-").isdigit() else None
+
+
 def fragments(manifest: DataFrame) -> DataFrame:
-    """A row for each record or segment: origin, seg, total, headers, block."""
+    """A row for each record or segment, stored: what RESULT names for whole records, else origin, seg, total, headers, block."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["origin", "seg", "total", "kind", "page", "ref", "digest", "block"]
-        types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary()]
+        none, blank = (None,) * len(_SEGMENT), (None,) * len(_JUDGED)
         for b in batches:
             for r in b.to_pylist():
                 rows, size = [], 0
                 for h, block in records(read_range(r["path"], 0, r["size"])):
-                    if h["warc-type"] not in ("response", "revisit", "continuation"):
+                    kind = h.get("warc-type")
+                    if kind not in ("response", "revisit", "continuation"):
                         continue
-                    total, seg = h.get("warc-segment-total-length"), h.get("warc-segment-number")
-                    rows.append((h.get("warc-segment-origin-id", h["warc-record-id"]), int(seg) if seg else 0, int(total) if total else None, h["warc-type"], h.get("x-page-id"), h.get("x-refers-to-page"), h.get("warc-payload-digest"), block))
-                    size += len(block)
+                    seg, info = _number(h.get("warc-segment-number")), {"kind": kind, "page": h.get("x-page-id"), "ref": h.get("x-refers-to-page"), "digest": h.get("warc-payload-digest")}
+                    if seg is None and kind != "continuation":
+                        rows.append((*none, *judge("ok", info, block)))
+                        size += 200
+                    else:
+                        origin = h.get("warc-segment-origin-id") or h.get("warc-record-id")
+                        rows.append((origin, seg, _number(h.get("warc-segment-total-length")), *info.values(), block, *blank))
+                        size += 200 + len(block)
                     if size > 4_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                        yield _batch(rows, _SEGMENT + _JUDGED)
                         rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                    yield _batch(rows, _SEGMENT + _JUDGED)
 
     files = max(1, manifest.count())
-    return manifest.select("path", "size").repartition(files).mapInArrow(read, "origin string, seg long, total long, kind string, page string, ref string, digest string, block binary")
+    return materialize(manifest.select("path", "size").repartition(files).mapInArrow(read, "origin string, seg long, total long, kind string, page string, ref string, digest string, block binary, " + RESULT), "warc-fragments")
 
 
 def assemble(segments: list[dict]) -> tuple[str, dict, bytes]:
     """status, the first record's fields, and the whole block."""
-    segments = sorted(segments, key=lambda s: s["seg"])
+    segments = sorted(segments, key=lambda s: s["seg"] or 0)
     first = segments[0]
-    if first["seg"] == 0 and len(segments) == 1:
-        return "ok", first, first["block"]
     if [s["seg"] for s in segments] != list(range(1, len(segments) + 1)) or segments[-1]["total"] is None:
         return "segment missing", first, b""
     block = b"".join(s["block"] for s in segments)
@@ -183,30 +254,15 @@ def assemble(segments: list[dict]) -> tuple[str, dict, bytes]:
 
 def reassemble(parts: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, status of every response or revisit."""
-    whole = parts.groupBy("origin").agg(F.collect_list(F.struct("seg", "total", "kind", "page", "ref", "digest", "block")).alias("s"))
+    names = [n for n, _ in _JUDGED]
+    grouped = parts.where("origin is not null").groupBy("origin").agg(F.collect_list(F.struct(*[n for n, _ in _SEGMENT[1:]])).alias("s"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for cell in b.column(0):
-                status, first, block = assemble(cell.as_py())
-                head, _, body = block.partition(b"\r\n\r\n")
-                digest, size = (first["digest"] or "").removeprefix("sha1:"), None
-                fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:])}
-                if status == "ok" and first["kind"] == "revisit":
-                    size = int(fields["content-length"])
-                elif status == "ok":
-                    try:
-                        body = dechunked(body) if fields.get("transfer-encoding", "").lower() == "chunked" else body
-                        size, found = len(body), base32_sha1(body)
-                        status, digest = ("ok" if found == digest else "wrong digest"), found
-                    except ValueError:
-                        status = "broken framing"
-                out.append((int(first["page"]) if first["page"] else None, size, digest, first["kind"], int(first["ref"]) if first["ref"] else None, status))
-            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "status"])
-
-    return whole.select("s").mapInArrow(join, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, status string")
+            for i in range(0, len(b), 64):
+                yield _batch([judge(*assemble(cell.as_py())) for cell in b.column(0).slice(i, 64)], _JUDGED)
+
+    return parts.where("origin is null").select(*names).unionByName(grouped.select("s").mapInArrow(join, RESULT))
 
 
 def op8_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
