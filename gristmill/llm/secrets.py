@@ -3,11 +3,13 @@
 Strong findings stand for themselves: assignments to telling names, access identifiers, long hexadecimal runs.  Weak
 parts are reported only together with what complements them: an identifier (a value assigned to a name such as
 client_id or user) with a secret, a secret (an unassigned token that mixes cases and digits at random) with an
-identifier, an endpoint (a URL or host) with both.  Parts complement each other when they stand in one scope (text
-without a blank line between) at most ``REACH`` characters apart.  Strong findings take part: access identifiers as identifiers,
-assignments and hexadecimal runs as secrets.
+identifier, an endpoint (a URL or host) with both.  Parts complement each other when they stand in one scope: text
+without a blank line between, however long.  Strong findings take part: access identifiers as identifiers, assignments and
+hexadecimal runs as secrets.  A weak part overlaps no strong finding and no other weak part; endpoints come first, then
+identifiers, then secrets, each from left to right.
 
-The join of intervals runs over sorted starts, so that a text of any length costs n log n in its parts.
+A weak part touches nothing else, so its complement is any part of the kind in its scope: the join of intervals is one of
+scopes, over sorted starts, and a text of any length costs n log n in its parts.
 
 Positions count code points; ends are exclusive.  Rows: null text counts as empty and has no findings.  Repeated rows get
 equal results; an empty table gives an empty result; other columns are ignored.
@@ -27,7 +29,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex", "ident", "secret", "endpoint")
-REACH = 400
 MIN_BITS = 3.5
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -57,43 +58,46 @@ def _random_looking(token: str) -> bool:
     return -sum(c / n * math.log2(c / n) for c in Counter(token).values()) >= MIN_BITS
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same ground as disjoint spans in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def weak_parts(text: str, strong: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Candidates that don't overlap a strong finding or an earlier kind of part."""
-    found = [(m.start(), m.end(), "endpoint") for m in _ENDPOINT.finditer(text)]
-    found += [(m.start(), m.end(), "ident") for m in _IDENT.finditer(text)]
-    found += [(m.start(), m.end(), "secret") for m in _TOKEN.finditer(text) if _random_looking(m[0])]
-    taken = sorted((a, b) for a, b, _ in strong)
-    out = []
-    for a, b, kind in found:
-        k = bisect_left(taken, (b, -1))
-        if not any(x < b and a < y for x, y in taken[max(0, k - 3) : k + 1]):
-            out.append((a, b, kind))
-            taken.insert(bisect_left(taken, (a, b)), (a, b))
+    kinds = [
+        ("endpoint", [m.span() for m in _ENDPOINT.finditer(text)]),
+        ("ident", [m.span() for m in _IDENT.finditer(text)]),
+        ("secret", [m.span() for m in _TOKEN.finditer(text) if _random_looking(m[0])]),
+    ]
+    taken, out = _merged([(a, b) for a, b, _ in strong]), []
+    for kind, found in kinds:
+        starts, free = [x for x, _ in taken], []
+        for a, b in found:
+            k = bisect_left(starts, b)  # of disjoint spans, only the last that begins before b can reach into this one
+            if not k or taken[k - 1][1] <= a:
+                free.append((a, b))
+        out += [(a, b, kind) for a, b in free]
+        taken = _merged(taken + free) if free else taken
     return out
 
 
-def linked(text: str, strong: list[tuple[int, int, str]], reach: int = REACH) -> list[tuple[int, int, str]]:
-    """The weak parts that stand in reach of what complements them."""
+def linked(text: str, strong: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The weak parts in whose scope what complements them stands."""
     weak = weak_parts(text, strong)
     if not weak:
         return []
     borders = [m.start() for m in _BLANK.finditer(text)]
     part = {"access": "ident", "assign": "secret", "hex": "secret"}
-    by: dict[str, list[tuple[int, int, int]]] = {"ident": [], "secret": []}
-    for a, b, kind in [*strong, *weak]:
-        if (k := part.get(kind, kind)) in by:
-            by[k].append((bisect_right(borders, a), a, b))
-    for rows in by.values():
-        rows.sort()
-    longest = max((b - a for rows in by.values() for _, a, b in rows), default=0)
-
-    def near(kind: str, a: int, b: int) -> bool:
-        scope, rows = bisect_right(borders, a), by[kind]
-        i, j = bisect_left(rows, (scope, a - reach - longest, 0)), bisect_right(rows, (scope, b + reach, 1 << 60))
-        return any(y >= a - reach and not (x < b and a < y) for _, x, y in rows[i:j])
-
+    there = {(bisect_right(borders, a), part.get(kind, kind)) for a, _, kind in [*strong, *weak]}
     needs = {"ident": ("secret",), "secret": ("ident",), "endpoint": ("ident", "secret")}
-    return [(a, b, kind) for a, b, kind in weak if all(near(k, a, b) for k in needs[kind])]
+    return [(a, b, kind) for a, b, kind in weak if all((bisect_right(borders, a), k) in there for k in needs[kind])]
 
 
 def written(spans: list[tuple[int, int, str]]) -> str:
