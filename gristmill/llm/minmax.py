@@ -4,12 +4,13 @@ Each of ``permutations`` hash functions gives two entries of a signature, the le
 document's shingles, so that half the evaluations fill it.  Both agree for two sets with a probability equal to their
 Jaccard similarity.  Bands of ``rows`` entries bring candidates together.
 
-1. Documents with equal shingle sets (a 128-bit fingerprint) become one class, stood for by its least doc_id.
+1. Documents with equal shingle sets (a 128-bit fingerprint) become one class, stood for by its least doc_id.  A class's
+   members are found, and told their component, in groups dealt by doc_id, so that a class of any size is many tasks.
 2. In every bucket that classes share, all members meet the bucket's least one; the sets of such pairs are compared in
-   full; links give components.
-3. Buckets that still hold several components are dealt to cells: a bucket's members in blocks of ``cell_rows``, every
-   two blocks one cell.  A cell counts all its intersections at once, as a product of the matrix of members and the
-   shingles that occur twice in it, and returns the links that join components.
+   full, in cells of one least member and a bounded number of rows and shingles; links give components.
+3. Buckets that still hold several components are dealt to cells: a bucket's members in blocks of about ``cell_rows`` rows
+   and ``cell_shingles`` shingles at most, every two blocks one cell.  A cell counts all its intersections at once, as a
+   product of the matrix of members and the shingles that occur twice in it, and returns the links that join components.
 
 So no pair is ever a row unless its members meet in a star or are linked, and no candidate is given up.  With 44 bands
 of 5 rows a pair at similarity 0.75 shares no bucket with a probability below 1e-5.
@@ -25,19 +26,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.shingles import U, mixed, shingle_sets
+from gristmill.functions.shingles import U, mixed, shingle_sets
 from gristmill.operators.components import connected_components
+from gristmill.operators.skew import lookup
 from gristmill.storage import discard, materialize
 
 SHINGLE_WORDS = 5
 PERMUTATIONS = 110
 ROWS = 5
 PERCENT = 75
-#: Members of a bucket in a block; blocks of a bucket meet two by two.
+#: Members of a bucket in a block, and their shingles; blocks of a bucket meet two by two.
 CELL_ROWS = 256
+CELL_SHINGLES = 1_000_000
+#: Groups that the members of a class are dealt to.
+SALTS = 256
 _STRIP = 8192
 _SLICE = 64
 
@@ -99,20 +104,30 @@ def full_sets(docs: DataFrame, ids: DataFrame, n: int = SHINGLE_WORDS) -> DataFr
     return rows.join(ids.select("doc_id"), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
+def _cells(rows: Column, shingles: Column, cell_rows: int) -> Column:
+    """Into how many cells so many rows and shingles go."""
+    return F.greatest(F.ceil(rows / cell_rows), F.ceil(shingles / CELL_SHINGLES), F.lit(1)).cast("int")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            left, right, keep = b.column(2), b.column(3), []
-            for x, y in zip(left, right, strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """The pairs (a, b, nb) whose full sets reach the similarity.  A cell has the set of one a, and those of some of its b."""
+
+    def compare(one: pa.Table, many: pa.Table) -> pa.Table:
+        found, a = [], one["pivot"][0].as_py() if len(one) else 0
+        for own in one["set_a"]:  # more than one only where a document has several texts
+            x = np.frombuffer(own.as_buffer(), U)
+            for b, cell in zip(many["b"].to_pylist(), many["set_b"], strict=True):
+                y = np.frombuffer(cell.as_buffer(), U)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    found.append(b)
+        return pa.table({"a": pa.array([a] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
 
-    one, two = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
+    by = pairs.groupBy("a").agg(_cells(F.count(F.lit(1)), F.sum("nb"), cell_rows).alias("cells"))
+    dealt = lookup(pairs, by, ["a"], "b").select("a", "b", F.pmod(F.xxhash64("b", F.lit(1)), F.col("cells")).cast("int").alias("cell"))
+    many = dealt.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b").select("a", "cell", "b", "set_b")
+    one = by.join(sets, F.col("a") == F.col("doc_id")).select(F.col("a").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("part"), F.col("shingles").alias("set_a"))
+    return one.groupBy("pivot", "part").cogroup(many.groupBy("a", "cell")).applyInArrow(compare, "a long, b long")
 
 
 def joining_links(docs: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -165,39 +180,61 @@ def _between_components(members: DataFrame, sets: DataFrame, percent: int) -> Da
     return full.groupBy("band", "key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
+def _classes(real: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """parts: a row for each group (s) of a class's members; classes: print_a, print_b, n_shingles, rep, other.  Stored."""
+    parts = real.groupBy(*_PRINT, _group().alias("s")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    parts = materialize(parts, "minmax-parts")
+    return parts, materialize(parts.groupBy(*_PRINT).agg(F.min("lo").alias("rep"), F.max("hi").alias("other")), "minmax-classes")
+
+
+_PRINT = ("print_a", "print_b", "n_shingles")
+
+
+def _group() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, permutations: int = PERMUTATIONS, rows: int = ROWS, n: int = SHINGLE_WORDS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text)."""
     sig = materialize(signatures(docs, permutations, rows, n), "minmax-signatures")
     real = sig.where("n_shingles > 0 and doc_id is not null")
-    repeated = real.groupBy("doc_id", "print_a", "print_b").count().where("count > 1").limit(1).count() > 0
+    several = materialize(real.groupBy("doc_id").count().where("count > 1").select("doc_id"), "minmax-several")
+    repeated = several.limit(1).count() > 0
     if repeated:
-        real = real.dropDuplicates(["doc_id", "print_a", "print_b"])
-    same = ["print_a", "print_b", "n_shingles"]
-    classes = materialize(real.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")), "minmax-classes")
-    # equal sets: every member with its class's least
-    equal = real.select("doc_id", *same).join(classes.where("rep <> other"), same).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+        real = real.dropDuplicates(["doc_id", *_PRINT])
+    parts, classes = _classes(real)
 
     # one bucket row for each band of each class; buckets of one class are left out
     reps = real.join(classes.select("print_a", "print_b", F.col("rep").alias("doc_id")), ["doc_id", "print_a", "print_b"], "left_semi")
     banded = reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
-    shared = materialize(banded.groupBy("band", "key").agg(F.min("doc").alias("pivot"), F.max("doc").alias("other")).where("pivot <> other").select("band", "key", "pivot"), "minmax-shared")
+    shared = banded.groupBy("band", "key").agg(F.min(F.struct("doc", "n")).alias("p"), F.max("doc").alias("other")).where("p.doc <> other")
+    shared = materialize(shared.select("band", "key", F.col("p.doc").alias("pivot"), F.col("p.n").alias("na")), "minmax-shared")
     members = materialize(banded.join(shared, ["band", "key"]), "minmax-members")
     sets = full_sets(docs, materialize(members.select(F.col("doc").alias("doc_id")).distinct(), "minmax-candidates"), n)
     sets = materialize(sets.dropDuplicates() if repeated else sets, "minmax-sets")
 
-    pairs = members.where("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b"), F.col("n").alias("nb")).distinct()
-    pairs = pairs.join(classes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na")), "a")
-    near = materialize(confirmed(_fitting(pairs, percent), sets, percent), "minmax-links")
-    parts = connected_components(near)
-    rest = members.select("band", "key", "doc").join(parts, F.col("doc") == F.col("node"), "left").select("band", "key", "doc", F.coalesce("component", "doc").alias("part"))
+    pairs = members.where("doc <> pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b"), "na", F.col("n").alias("nb"))
+    # sizes of documents with several texts say nothing about which of them are alike
+    pairs = materialize((pairs if repeated else _fitting(pairs, percent)).groupBy("a", "b").agg(F.max("nb").alias("nb")), "minmax-pairs")
+    near = materialize(confirmed(pairs, sets, percent, cell_rows), "minmax-links")
+    if repeated:  # the classes that a document of several texts is in
+        both = parts.select(*_PRINT, "s").join(classes, list(_PRINT)).select(*_PRINT, "s", "rep")
+        ties = real.join(several, "doc_id", "left_semi").withColumn("s", _group()).join(both, [*_PRINT, "s"])
+        near = materialize(near.unionByName(ties.where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), "minmax-links")
+    linked = connected_components(near)
+    rest = members.select("band", "key", "doc", "n").join(linked, F.col("doc") == F.col("node"), "left").select("band", "key", "doc", "n", F.coalesce("component", "doc").alias("part"))
     rest = materialize(rest, "minmax-members")
-    buckets = rest.groupBy("band", "key").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.count(F.lit(1)).alias("m")).where("p0 <> p1")
-    open_ = rest.join(materialize(buckets.select("band", "key", F.ceil(F.col("m") / cell_rows).cast("int").alias("blocks")), "minmax-open"), ["band", "key"])
-    near = near.unionByName(materialize(_between_components(open_, sets, percent), "minmax-links"))
-    parts = connected_components(equal.unionByName(near))
-    out = sig.select("doc_id", "n_shingles").join(parts, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    buckets = rest.groupBy("band", "key").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), _cells(F.count(F.lit(1)), F.sum("n"), cell_rows).alias("blocks")).where("p0 <> p1")
+    open_ = rest.join(materialize(buckets.select("band", "key", "blocks"), "minmax-open"), ["band", "key"])
+    more = materialize(_between_components(open_, sets, percent), "minmax-links")
+    if more.limit(1).count():
+        linked = connected_components(near.unionByName(more))
+    found = classes.join(linked, F.col("rep") == F.col("node"), "left").where("component is not null or rep <> other").select(*_PRINT, F.coalesce("component", "rep").alias("component_id"))
+    told = parts.select(*_PRINT, "s").join(found, list(_PRINT))
+    rows_ = sig.select("doc_id", *_PRINT, F.when(F.col("doc_id").isNotNull(), _group()).alias("s"))
+    out = rows_.join(told, [*_PRINT, "s"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = materialize(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "minmax-result")
-    discard(sig, classes, shared, sets, members, rest)
+    discard(sig, parts, classes, shared, sets, members, rest, pairs, near, more)
     return out
 
 
@@ -215,7 +252,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
 
 def _fitting(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs whose set sizes alone don't rule the similarity out."""
-    return pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
+    return pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
 
 
 def op9_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gristmill.functions.shingles import buffers
 from gristmill.llm.files import read_range, write_file
-from gristmill.llm.shingles import buffers
 from gristmill.storage import materialize, scratch_path
 
 MAGIC = b"GMTOKID1"
