@@ -7,8 +7,9 @@ at most ``2 * size - 1`` words long.  Words of documents join segments on that w
 leave room for the segment's shortest window (length and positional bounds) and agree with it on the longer half beside
 the rare word.  What is left is verified word by word over every window of the segment.
 
-The segments are taken in blocks of ``BLOCK`` rows of bounded size, each sent to all tasks; a benchmark of any size is
-so many blocks.
+Every step reads the corpus once, whatever the benchmark's size.  Up to ``BLOCK`` segments, rows of bounded size, are sent to
+all tasks.  More are joined by a shuffle on the rare word, to which a document's word goes with the words around it that
+a segment can reach; words that are no segment's are left out before it while the rare words are few enough to send.
 
 Rows: null text has no words; documents without words are clean.  Repeated rows get equal results.  Items without words
 or with a null text never occur; a null item_id counts for hits but has no name to list.  Items that share an id are
@@ -28,7 +29,7 @@ from gristmill.storage import materialize
 
 WINDOW = 10
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Segments (at most 2 * WINDOW - 1 words) or words that one broadcast holds.
+#: Segments (at most 2 * WINDOW - 1 words) that one broadcast holds, and a tenth of the words that one does.
 BLOCK = 20_000
 
 
@@ -37,23 +38,14 @@ def words(text: Column) -> Column:
     t = F.coalesce(text.cast("string"), F.lit(""))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     lowered = F.when(t.rlike(r"[^\x00-\x7F]"), F.translate(t, upper, upper.lower())).otherwise(F.lower(t))
-    return F.filter(F.split(lowered, GAP), lambda w: w != "")
+    return F.array_remove(F.split(lowered, GAP), "")
 
 
-def _blocks(table: DataFrame, order: list[str], block: int) -> list[DataFrame]:
-    """The stored table in pieces of at most ``block`` rows."""
-    n = table.count()
-    if n <= block:
-        return [table] if n else []
-    numbered = materialize(table.withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))), "decontam-numbered")
-    return [numbered.where((F.col("_n") > i) & (F.col("_n") <= i + block)).drop("_n") for i in range(0, n, block)]
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def count_words(text: Column) -> Column:
+    """How many ``words`` there are, as the text stands: one more than the gaps, less those at the ends."""
+    t, gap = F.coalesce(text.cast("string"), F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+    ends = F.when(t.rlike(f"^{gap}|^$"), 1).otherwise(0) + F.when(t.rlike(gap + r"\z"), 1).otherwise(0)
+    return (F.size(F.split(t, gap + "+")) - ends).cast("long")
 
 
 def segments(texts: DataFrame, benchmark: DataFrame, size: int = WINDOW, block: int = BLOCK) -> DataFrame:
@@ -62,12 +54,12 @@ def segments(texts: DataFrame, benchmark: DataFrame, size: int = WINDOW, block:
     items = materialize(items.withColumn("row", F.xxhash64("item", "words")), "decontam-items")
     placed = items.select("row", "item", F.posexplode("words").alias("pos", "word"))
     vocabulary = materialize(placed.select("word").distinct(), "decontam-vocabulary")
-    counts = [texts.select(F.explode("words").alias("word")).join(F.broadcast(v), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n")) for v in _blocks(vocabulary, ["word"], block * 10)]
-    if counts:
-        counts = materialize(_union(counts), "decontam-counts")
-        placed = placed.join(counts, "word", "left").select("row", "item", "pos", "word", F.coalesce("n", F.lit(0)).alias("n"))
-    else:
-        placed = placed.withColumn("n", F.lit(0).cast("long"))
+    # an outer explode: for an inner one, the optimizer would cut the words once more to see whether there are any
+    said = texts.select(F.explode_outer("words").alias("word"))
+    few = vocabulary.count() <= block * 10
+    counts = (said.join(F.broadcast(vocabulary), "word") if few else said).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(counts if few else counts.join(vocabulary, "word"), "decontam-counts")
+    placed = placed.join(counts, "word", "left").select("row", "item", "pos", "word", F.coalesce("n", F.lit(0)).alias("n"))
     ranked = placed.groupBy("row", "item").agg(F.sort_array(F.collect_list(F.struct("pos", "n", "word"))).alias("t"))
     ranked = ranked.select("row", "item", F.transform("t", lambda x: x["word"]).alias("words"), F.transform("t", lambda x: F.struct(x["n"].alias("n"), x["word"].alias("word"), x["pos"].alias("pos"))).alias("t"))
     ranked = ranked.withColumn("win", F.least(F.lit(size), F.size("words")))
@@ -81,25 +73,30 @@ def segments(texts: DataFrame, benchmark: DataFrame, size: int = WINDOW, block:
     return materialize(out.withColumns({"half": half, "before": before, "after": after}), "decontam-segments")
 
 
-def hits(texts: DataFrame, segs: DataFrame, block: int = BLOCK) -> DataFrame:
+def hits(texts: DataFrame, segs: DataFrame, size: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """d_id, d_tie, item, start, stop (words of the document) of every occurrence.  ``texts``: d_id, d_tie, words."""
-    found = []
-    for s in _blocks(segs, ["key", "item", "off"], block):
-        at = texts.select("d_id", "d_tie", "words", F.posexplode("words").alias("pos", "key"))
-        half, p = F.col("half"), F.col("pos")
-        left = F.col("before").isNotNull() & (p >= half) & (F.slice("words", F.greatest(p - half + 1, F.lit(1)), half) == F.col("before"))
-        right = F.col("after").isNotNull() & (p + half < F.size("words")) & (F.slice("words", p + 2, half) == F.col("after"))
-        near = at.join(F.broadcast(s), "key").where((F.size("words") >= F.col("win")) & (left | right))
-        shift = F.col("pos") - F.col("off")
-        whole = F.filter(F.sequence(F.lit(0), F.size("seg") - F.col("win")), lambda w: (w + shift >= 0) & (F.slice("words", F.greatest(w + shift + 1, F.lit(1)), F.col("win")) == F.slice("seg", w + 1, F.col("win"))))
-        span = F.when(F.size("whole") > 0, F.struct((F.col("shift") + F.array_min("whole")).alias("start"), (F.col("shift") + F.array_max("whole") + F.col("win")).alias("stop")))
-        near = near.select("d_id", "d_tie", "item", shift.alias("shift"), "win", whole.alias("whole"))
-        # an outer explode holds the check above the join, whose condition then stays compiled
-        near = near.select("d_id", "d_tie", "item", F.explode_outer(F.array(span)).alias("at")).where("at is not null")
-        found.append(near.select("d_id", "d_tie", "item", "at.start", "at.stop"))
-    if not found:
-        return texts.select("d_id", "d_tie", F.lit(None).cast("string").alias("item"), F.lit(0).alias("start"), F.lit(0).alias("stop")).where("false")
-    return _union(found)
+    at = texts.select("d_id", "d_tie", "words", F.posexplode_outer("words").alias("pos", "key"))
+    if segs.count() <= block:
+        near = at.withColumn("ahead", F.lit(0)).join(F.broadcast(segs), "key")
+    else:
+        keys = materialize(segs.select("key").distinct(), "decontam-keys")
+        at = at.join(F.broadcast(keys), "key", "left_semi") if keys.count() <= block * 10 else at.where("key is not null")
+        reach = 2 * size - 2  # words of a segment beside its rare one
+        around = F.slice("words", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(reach)) + 1 + reach)
+        at = at.select("d_id", "d_tie", "key", F.greatest(F.col("pos") - reach, F.lit(0)).alias("ahead"), F.least(F.col("pos"), F.lit(reach)).alias("pos"), around.alias("words"))
+        near = at.join(segs, "key")
+    half, p = F.col("half"), F.col("pos")
+    left = F.col("before").isNotNull() & (p >= half) & (F.slice("words", F.greatest(p - half + 1, F.lit(1)), half) == F.col("before"))
+    right = F.col("after").isNotNull() & (p + half < F.size("words")) & (F.slice("words", p + 2, half) == F.col("after"))
+    near = near.where((F.size("words") >= F.col("win")) & (left | right))
+    shift = F.col("pos") - F.col("off")
+    whole = F.filter(F.sequence(F.lit(0), F.size("seg") - F.col("win")), lambda w: (w + shift >= 0) & (F.slice("words", F.greatest(w + shift + 1, F.lit(1)), F.col("win")) == F.slice("seg", w + 1, F.col("win"))))
+    shifted = F.col("shift") + F.col("ahead")
+    span = F.when(F.size("whole") > 0, F.struct((shifted + F.array_min("whole")).alias("start"), (shifted + F.array_max("whole") + F.col("win")).alias("stop")))
+    near = near.select("d_id", "d_tie", "item", shift.alias("shift"), "ahead", "win", whole.alias("whole"))
+    # an outer explode holds the check above the join, whose condition then stays compiled
+    near = near.select("d_id", "d_tie", "item", F.explode_outer(F.array(span)).alias("at")).where("at is not null")
+    return near.select("d_id", "d_tie", "item", "at.start", "at.stop")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -109,7 +106,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """d_id, d_tie, n_hit, items (sorted names) of the documents with an occurrence, stored."""
     texts = _texts(docs)
-    every = hits(texts, segments(texts, benchmark, size, block), block).distinct()
+    every = hits(texts, segments(texts, benchmark, size, block), size, block).distinct()
     order = Window.partitionBy("d_id", "d_tie").orderBy("start", "stop", "item")
     reached = F.coalesce(F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     every = every.withColumn("fresh", F.greatest(F.lit(0), F.col("stop") - F.greatest("start", reached)))
@@ -127,7 +124,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 def op10_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     dirty = contaminated(docs, benchmark)
-    rows = _texts(docs).select(F.col("d_id").alias("doc_id"), F.col("d_tie").alias("tie"), F.size("words").cast("long").alias("n_words"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), count_words(F.col("text")).alias("n_words"))
     out = rows.join(dirty, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("tie") == F.col("d_tie")), "left")
     names = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
