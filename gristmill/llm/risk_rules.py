@@ -1,16 +1,20 @@
 """Quality rules whose cutoffs are chosen so that good documents are rejected no more often than promised.
 
-A base rule rejects short and self-repeating texts.  Five more rules each bound a ratio; a rule's cutoffs form a fixed
-sequence from loose to strict.  In every stratum (language), for every rule, the labelled good documents that pass the
-base rule are the holdout: at a cutoff, k of n of them would be rejected.  The exact binomial test of "the rule rejects
-more than ``risk`` of the good documents" has the p-value P(Binomial(n, risk) <= k).  Cutoffs are tested in their order
-until one fails, which needs no correction along a sequence; over strata and rules the level ``delta`` is divided by the
-number of sequences (Bonferroni).  So with probability 1 - delta no rule in any stratum rejects more than ``risk`` of its good
-documents.  The strictest cutoff that passes is used; a rule without one stays out of use in that stratum, as does
-every rule in a stratum without labels.
+A base rule rejects short and self-repeating texts.  Five more rules each bound a ratio, with cutoffs from loose to strict.
+What is chosen for a stratum (language) is a setting: which rules are in use, and one step for all of them.  The labelled
+good documents of the stratum that pass the base rule are the holdout: under a setting, k of n of them would be rejected by
+any of its rules.  The exact binomial test of "the setting rejects more than ``risk`` of the good documents" has the p-value
+P(Binomial(n, risk) <= k).  For every set of rules the steps are tested in their order, from loose to strict, until one
+fails, which needs no correction along a sequence; over strata and sets of rules the level ``delta`` is divided by the
+number of sequences (Bonferroni).  So with probability 1 - delta no setting that passes, in any stratum, rejects more than
+``risk`` of the stratum's good documents, whichever of them is taken.
+
+Taken is the one that rejects most of the stratum's labelled bad documents; of equals the one that rejects fewest good
+ones, then the loosest, then the one with the fewest rules in the order below.  Without one that passes, and without
+labels, only the base rule is in use.
 
 Rows: null text counts as empty; it and texts without a word fail the base rule.  A null language is a stratum of its
-own.  Documents labelled more than once are good if all labels say so.  Repeated rows get equal results.  An empty
+own.  Documents labelled more than once are good if all labels say so, else bad.  Repeated rows get equal results.  An empty
 table gives an empty result, an empty label table leaves the base rule.  Other columns may have any names.
 
 Only DataFrame functions run here.
@@ -36,6 +40,7 @@ RULES: dict[str, tuple[str, tuple[float, ...]]] = {
     "repeats": ("n_repeat_words / n_words", (0.4, 0.3, 0.25, 0.2, 0.15, 0.1)),
     "same_lines": ("n_dup_lines / n_lines", (0.8, 0.6, 0.5, 0.4, 0.3, 0.2)),
 }
+STEPS = 6
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs", "n_capitals")
 #: Terms of a binomial tail that are added one by one; a geometric bound covers those below.
 TAIL_TERMS = 4000
@@ -103,18 +108,39 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k < n * p, F.least(F.lit(1.0), F.exp(at_k) * (tail["sum"] + rest))).otherwise(1.0)
 
 
+def _first_step(rule: str) -> Column:
+    """The step from which on the rule rejects a document; as many as there are steps if none does."""
+    ratio, total = _ratio(rule), F.lit(0)
+    for cut in RULES[rule][1]:
+        total = total + F.when(ratio <= cut, 1).otherwise(0)
+    return total
+
+
+def settings(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """stratum, mask (bit i: the i-th rule is in use), step, n, good, bad (rejected ones), passed, of every setting."""
+    known = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("quality").cast("int").alias("q")).where("q is not null").groupBy("l_id").agg(F.min("q").alias("q"))
+    held = measured.where(~base_failed()).join(known, F.col("_id") == F.col("l_id")).select("_stratum", "q", *[_first_step(r).alias(f"s_{r}") for r in RULES])
+    # a row for each combination of steps that occurs, at most (steps + 1) ** rules a stratum
+    cells = held.groupBy("_stratum", *[f"s_{r}" for r in RULES]).agg(F.count_if(F.col("q") == 1).alias("g"), F.count_if(F.col("q") != 1).alias("b"))
+    cells = cells.withColumn("mask", F.explode(F.sequence(F.lit(1), F.lit(2 ** len(RULES) - 1))))
+    least = F.least(*[F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, F.col(f"s_{r}")).otherwise(STEPS) for i, r in enumerate(RULES)])
+    per = cells.groupBy("_stratum", "mask", least.alias("first")).agg(F.sum("g").alias("g"), F.sum("b").alias("b"))
+    steps = per.groupBy("_stratum", "mask").agg(F.sum("g").alias("n"), F.collect_list(F.struct("first", "g", "b")).alias("c")).where("n > 0").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))))
+    upto = lambda name: F.aggregate(F.filter("c", lambda x: x["first"] <= F.col("step")), F.lit(0).cast("long"), lambda a, x: a + x[name])
+    steps = steps.select("_stratum", "mask", "step", "n", upto("g").alias("good"), upto("b").alias("bad"))
+    strata = steps.agg(F.count_distinct(F.coalesce(F.concat(F.lit("="), F.col("_stratum")), F.lit(""))).alias("strata"))  # one row
+    steps = steps.crossJoin(F.broadcast(strata))
+    failed = binomial_tail(F.col("good"), F.col("n"), risk) > F.lit(delta) / (2 ** len(RULES) - 1) / F.col("strata")
+    so_far = Window.partitionBy("_stratum", "mask").orderBy("step")
+    return steps.withColumn("passed", F.max(failed.cast("int")).over(so_far) == 0).drop("strata")
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """stratum and, for each rule, the cutoff in use (null: none).  ``measured`` has _id, _stratum and FEATURES."""
-    good = labels.select(F.col("doc_id").cast("long").alias("g_id"), F.col("quality").cast("int").alias("q")).groupBy("g_id").agg(F.min("q").alias("q")).where("q = 1")
-    held = measured.where(~base_failed()).join(good, F.col("_id") == F.col("g_id"), "left_semi")
-    sums = [F.sum(F.when(_ratio(r) > c, 1).otherwise(0)).alias(f"{r}_{i}") for r, (_, cs) in RULES.items() for i, c in enumerate(cs)]
-    counts = held.groupBy("_stratum").agg(F.count(F.lit(1)).alias("n"), *sums)  # a row a stratum
-    counts = counts.withColumn("level", F.lit(delta) / len(RULES) / F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
-    steps = [F.struct(F.lit(r).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cut"), F.col(f"{r}_{i}").alias("k")) for r, (_, cs) in RULES.items() for i, c in enumerate(cs)]
-    tests = counts.select("_stratum", "n", "level", F.explode(F.array(*steps)).alias("t")).select("_stratum", "n", "level", "t.*")
-    tests = tests.withColumn("failed", (binomial_tail(F.col("k"), F.col("n"), risk) > F.col("level")).cast("int"))
-    reached = tests.withColumn("stopped", F.max("failed").over(Window.partitionBy("_stratum", "rule").orderBy("step"))).where("stopped = 0")
-    return reached.groupBy(F.col("_stratum").alias("c_stratum")).agg(*[F.min(F.when(F.col("rule") == r, F.col("cut"))).alias(f"cut_{r}") for r in RULES])
+    tested = settings(measured, labels, risk, delta).where("passed")
+    best = tested.groupBy(F.col("_stratum").alias("c_stratum")).agg(F.max(F.struct("bad", -F.col("good"), -F.col("step"), -F.col("mask"), "mask", "step")).alias("s"))
+    used = lambda i: F.col("s.mask").bitwiseAND(F.lit(1 << i)) != 0
+    return best.select("c_stratum", *[F.when(used(i), F.element_at(F.array(*map(F.lit, cs)), F.col("s.step") + 1)).alias(f"cut_{r}") for i, (r, (_, cs)) in enumerate(RULES.items())])
 
 
 def judged(measured: DataFrame, cuts: DataFrame) -> DataFrame:

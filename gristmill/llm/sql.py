@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from gristmill.llm.decontam import WINDOW
 from gristmill.llm.fair_mix import REPEATS, WEIGHTS
-from gristmill.llm.risk_rules import DELTA, FEATURES, MIN_WORDS, RISK, RULES
+from gristmill.llm.risk_rules import DELTA, FEATURES, MIN_WORDS, RISK, RULES, STEPS
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _GAP = r"[\x20\x09-\x0D]+"
@@ -30,10 +30,11 @@ def _ratio(rule: str) -> str:
     return f"CASE WHEN {bottom} > 0 THEN CAST({top} AS DOUBLE) / {bottom} ELSE 0 END"
 
 
-_GRID = " UNION ALL ".join(f"SELECT stratum, '{r}' AS rule, {i} AS step, CAST({c} AS DOUBLE) AS cut, n, k_{r}_{i} AS k FROM held" for r, (_, cs) in RULES.items() for i, c in enumerate(cs))
-_SUMS = ", ".join(f"count(*) FILTER ({_ratio(r)} > {c}) AS k_{r}_{i}" for r, (_, cs) in RULES.items() for i, c in enumerate(cs))
+_STEPS = [f"({' + '.join(f'CASE WHEN {_ratio(r)} <= {c} THEN 1 ELSE 0 END' for c in cs)}) AS s_{r}" for r, (_, cs) in RULES.items()]
+_LEAST = "least(" + ", ".join(f"CASE WHEN mask & {1 << i} <> 0 THEN s_{r} ELSE {STEPS} END" for i, r in enumerate(RULES)) + ")"
 _REJECTS = " OR ".join(f"coalesce({_ratio(r)} > c.cut_{r}, false)" for r in RULES)
-_CUTS = ", ".join(f"min(cut) FILTER (rule = '{r}') AS cut_{r}" for r in RULES)
+_CUTS = ", ".join(f"CASE WHEN mask & {1 << i} <> 0 THEN list_extract([{', '.join(f'CAST({c} AS DOUBLE)' for c in cs)}], step + 1) END AS cut_{r}" for i, (r, (_, cs)) in enumerate(RULES.items()))
+_SETS = 2 ** len(RULES) - 1
 
 RISK_RULES = rf"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
@@ -46,13 +47,16 @@ f AS (SELECT d.doc_id, d.lang AS stratum, len({_split("text", _GAP)}) AS n_words
     coalesce(l.n_dup, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, coalesce(l.n_lines, 0) AS n_lines, len(regexp_replace(text, '[^!]+', '', 'g')) AS n_bangs, len(regexp_replace(text, '[^A-Z]+', '', 'g')) AS n_capitals
   FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN lines l USING (doc_id)),
 m AS (SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM f),
-good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
-held AS (SELECT stratum, count(*) AS n, {_SUMS} FROM m WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY stratum),
-grid AS ({_GRID}),
-tails AS (SELECT stratum, rule, step, cut, CASE WHEN k >= n * CAST({RISK} AS DOUBLE) THEN 1.0 ELSE (
-    SELECT sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln(CAST({RISK} AS DOUBLE)) + (n - i) * ln(CAST({1 - RISK} AS DOUBLE)))) FROM unnest(range(0, k + 1)) AS u(i)) END AS p FROM grid),
-passed AS (SELECT stratum, rule, step, cut, max(CASE WHEN p <= CAST({DELTA} AS DOUBLE) / {len(RULES)} / (SELECT count(*) FROM held) THEN 0 ELSE 1 END) OVER (PARTITION BY stratum, rule ORDER BY step) AS stopped FROM tails),
-cuts AS (SELECT stratum, {_CUTS} FROM passed WHERE stopped = 0 GROUP BY stratum)
+known AS (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+held AS (SELECT stratum, q, {", ".join(_STEPS)} FROM m JOIN known USING (doc_id) WHERE NOT base_failed),
+per AS (SELECT stratum, mask, {_LEAST} AS first, q FROM held, (SELECT CAST(unnest(range(1, {_SETS + 1})) AS BIGINT) AS mask)),
+grid AS (SELECT stratum, mask, step, count(*) FILTER (q = 1) AS n, count(*) FILTER (q = 1 AND first <= step) AS good, count(*) FILTER (q <> 1 AND first <= step) AS bad
+  FROM per, (SELECT CAST(unnest(range(0, {STEPS})) AS BIGINT) AS step) GROUP BY stratum, mask, step),
+tails AS (SELECT *, CASE WHEN good >= n * CAST({RISK} AS DOUBLE) THEN 1.0 ELSE (
+    SELECT sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln(CAST({RISK} AS DOUBLE)) + (n - i) * ln(CAST({1 - RISK} AS DOUBLE)))) FROM unnest(range(0, good + 1)) AS u(i)) END AS p FROM grid WHERE n > 0),
+passed AS (SELECT *, max(CASE WHEN p <= CAST({DELTA} AS DOUBLE) / {_SETS} / (SELECT count(DISTINCT coalesce('=' || stratum, '')) FROM tails) THEN 0 ELSE 1 END) OVER (PARTITION BY stratum, mask ORDER BY step) AS stopped FROM tails),
+taken AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY bad DESC, good, step, mask) AS k FROM passed WHERE stopped = 0),
+cuts AS (SELECT stratum, {_CUTS} FROM taken WHERE k = 1)
 SELECT doc_id, {", ".join(f"CAST({x} AS BIGINT) AS {x}" for x in FEATURES)}, base_failed, (NOT base_failed AND NOT ({_REJECTS})) AS kept
 FROM m LEFT JOIN cuts c ON m.stratum IS NOT DISTINCT FROM c.stratum
 """
