@@ -168,7 +168,8 @@ def flag_label(key: str, label: str | None = None) -> str:
 
 
 def slug(name: str) -> str:
-    return re.sub("[^0-9A-Za-z]+", "_", name).strip("_")
+    """A name as part of a column name: lower case, ``_`` for all that is no ASCII letter or digit."""
+    return re.sub("[^a-z0-9]+", "_", name.lower()).strip("_")
 
 
 def rgb(colour: str, fallback: str = "0, 0, 0") -> str:

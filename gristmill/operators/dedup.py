@@ -2,39 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from gristmill.functions.text import text_key, text_or_empty
+from gristmill.operators.skew import lookup
+
+
+def text_print(c: Column | str = "text_key") -> Column:
+    """What stands for a key in shuffles: 256 bits, so that whole texts stay where they are."""
+    return F.sha2(F.col(c) if isinstance(c, str) else c, 256)
 
 
 def groups(comments: DataFrame) -> DataFrame:
-    """text_key, total_count, is_unique, duplication_ratio, representative row_idx, ids in input order.
+    """text_print, total_count, is_unique, duplication_ratio, rep (the first row_idx) of every distinct text.
 
-    Groups are counted before their members' ids are gathered, so a hot text is one combined row per task.
+    Counts are combined before the shuffle, so a hot text is one row per task; ``members`` has who is in a group.
     """
-    keyed = comments.select("row_idx", "id", text_key("text").alias("text_key"))
     total = comments.agg(F.count(F.lit(1)).alias("_all"))  # one row
-    out = keyed.groupBy("text_key").agg(F.count(F.lit(1)).alias("total_count"), F.min("row_idx").alias("rep"), F.sort_array(F.collect_list(F.struct("row_idx", "id"))).alias("_m"))
-    out = out.crossJoin(F.broadcast(total))
-    return out.select(
-        "text_key", "total_count", (F.col("total_count") == 1).alias("is_unique"), F.concat(F.lit("1/"), F.floor(F.col("_all") / F.col("total_count")).cast("string")).alias("duplication_ratio"), "rep", F.transform("_m", lambda m: m["id"]).alias("duplicate_ids")
-    )
+    out = comments.groupBy(text_print(text_key("text")).alias("text_print")).agg(F.count(F.lit(1)).alias("total_count"), F.min("row_idx").alias("rep"))
+    share = F.concat(F.lit("1/"), F.floor(F.col("_all") / F.col("total_count")).cast("string"))
+    return out.crossJoin(F.broadcast(total)).select("text_print", "total_count", (F.col("total_count") == 1).alias("is_unique"), share.alias("duplication_ratio"), "rep")
+
+
+def members(comments: DataFrame) -> DataFrame:
+    """row_idx, id, rep, total_count of every comment: its group by the group's first row.  A hot text is dealt to many tasks."""
+    keyed = comments.select("row_idx", "id", text_print(text_key("text")).alias("text_print"))
+    return lookup(keyed, groups(comments).select("text_print", "rep", "total_count"), ["text_print"], "row_idx").select("row_idx", "id", "rep", "total_count")
 
 
 def representatives(comments: DataFrame) -> DataFrame:
     """The first row of every distinct text, with its key and count."""
-    keyed = comments.withColumn("text_key", text_key("text"))
-    first = keyed.groupBy("text_key").agg(F.min("row_idx").alias("row_idx"), F.count(F.lit(1)).alias("total_count"))
-    return keyed.join(first, ["text_key", "row_idx"])
+    first = groups(comments).select(F.col("rep").alias("row_idx"), "total_count")
+    return comments.join(first, "row_idx").withColumn("text_key", text_key("text"))
 
 
 def spread(comments: DataFrame, analysed: DataFrame) -> DataFrame:
-    """Give every comment the analysis of its text.  Joins on a hash of the text beside the text itself."""
-    c = comments.withColumn("text_key", text_key("text")).withColumn("_h", F.xxhash64("text_key"))
-    a = analysed.select(F.xxhash64("text_key").alias("_h"), F.col("text_key").alias("_k"), "analysis")
-    return c.drop("analysis").join(a, "_h", "left").where(F.col("_k").isNull() | (F.col("_k") == F.col("text_key"))).drop("_h", "_k")
+    """Give every comment the analysis of its text, null without one.  A hot text is dealt to many tasks."""
+    c = comments.drop("analysis").withColumn("text_key", text_key("text")).withColumn("_print", text_print())
+    a = analysed.select(text_print().alias("_print"), "analysis")
+    return lookup(c, a, ["_print"], "row_idx", "left").drop("_print")
 
 
 def contains_quote(quote: Column, source: Column) -> Column:
@@ -43,38 +53,87 @@ def contains_quote(quote: Column, source: Column) -> Column:
     return F.when(F.length(text_or_empty(quote)) == 0, True).when(F.length(s) == 0, False).otherwise(s.contains(q))
 
 
-def longest_common(a: str, b: str) -> int:
-    """Length of the longest common substring."""
-    best, row = 0, [0] * (len(b) + 1)
-    for ch in a:
+class Runs:
+    """All runs of characters of one text, as a suffix automaton: the longest one that another text shares, in one pass over it."""
+
+    def __init__(self, text: str):
+        self.steps: list[dict[str, int]] = [{}]
+        self.back, self.length = [-1], [0]
         last = 0
-        for j, other in enumerate(b, 1):
-            keep, row[j] = row[j], last + 1 if ch == other else 0
-            last = keep
-            if row[j] > best:
-                best = row[j]
-    return best
+        for ch in text:
+            new = self._state({}, self.length[last] + 1)
+            at = last
+            while at >= 0 and ch not in self.steps[at]:
+                self.steps[at][ch] = new
+                at = self.back[at]
+            if at < 0:
+                self.back[new] = 0
+            else:
+                to = self.steps[at][ch]
+                if self.length[to] != self.length[at] + 1:
+                    twin = self._state(dict(self.steps[to]), self.length[at] + 1)
+                    self.back[twin], self.back[to] = self.back[to], twin
+                    while at >= 0 and self.steps[at].get(ch) == to:
+                        self.steps[at][ch] = twin
+                        at = self.back[at]
+                    to = twin
+                self.back[new] = to
+            last = new
+
+    def _state(self, steps: dict[str, int], length: int) -> int:
+        self.steps.append(steps)
+        self.back.append(0)
+        self.length.append(length)
+        return len(self.steps) - 1
+
+    def longest_in(self, text: str) -> int:
+        best = at = run = 0
+        for ch in text:
+            while at and ch not in self.steps[at]:
+                at = self.back[at]
+                run = self.length[at]
+            if ch in self.steps[at]:
+                at, run = self.steps[at][ch], run + 1
+                best = max(best, run)
+        return best
 
 
-QUOTE_RESULT = StructType([StructField("valid", BooleanType()), StructField("score", DoubleType())])
+def longest_common(a: str, b: str) -> int:
+    """Length of the longest common run; linear in both."""
+    return Runs(a).longest_in(b)
 
 
 def check_quotes(rows: DataFrame, quote: str, source: str, threshold: float = 0.7) -> DataFrame:
     """Adds valid and score (longest common run over the quote's length, 3 places).
 
-    Rows that plain containment settles never reach Python: the others are split off first.
+    Only what plain containment doesn't settle is compared; equal quotes of a batch share their automaton.
     """
     q, s = F.lower(F.regexp_replace(text_or_empty(quote), r"(?U)^\s+|\s+$", "")), F.lower(text_or_empty(source))
-    rows = rows.withColumn("_easy", F.when((F.length(text_or_empty(quote)) == 0) | (F.length(s) == 0), True).otherwise(s.contains(q)))
-    easy = rows.where("_easy").withColumn("valid", contains_quote(F.col(quote), F.col(source))).withColumn("score", F.when((F.length(text_or_empty(quote)) > 0) & F.col("valid"), 1.0).otherwise(0.0))
-
-    @F.udf(QUOTE_RESULT)
-    def compare(quote_, source_):
-        share = longest_common(quote_, source_) / len(quote_)
-        return share >= threshold, round(share, 3)
-
-    hard = rows.where("not _easy").withColumn("_r", compare(q, s)).withColumn("valid", F.col("_r.valid")).withColumn("score", F.col("_r.score")).drop("_r")
-    return easy.unionByName(hard).drop("_easy")
+    easy = contains_quote(F.col(quote), F.col(source)) | (F.length(s) == 0)
+    names = rows.columns
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Runs] = {}
+        for b in batches:
+            shares = []
+            for quote_, source_ in zip(b.column("_q").to_pylist(), b.column("_s").to_pylist(), strict=True):
+                if quote_ is None or not quote_:
+                    shares.append(None)
+                    continue
+                if quote_ not in known:
+                    if len(known) >= 200:
+                        known.clear()
+                    known[quote_] = Runs(quote_)
+                shares.append(known[quote_].longest_in(source_) / len(quote_))
+            scores = [None if x is None else round(x, 3) for x in shares]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(shares, pa.float64()), pa.array(scores, pa.float64())], [*names, "_share", "_score"])
+
+    hard = rows.withColumn("_easy", easy).withColumn("_q", F.when(~F.col("_easy"), q)).withColumn("_s", F.when(~F.col("_easy"), s)).drop("_easy")
+    told = hard.mapInArrow(compare, f"{kinds}, _share double, _score double")
+    valid = contains_quote(F.col(quote), F.col(source))
+    score = F.when((F.length(text_or_empty(quote)) > 0) & valid, 1.0).otherwise(0.0)
+    return told.withColumn("valid", F.coalesce(F.col("_share") >= threshold, valid)).withColumn("score", F.coalesce("_score", score)).drop("_share", "_score")
 
 
 #: a quote field and the value it is the evidence for

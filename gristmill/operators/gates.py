@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions import position
+from gristmill.operators.infer import credential_errors
 
 
 @dataclass(frozen=True)
@@ -99,19 +100,44 @@ def save_guarded(rows: DataFrame, path: str, force: bool = False, small: int = 1
     fs.rename(fresh, target)
 
 
-def published_baseline(path: str | Path) -> dict[str, float]:
+def _read_state(path: str | Path) -> dict:
+    """The state of a file below any path of this machine; an unreadable one counts as none."""
     p = Path(path)
-    return json.loads(p.read_text()).get("last_shares") or {} if p.exists() else {}
+    try:
+        found = json.loads(p.read_text()) if p.exists() else {}
+    except ValueError:
+        found = {}
+    return found if isinstance(found, dict) else {}
 
 
-def record_publish(total: int, path: str | Path, shares_: dict[str, float], day: str | None = None) -> bool:
-    """Append to the changelog on a first publish or growth; without growth the file stays as it is."""
-    p = Path(path)
-    state = json.loads(p.read_text()) if p.exists() else {"last_total": None, "entries": []}
-    last = state.get("last_total")
+def published_baseline(path: str | Path) -> dict[str, float]:
+    return _read_state(path).get("last_shares") or {}
+
+
+def changelog_state(state: dict, total: int, shares_: dict[str, float] | None, day: str) -> dict | None:
+    """The state after a publish, its newest entry first; None where nothing has grown.  Without shares the last ones stay."""
+    last, kept = state.get("last_total"), shares_ or state.get("last_shares")
     if last is not None and total <= last:
-        return False
-    note = f"First publish with {total:,} comments." if last is None else f"{total - last:,} comments added ({total:,} in all)."
-    state["entries"].append({"date": day or date.today().isoformat(), "note": note})
-    p.write_text(json.dumps(state | {"last_total": total, "last_shares": {k: round(v, 3) for k, v in shares_.items()}}, indent=1))
-    return True
+        return None
+    note = f"Published with {total:,} comments." if last is None else f"Now {total:,} comments, {total - last:,} of them new."
+    out = {"last_total": total, "entries": [{"date": day, "note": note}, *(state.get("entries") or [])]}
+    return out | ({"last_shares": {k: round(v, 3) for k, v in kept.items()}} if kept else {})
+
+
+def record_publish(total: int, path: str | Path, shares_: dict[str, float] | None = None, day: str | None = None) -> bool:
+    """Enter a first publish or growth in the changelog; without growth the file stays as it is."""
+    new = changelog_state(_read_state(path), total, shares_, day or date.today().isoformat())
+    if new is not None:
+        Path(path).write_text(json.dumps(new, indent=2))
+    return new is not None
+
+
+def credential_block(rows: DataFrame, error: str = "analysis_error") -> None:
+    """Stops a publish where any row failed for its credentials; results are kept before."""
+    if n := credential_errors(rows, error).count():
+        raise Refused(f"{n} analyses failed for their credentials")
+
+
+def sample_folder(base: str, sample: int | None, seed: int = 42) -> tuple[str, bool]:
+    """Where a run writes and whether it may publish: samples have a folder of their own and never do."""
+    return (base, True) if not sample else (f"{base.rstrip('/')}/samples/n{sample}-seed{seed}", False)

@@ -46,6 +46,9 @@ def sample_rows(rows: DataFrame, n: int, key: str, seed: str) -> DataFrame:
     return rows.orderBy(order_hash(F.col(key), seed), key).limit(n)
 
 
-def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key; rows without a key are left out."""
-    return rows.where(F.col(key) != "").groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+def run_counts(rows: DataFrame, kind: str | None = None, public: str = "Public Submission", error: str | None = None) -> DataFrame:
+    """rows, other_kinds, repeated_ids, failed: what a run says of itself.  ``rows``: id, and the columns named."""
+    none = F.lit(0).cast("long")
+    other = F.count_if(~F.coalesce(F.col(kind) == public, F.lit(False))) if kind else none
+    failed = F.count_if(strip(error) != "") if error else none
+    return rows.agg(F.count(F.lit(1)).alias("rows"), other.alias("other_kinds"), F.count_if(F.col("id").contains("#")).alias("repeated_ids"), failed.alias("failed"))

@@ -23,16 +23,17 @@ def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH t AS (SELECT a.conv_id, a.text AS body, CASE WHEN a.conv_id % 3 = 0 THEN '' ELSE coalesce(b.text, '') END AS att FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = 1 WHERE a.turn = 0),
-    c AS (SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN '' ELSE body END AS body, att FROM t)
-    SELECT conv_id, md5(CASE WHEN trim(body) <> '' AND trim(att) <> '' THEN body || chr(10) || chr(10) || '--- ATTACHMENT CONTENT ---' || chr(10) || att WHEN trim(body) <> '' THEN body ELSE att END) AS text_md5 FROM c
+    r"""WITH c AS (SELECT a.conv_id, a.turn, CASE WHEN a.conv_id % 5 = 0 THEN '' ELSE coalesce(a.text, '') END AS body, CASE WHEN a.conv_id % 3 = 0 THEN '' ELSE coalesce(b.text, '') END AS att
+      FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)
+    SELECT conv_id, turn, md5(CASE WHEN trim(body) <> '' AND trim(att) <> '' THEN body || chr(10) || chr(10) || '--- ATTACHMENT CONTENT ---' || chr(10) || att WHEN trim(body) <> '' THEN body ELSE att END) AS text_md5 FROM c
     WHERE trim(body) <> '' OR trim(att) <> ''"""
 )
 def combined_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a body, the turn after it as its attachment; either is blank in some conversations."""
     c = table(spark, sf_dir, "conversations")
-    body = c.where("turn = 0").select("conv_id", F.when(F.col("conv_id") % 5 == 0, "").otherwise(F.col("text")).alias("body"))
-    att = c.where("turn = 1").select("conv_id", F.when(F.col("conv_id") % 3 == 0, "").otherwise(F.col("text")).alias("att"))
-    return ingest.with_text(body.join(att, "conv_id", "left"), "body", "att").select("conv_id", F.md5("text").alias("text_md5"))
+    body = c.select("conv_id", "turn", F.when(F.col("conv_id") % 5 == 0, "").otherwise(F.col("text")).alias("body"))
+    att = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.when(F.col("conv_id") % 3 == 0, "").otherwise(F.col("text")).alias("att"))
+    return ingest.with_text(body.join(att, ["conv_id", "turn"], "left"), "body", "att").select("conv_id", "turn", F.md5("text").alias("text_md5"))
 
 
 @query(
@@ -78,15 +79,20 @@ def iso_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", T.iso_date(raw).alias("day"))
 
 
-@query()
+@query(
+    r"""WITH t AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>', '<b>', 'g') AS h FROM pages),
+    x AS (SELECT page_id, list_transform(string_split_regex(h, '(?s)<!--.*?-->|<[^>]*>'), lambda x: regexp_replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '^\s+|\s+$', '', 'g')) AS l FROM t),
+    j AS (SELECT page_id, array_to_string(list_filter(l, lambda x: x <> ''), chr(10)) AS text FROM x) SELECT page_id, len(text) AS n_chars, md5(text) AS text_md5 FROM j"""
+)
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.with_html_text(table(spark, sf_dir, "pages")).select("page_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+    return files.with_html_text(table(spark, sf_dir, "pages")).select("page_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 @query(
-    r"""WITH t AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN left(text, 5) WHEN 1 THEN '123 456 789 0123 ' || CAST(doc_id AS VARCHAR) WHEN 2 THEN left(text, 40) || chr(1) || chr(2) ELSE text END AS text FROM documents)
-    SELECT doc_id, CASE WHEN len(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 10 THEN true ELSE
-      CAST(len(text) - len(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g')) AS DOUBLE) / len(text) > 0.02 OR CAST(len(text) - len(regexp_replace(text, '\pL', '', 'g')) AS DOUBLE) / len(text) < 0.1 END AS gibberish FROM t"""
+    r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, CAST(len(coalesce(text, '')) AS DOUBLE) AS n FROM documents),
+    c AS (SELECT *, n - len(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g')) AS control, n - len(regexp_replace(text, '\pL', '', 'g')) AS letters,
+      (n - len(regexp_replace(text, '[\pC\pZ]', '', 'g'))) - (n - len(regexp_replace(text, '[ \t\n\r]', '', 'g'))) AS unprintable FROM t)
+    SELECT doc_id, CASE WHEN len(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 10 THEN true ELSE control / n > 0.02 OR (n - unprintable) / n < 0.8 OR letters / n < 0.1 END AS gibberish FROM c"""
 )
 def gibberish(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.gibberish("text").alias("gibberish"))
@@ -137,22 +143,29 @@ def matching_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH f AS (SELECT doc_id, 'mentions_license' AS flag FROM documents WHERE regexp_matches(text, '(?i)licen[cs]e|copyright') UNION ALL SELECT doc_id, 'cites_section' FROM documents WHERE regexp_matches(text, '\d{3}\.\d{3}')),
+    r"""WITH f AS (SELECT doc_id, 'mentions_license' AS flag, 0 AS size FROM documents WHERE regexp_matches(text, '(?i)licen[cs]e|copyright') UNION ALL SELECT doc_id, 'cites_section', 0 FROM documents WHERE regexp_matches(text, '\d{3}\.\d{3}')
+      UNION ALL SELECT doc_id, 'long', len(text) // 1000 FROM documents WHERE len(text) >= 2000),
     r AS (SELECT *, row_number() OVER (PARTITION BY flag ORDER BY doc_id) AS k FROM f)
-    SELECT flag, count(*) AS n, CAST(round_even(count(*) * 100.0 / (SELECT count(*) FROM documents), 1) AS DOUBLE) AS pct, string_agg('DOC-' || CAST(doc_id AS VARCHAR), ',' ORDER BY k) FILTER (k <= 5) AS ids FROM r GROUP BY flag"""
+    SELECT flag, count(*) AS n, CAST(round_even(count(*) * 100.0 / (SELECT count(*) FROM documents), 1) AS DOUBLE) AS pct, max(size) AS largest, string_agg('DOC-' || CAST(doc_id AS VARCHAR), ',' ORDER BY size DESC, k) FILTER (k <= 500) AS ids FROM r GROUP BY flag"""
 )
 def flag_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["mentions_license", "cites_section"]
-    c = comments(spark, sf_dir).select("row_idx", "id", *flags.regex_flags(F.col("text"), {n: FLAGS[n] for n in names}))
-    return flags.flag_sections(c, names, samples=500)
+    size = F.floor(F.length("text") / 1000)
+    c = comments(spark, sf_dir).select("row_idx", "id", size.alias("size"), *flags.regex_flags(F.col("text"), {n: FLAGS[n] for n in names}), flags.derived_flag(size.cast("string")).alias("long"))
+    return flags.flag_sections(c, [*names, "long"], samples=500, sizes={"long": F.col("size")})
 
 
-@query(
-    f"""SELECT md5(k) AS text_key, count(*) AS total_count, count(*) = 1 AS is_unique, '1/' || CAST((SELECT count(*) FROM documents) // count(*) AS VARCHAR) AS duplication_ratio, min(doc_id) AS rep, string_agg('DOC-' || CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids
-    FROM (SELECT doc_id, {KEY} AS k FROM documents) GROUP BY k"""
-)
+_KEYED = f"(SELECT doc_id, {KEY} AS k FROM documents)"
+
+
+@query(f"SELECT sha256(k) AS text_print, count(*) AS total_count, count(*) = 1 AS is_unique, '1/' || CAST((SELECT count(*) FROM documents) // count(*) AS VARCHAR) AS duplication_ratio, min(doc_id) AS rep FROM {_KEYED} GROUP BY k")
 def dedup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.groups(comments(spark, sf_dir)).select(F.md5("text_key").alias("text_key"), "total_count", "is_unique", "duplication_ratio", "rep", F.array_join("duplicate_ids", ",").alias("ids"))
+    return dedup.groups(comments(spark, sf_dir))
+
+
+@query(f"SELECT doc_id AS row_idx, 'DOC-' || CAST(doc_id AS VARCHAR) AS id, min(doc_id) OVER (PARTITION BY k) AS rep, count(*) OVER (PARTITION BY k) AS total_count FROM {_KEYED}")
+def dedup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.members(comments(spark, sf_dir))
 
 
 CLASSIFIER = infer.RuleClassifier({"Position: Oppose": ["idiot", "disgusting"], "Position: Support": [r"\bthe\b"], "Concern: license": ["licen[cs]e"]}, {"Organization": ["copyright"], "Business": ["@"]})
@@ -192,16 +205,22 @@ def localize_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.localize(rows, own).select("row_idx", "entity_name", "state_quote", "state_identified")
 
 
-@query("SELECT d.doc_id, b.item_id, contains(lower(d.text), lower(regexp_replace(b.text, '^\\s+|\\s+$', '', 'g'))) AS valid FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40")
-def quote_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with one of the items as a quote, all of them in turn."""
     d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    return d.join(b, F.col("doc_id") % 40 == F.col("item_id")).select("doc_id", "item_id", dedup.contains_quote(F.col("quote"), F.col("text")).alias("valid"))
+    n = b.agg(F.count(F.lit(1)).alias("n_items"))  # one row
+    return d.crossJoin(F.broadcast(n)).join(b, F.col("doc_id") % F.col("n_items") == F.col("item_id"))
+
+
+@query("SELECT d.doc_id, b.item_id, contains(lower(d.text), lower(regexp_replace(b.text, '^\\s+|\\s+$', '', 'g'))) AS valid FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)")
+def quote_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quoted(spark, sf_dir).select("doc_id", "item_id", dedup.contains_quote(F.col("quote"), F.col("text")).alias("valid"))
 
 
 @query()
 def quote_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").select("item_id", "text", F.concat(F.substring("text", 1, 40), F.lit(" zz "), F.substring("text", 50, 20)).alias("quote"))
-    return dedup.check_quotes(b, "quote", "text").select("item_id", "valid", "score")
+    """The longest common run of each whole document and its quote."""
+    return dedup.check_quotes(_quoted(spark, sf_dir).select("doc_id", "item_id", "text", "quote"), "quote", "text").select("doc_id", "item_id", "valid", "score")
 
 
 STATES, PARTIES = ["src1", "src2", "src3"], ["Democrat", "Republican"]
@@ -336,7 +355,22 @@ def signer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("n", once).select("doc_id", F.md5(F.array_join("n", "|")).alias("names"), F.size("n").cast("long").alias("count"))
 
 
-@query()
+_CLEAN = r"x <> '' AND NOT regexp_matches(x, '(?i)^(page\s*)?\d+(\s*of\s*\d+)?$') AND NOT regexp_matches(x, '^\d{1,3}\s+\S') AND NOT regexp_matches(x, '(?i)^(sincerely|very truly yours|yours truly|respectfully( submitted)?|regards|best regards|cordially)[,.]?$') AND NOT regexp_matches(x, '\sv\.\s.+\(\d{4}\)$')"
+_LINE = r"regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(
+    rf"""WITH l AS (SELECT doc_id, i, {_LINE} AS x FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(x, i)),
+    c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, lower(x)) AS n FROM l WHERE {_CLEAN}),
+    dense AS (SELECT doc_id, list(x ORDER BY i) AS names FROM c WHERE n = 1 GROUP BY doc_id),
+    p AS (SELECT doc_id, j, part FROM documents, unnest(string_split_regex(text, '\n\s*\n')) WITH ORDINALITY AS u(part, j)),
+    pl AS (SELECT doc_id, j, i, {_LINE} AS x FROM p, unnest(string_split(part, chr(10))) WITH ORDINALITY AS u(x, i)),
+    f AS (SELECT doc_id, j, arg_min(x, i) AS x FROM pl WHERE {_CLEAN} GROUP BY doc_id, j),
+    parts AS (SELECT doc_id, list(x ORDER BY j) AS heads FROM f GROUP BY doc_id),
+    a AS (SELECT d.doc_id, d.text, coalesce(names, []) AS names, coalesce(heads, []) AS heads FROM documents d LEFT JOIN dense USING (doc_id) LEFT JOIN parts USING (doc_id)),
+    b AS (SELECT doc_id, text, CASE WHEN len(names) <= 15 AND len(heads) >= 2 AND len(heads) <= len(names) THEN heads ELSE names END AS names FROM a)
+    SELECT doc_id, md5(array_to_string(names, '|')) AS names, CAST(coalesce(TRY_CAST(replace(regexp_extract(text, '{infer.STATED_COUNT}', 1), ',', '') AS INTEGER), len(names)) AS INTEGER) AS count FROM b"""
+)
 def signer_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infer.signers(table(spark, sf_dir, "documents"), "text").select("doc_id", F.md5(F.array_join("names", "|")).alias("names"), "count")
 

@@ -3,17 +3,72 @@
 from __future__ import annotations
 
 from html.parser import HTMLParser
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.window import Window
 
+from gristmill.functions.text import strip, text_or_empty
+from gristmill.storage import materialize
 
-def read_export(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """A CSV export with quoted line breaks; every column is text, nothing is inferred."""
+
+def read_export(spark: SparkSession, path: str, columns: list[str], first: int | None = None) -> DataFrame:
+    """A CSV export with quoted line breaks, and row_idx: the place of each row, files in order of their names.
+
+    Every column is text, nothing is inferred.  With ``first`` only so many rows.  A file with quoted line breaks is read by
+    one task from its start, so the rows of a file are numbered one after the other there; the counts of files do the rest.
+    """
     schema = StructType([StructField(c, StringType()) for c in columns])
-    return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', enforceSchema=False)
+    rows = spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', enforceSchema=False)
+    rows = materialize(rows.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at")), "export")
+    files = rows.groupBy("_file").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))  # a row a file
+    ahead = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(files.withColumn("_ahead", ahead), "_file").withColumn("row_idx", F.col("_ahead") + F.col("_at") - F.col("_first"))
+    return (rows if first is None else rows.where(F.col("row_idx") < first)).select("row_idx", *[f"`{c}`" for c in columns])
+
+
+def read_stored(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Earlier results in Parquet under a declared schema: columns that a file lacks are null."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def count_rows(spark: SparkSession, path: str) -> int:
+    """Rows of a Parquet table, from its footers."""
+    return spark.read.parquet(path).count()
+
+
+def read_labelled(spark: SparkSession, path: str) -> DataFrame:
+    """An evaluation sheet in CSV: its labelled rows, with a weight of 1 where there is no number."""
+    rows = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
+    weight = F.coalesce(F.col("weight").try_cast("double"), F.lit(1.0)) if "weight" in rows.columns else F.lit(1.0)
+    return rows.where(strip("label") != "").withColumn("weight", weight)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_whole(spark: SparkSession, path: str) -> str | None:
+    """A small file as one text, from any storage that the session can read; None where there is none."""
+    return spark.read.text(path, wholetext=True).first()[0] if exists(spark, path) else None
+
+
+def read_document(spark: SparkSession, path: str, kind: type = dict):
+    """A small JSON file of a kind (dict or list); None where it is absent, empty, broken or of another kind."""
+    import json
+
+    try:
+        found = json.loads(read_whole(spark, path) or "null")
+    except ValueError:
+        return None
+    return found if isinstance(found, kind) and found else None
+
+
+def read_metadata(spark: SparkSession, path: str, defaults: dict[str, str]) -> dict[str, str]:
+    """What a collection says about itself, over defaults."""
+    return defaults | {k: v for k, v in (read_document(spark, path) or {}).items() if v not in (None, "")}
 
 
 def map_columns(rows: DataFrame, mapping: dict[str, list[str]]) -> DataFrame:
@@ -37,13 +92,21 @@ def read_log(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Ids from a JSON list of texts, or from an object whose ``comments`` have a document_id; a missing file is an error."""
-    import json
+def read_ids(spark: SparkSession, path: str, notes: list[str] = (), clip: int = 0) -> DataFrame:
+    """id, entry (JSON), note, from a JSON list of ids or records, or an object whose ``comments`` is one; a missing file is an error.
 
-    data = json.loads(Path(path).read_text())
-    ids = data if isinstance(data, list) else [c["document_id"] for c in data["comments"]]
-    return spark.createDataFrame([(str(i),) for i in ids], "id string")
+    The note is the first of the named fields that isn't blank, on one line, cut at a word where it is longer than ``clip``.
+    """
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    whole = spark.read.text(path, wholetext=True).select(F.when(F.trim("value").startswith("{"), F.get_json_object("value", "$.comments")).otherwise(F.col("value")).alias("value"))
+    items = whole.select(F.explode(F.from_json("value", "array<string>")).alias("entry"))
+    record = F.col("entry").startswith("{")
+    ids = items.select(F.when(record, F.get_json_object("entry", "$.document_id")).otherwise(F.col("entry")).alias("id"), F.when(record, F.col("entry")).otherwise("{}").alias("entry"))
+    line = [F.nullif(strip(F.regexp_replace(text_or_empty(F.get_json_object("entry", f"$.{n}")), r"(?U)\s+", " ")), F.lit("")) for n in notes]
+    note = F.coalesce(*line, F.lit(""))
+    short = F.when(F.length(note) > clip, F.concat(F.regexp_replace(F.substring(note, 1, clip), " [^ ]*$", ""), F.lit("…"))).otherwise(note) if clip else note
+    return ids.where(text_or_empty("id") != "").select("id", "entry", short.alias("note")).dropDuplicates(["id"])
 
 
 class _Text(HTMLParser):
@@ -96,12 +159,14 @@ def rule_sections(xml: str, part: str | None = None) -> list[dict[str, str]]:
             amendment, pending = pending, ""
             if part and not m[0].startswith(f"{part}."):
                 continue
-            out.append({"number": m[0], "sectno": label, "heading": text(e.find("SUBJECT")), "amendment": amendment, "text": "\n".join(text(p) for p in e.findall("P"))})
+            out.append({"number": m[0], "sectno": label, "heading": text(e.find("SUBJECT")), "amendment": amendment, "text": "\n\n".join(text(p) for p in e.iter("P"))})
     return out
 
 
 # --- attachments ----------------------------------------------------------------------------------------------------
 
+#: fixed value: what stands between the texts of two attachments
+BETWEEN = "\n\n--- ATTACHMENT ---\n\n"
 #: fixed order in which the files of one attachment are tried
 FORMATS = [".docx", ".doc", ".pdf", ".txt", ".rtf", ".html", ".htm", ".png", ".jpg", ".jpeg", ".gif", ".webp"]
 
@@ -126,4 +191,4 @@ def attachment_groups(files: DataFrame) -> DataFrame:
 def attachment_text(groups: DataFrame) -> DataFrame:
     """doc, attachment_text: what the groups yield, in order."""
     parts = F.transform(F.sort_array(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("at", "text")))), lambda x: x["text"])
-    return groups.groupBy("doc").agg(F.array_join(parts, "\n\n").alias("attachment_text"), F.sum("n").alias("total"), F.sum("skipped").alias("skipped"), F.sum("failed").alias("failed"))
+    return groups.groupBy("doc").agg(F.array_join(parts, BETWEEN).alias("attachment_text"), F.sum("n").alias("total"), F.sum("skipped").alias("skipped"), F.sum("failed").alias("failed"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.operators.report import shards
+from gristmill.operators.report import byte_chunks, shards
 
 
 def append_log(rows: DataFrame, path: str) -> None:
@@ -32,6 +35,104 @@ def write_jdbc(rows: DataFrame, url: str, table: str, batch: int = 1000, **prope
     rows.write.mode("append").option("batchsize", batch).jdbc(url, table, properties=properties)
 
 
+def delete_statement(table: str, key: str) -> str:
+    """Removes the rows of one key; names are those of a table and a column, never values."""
+    if not all(part.replace("_", "").isalnum() for part in [*table.split("."), key]):
+        raise ValueError(f"not names: {table}, {key}")
+    return f"DELETE FROM {table} WHERE {key} = ?"
+
+
+def replace_jdbc(rows: DataFrame, url: str, table: str, key: str, value: str, batch: int = 1000, **properties: str) -> None:
+    """The rows of one key anew: the old ones go in a transaction of their own, the new ones follow in batches."""
+    jvm = rows.sparkSession._jvm
+    props = jvm.java.util.Properties()
+    for k, v in properties.items():
+        props.setProperty(k, v)
+    con = jvm.java.sql.DriverManager.getConnection(url, props)
+    try:
+        con.setAutoCommit(False)
+        statement = con.prepareStatement(delete_statement(table, key))
+        statement.setString(1, value)
+        statement.executeUpdate()
+        con.commit()
+    except Exception:
+        con.rollback()
+        raise
+    finally:
+        con.close()
+    write_jdbc(rows, url, table, batch, **properties)
+
+
+def snapshot(rows: DataFrame, path: str) -> str:
+    """What a run has so far, beside its results: those are the next run's source and stay as they are."""
+    beside = path.rstrip("/") + ".inprogress"
+    rows.write.mode("overwrite").parquet(beside)
+    return beside
+
+
+def write_chunks(rows: DataFrame, path: str, line: str, order: str, cap: int = 8 << 20) -> None:
+    """Lines in files of at most ``cap`` bytes, a folder for each chunk, in order; a folder from before is replaced."""
+    dealt = byte_chunks(rows, line, order, cap).select("chunk", order, F.col(line).alias("value"))
+    dealt.repartition("chunk").sortWithinPartitions("chunk", order).select("chunk", "value").write.mode("overwrite").partitionBy("chunk").text(path)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file on any storage that the session can write; written beside first, then moved."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target, fresh = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".new")
+    fs = target.getFileSystem(conf)
+    out = fs.create(fresh, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    fs.delete(target, False)
+    fs.rename(fresh, target)
+
+
+def write_document(spark: SparkSession, path: str, document: Any) -> None:
+    write_text(spark, path, json.dumps(document, indent=1, ensure_ascii=False))
+
+
+def write_ids(ids: DataFrame, path: str, key: str = "id") -> None:
+    """A list of ids in order, as one JSON document; for lists that people read."""
+    write_document(ids.sparkSession, path, [r[key] for r in ids.select(key).orderBy(key).collect()])
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int | None:
+    """Bytes of a file or of all files below a folder; None where there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getContentSummary(p).getLength() if fs.exists(p) else None
+
+
+def push(spark: SparkSession, source: str, target: str, shrink: float = 0.1, force: bool = False) -> None:
+    """Copy state to where it is shared; an empty source, or one that is smaller by more than ``shrink``, is refused."""
+    from gristmill.operators.gates import Refused
+
+    new, old = stored_bytes(spark, source), stored_bytes(spark, target)
+    if not new:
+        raise Refused(f"{source} is empty")
+    if old and not force and new < old * (1 - shrink):
+        raise Refused(f"{new} bytes would replace {old}")
+    pull(spark, source, target)
+
+
+def pull(spark: SparkSession, source: str, target: str) -> None:
+    """Copy a file or folder beside the target, then put it in its place; an empty source is refused."""
+    from gristmill.operators.gates import Refused
+
+    if not stored_bytes(spark, source):
+        raise Refused(f"{source} is empty or absent")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    a, b, fresh = (jvm.org.apache.hadoop.fs.Path(p) for p in (source, target, target.rstrip("/") + ".new"))
+    to = b.getFileSystem(conf)
+    to.delete(fresh, True)
+    jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, to, fresh, False, conf)
+    to.delete(b, True)
+    to.rename(fresh, b)
+
+
 def verification_log(rows: DataFrame, fields: list[str]) -> DataFrame:
     """Rows that any second pass has given a value."""
     any_set = F.lit(False)

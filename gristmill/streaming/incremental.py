@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,15 @@ def fetch_window(known: DataFrame, posted: str = "posted") -> DataFrame:
     return known.agg(F.date_format(F.date_sub(F.max(F.to_date(posted)), 1), "yyyy-MM-dd").alias("since"))
 
 
+def to_cursor(c: Column) -> Column:
+    """An ISO time as a listing's filter takes it: blanks instead of T and Z."""
+    return F.trim(F.translate(c, "TZ", "  "))
+
+
+def from_cursor(c: Column) -> Column:
+    return F.concat(F.replace(F.trim(c), F.lit(" "), F.lit("T")), F.lit("Z"))
+
+
 def withdrawn_candidates(listed: DataFrame, known: DataFrame, mark: str, modified: str = "modified", key: str = "id") -> DataFrame:
-    """Known rows that were modified after the high-water mark."""
+    """Known rows that were modified after the high-water mark; the mark itself moves by ``remote.next_mark``."""
     return listed.where(F.col(modified) > mark).join(known.select(key), key, "left_semi")

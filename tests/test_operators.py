@@ -105,8 +105,19 @@ def test_campaigns_find_copies(spark):
 
 def test_dedup(spark):
     rows = spark.createDataFrame([(0, "a", "Hi "), (1, "b", "hi"), (2, "c", "yo")], "row_idx long, id string, text string")
-    got = {r["text_key"]: (r["total_count"], r["duplication_ratio"], r["rep"], r["duplicate_ids"]) for r in dedup.groups(rows).collect()}
-    assert got == {"hi": (2, "1/1", 0, ["a", "b"]), "yo": (1, "1/3", 2, ["c"])}
+    got = {r["rep"]: (r["total_count"], r["is_unique"], r["duplication_ratio"]) for r in dedup.groups(rows).collect()}
+    assert got == {0: (2, False, "1/1"), 2: (1, True, "1/3")}
+    assert sorted(tuple(r) for r in dedup.members(rows).collect()) == [(0, "a", 0, 2), (1, "b", 0, 2), (2, "c", 2, 1)]
+    told = dedup.spread(rows, dedup.representatives(rows).where("text_key = 'hi'").withColumn("analysis", F.lit("x")))
+    assert {r["row_idx"]: r["analysis"] for r in told.collect()} == {0: "x", 1: "x", 2: None}
+
+
+def test_longest_common_run():
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randint(0, 14))) for _ in range(2))
+        want = max((j - i for i in range(len(a)) for j in range(i, len(a) + 1) if a[i:j] in b), default=0)
+        assert dedup.longest_common(a, b) == want
 
 
 def test_quotes(spark):
@@ -129,10 +140,11 @@ def test_ids_and_guard(spark):
     assert ingest.guard_by_share(rows, "tracking", 0.4).count() == 2
 
 
-@pytest.mark.parametrize("cap", [1, 50, 1000])
-def test_byte_chunks(spark, cap):
+@pytest.mark.parametrize("cap", [1, 50, 121, 1000])
+@pytest.mark.parametrize("block", [1, 7, 65536])
+def test_byte_chunks(spark, cap, block):
     lines = [("é" * (i * 7 % 30 + 1)) for i in range(60)]
-    got = report.byte_chunks(spark.createDataFrame(list(enumerate(lines)), "row_idx long, line string"), "line", "row_idx", cap).orderBy("row_idx").collect()
+    got = report.byte_chunks(spark.createDataFrame(list(enumerate(lines)), "row_idx long, line string"), "line", "row_idx", cap, block).orderBy("row_idx").collect()
     chunk, used, want = 0, 0, []
     for x in lines:
         n = len(x.encode()) + 1
@@ -237,7 +249,7 @@ def test_metrics(spark):
 def test_match_source(spark):
     src = spark.createDataFrame([(0, "x", "T0", "p"), (1, "x", "T1", "q"), (2, "x", "T2", "q"), (3, "y", "", "z")], "src_idx long, id string, tracking string, text string")
     com = spark.createDataFrame([(0, "x", "q"), (1, "x#T2", "q"), (2, "x#dup3", "other"), (3, "y", "z")], "row_idx long, id string, text string")
-    assert dict(export.match_source(com, src).collect()) == {0: 1, 1: 2, 2: 0, 3: 3}
+    assert dict(export.match_source(com, src).select("row_idx", "src_idx").collect()) == {0: 1, 1: 2, 2: 0, 3: 3}
 
 
 def test_wide_export_refuses_clashes(spark):
@@ -307,13 +319,13 @@ def test_attachments(spark):
     g = files.attachment_groups(spark.createDataFrame(rows, "doc int, pos int, filename string, text string"))
     got = {r["stem"]: (r["chosen"], r["failed"], r["skipped"]) for r in g.collect()}
     assert got == {"letter": ("attachment_2_letter.docx", 0, 1), "scan": (None, 1, 0), "x": ("attachment_5_x.pdf", 1, 0)}
-    assert files.attachment_text(g).first()["attachment_text"] == "from docx\n\ny"
+    assert files.attachment_text(g).first()["attachment_text"] == "from docx\n\n--- ATTACHMENT ---\n\ny"
 
 
 def test_sources(spark, tmp_path):
     (tmp_path / "a.csv").write_text('Document ID,"Name, full",Comment\n1,x,"line\n""two"""\n')
     got = files.read_export(spark, str(tmp_path / "a.csv"), ["Document ID", "Name, full", "Comment"]).first()
-    assert tuple(got) == ("1", "x", 'line\n"two"')
+    assert tuple(got) == (0, "1", "x", 'line\n"two"')
     (tmp_path / "r.json").write_text('{"comments": [{"id": "a"}, {"id": "b"}]}')
     assert files.read_results(spark, str(tmp_path / "r.json")).count() == 2
     (tmp_path / "l.jsonl").write_text('{"k": "a", "n": 1}\nbroken\n{"k": "a", "n": 2}\n')
