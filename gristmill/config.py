@@ -71,7 +71,18 @@ class Config:
         return flag_label(flag, self.flag_labels.get(flag))
 
 
+def _resolved(declared: dict[str, Any], raw: dict[str, Any]) -> dict[str, Any]:
+    """A field with its options, which may be those that the configuration declares elsewhere."""
+    named = {"stances": [s["name"] for s in raw.get("stances") or []], "entity_types": list(raw.get("entity_types") or [])}
+    source = declared.get("options_from")
+    return {k: v for k, v in declared.items() if k != "options_from"} | ({"options": named[source]} if source in named else {})
+
+
 def parse(raw: dict[str, Any]) -> Config:
+    declared = raw.get("fields") or {}
+    if isinstance(declared, list):  # records with a name
+        declared = {d["name"]: d for d in declared}
+    raw = raw | {"fields": {n: _resolved(d or {}, raw) for n, d in declared.items()}}
     fields = tuple(FieldSpec(name=n, **{k: tuple(v) if k == "options" else v for k, v in (d or {}).items() if k in FieldSpec.__dataclass_fields__ and k != "name"}) for n, d in (raw.get("fields") or {}).items())
     flags = {k: v for k, v in (raw.get("regex_flags") or {}).items() if isinstance(v, dict)}
     gate = {k: v for k, v in (raw.get("quality_gate") or {}).items() if k in GateLimits.__dataclass_fields__}

@@ -46,6 +46,14 @@ def sample_rows(rows: DataFrame, n: int, key: str, seed: str) -> DataFrame:
     return rows.orderBy(order_hash(F.col(key), seed), key).limit(n)
 
 
+def united(parts: list[DataFrame]) -> DataFrame:
+    """Tables whose columns differ one below the other: a column that one lacks is null there."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
 def run_counts(rows: DataFrame, kind: str | None = None, public: str = "Public Submission", error: str | None = None) -> DataFrame:
     """rows, other_kinds, repeated_ids, failed: what a run says of itself.  ``rows``: id, and the columns named."""
     none = F.lit(0).cast("long")

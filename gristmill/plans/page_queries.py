@@ -258,12 +258,12 @@ def candidate_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _CANDIDATES
-    + """, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, id) AS k, 20 AS take FROM e)
+    + """, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, id) AS k, 5 AS take FROM e)
     SELECT row_idx, label AS pipeline_label, round(CAST(big AS DOUBLE) / take, 2) AS weight, len(t) < (SELECT c FROM cut) AS is_short, organization <> '' AS is_org, campaign_id IS NOT NULL AS in_campaign FROM r WHERE k <= take"""
 )
 def candidate_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sixty comments, twenty of each position: an evaluation set is a sample by design."""
-    drawn = score.candidates(rich(spark, sf_dir), [position.OPPOSE, position.SUPPORT], size=60)
+    """Fifteen comments, five of each position: an evaluation set is a sample by design."""
+    drawn = score.candidates(rich(spark, sf_dir), [position.OPPOSE, position.SUPPORT], size=15, floor=5)
     return drawn.select("row_idx", "pipeline_label", "weight", "is_short", "is_org", "in_campaign")
 
 

@@ -97,6 +97,31 @@ def attached_files(rows: DataFrame, urls: str, key: str = "doc") -> DataFrame:
     return listed.withColumn("filename", F.when(name.contains("."), name).otherwise(F.concat(name, F.lit(".pdf"))))
 
 
+class Downloader(Protocol):
+    """Fetches one file; picklable.  It raises where there is none to be had."""
+
+    def fetch(self, url: str) -> bytes: ...
+
+
+def downloaded(files: DataFrame, client: Downloader) -> DataFrame:
+    """``files`` (doc, pos, url, filename) with content, null where the client could not fetch it."""
+    names = files.schema.fields
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def get(url: str) -> bytes | None:
+            try:
+                return client.fetch(url)
+            except Exception:  # a row without content tells it
+                return None
+
+        for frame in frames:
+            for i in range(0, len(frame), 16):
+                part = frame.iloc[i : i + 16]
+                yield part.assign(content=[get(u) for u in part["url"]])
+
+    return files.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names) + ", content binary")
+
+
 def with_attachments(rows: DataFrame, kind: str, urls: str, public: str = "Public Submission") -> DataFrame:
     """Public submissions that have attachments."""
     return rows.where((F.col(kind) == public) & (strip(urls) != ""))

@@ -7,7 +7,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.operators import export, flags, gates, ingest, pages, report, score
+from gristmill import config
+from gristmill.operators import export, flags, gates, infer, ingest, pages, report, score
 from gristmill.sources import attachments, files, remote, sinks
 from gristmill.streaming import incremental
 
@@ -282,6 +283,33 @@ def test_run_counts(spark):
     assert tuple(ingest.run_counts(rows, "kind", error="err").first()) == (3, 2, 1, 1)
 
 
+def test_downloads_that_fail_are_told(spark):
+    class Client:
+        def fetch(self, url):
+            if url == "gone":
+                raise OSError
+            return url.encode()
+
+    got = attachments.downloaded(spark.createDataFrame([(1, "u"), (2, "gone")], "pos int, url string"), Client())
+    assert {r["pos"]: r["content"] and bytes(r["content"]) for r in got.collect()} == {1: b"u", 2: None}
+
+
+def test_tables_of_other_columns_are_united(spark):
+    got = ingest.united([spark.range(1).withColumn("a", F.lit(1)), spark.range(1).withColumn("b", F.lit("x"))])
+    assert got.columns == ["id", "a", "b"] and got.where("b is null").count() == 1
+
+
+def test_errors_of_credentials(spark):
+    rows = spark.createDataFrame([("invalid API key",), ("HTTP 429",), ("timed out",), (None,)], "analysis_error string")
+    assert infer.credential_errors(rows).count() == 2 and infer.credential_errors(rows, markers=infer.CREDENTIAL_MARKERS).count() == 1
+
+
+def test_fields_take_options_from_elsewhere():
+    raw = {"stances": [{"name": "Position: Oppose"}], "entity_types": ["Business"], "fields": [{"name": "s", "type": "multi_enum", "options_from": "stances"}, {"name": "e", "type": "single_enum", "options_from": "entity_types", "default": "x"}, {"name": "t"}]}
+    got = {f.name: f.options for f in config.parse(raw).fields}
+    assert got == {"s": ("Position: Oppose",), "e": ("Business",), "t": ()}
+
+
 def test_cards_by_count(spark):
     rows = spark.createDataFrame([(1, 5), (2, 9), (3, 5)], "place int, n int")
     assert [r["place"] for r in pages.by_count(rows).collect()] == [2, 1, 3]
