@@ -1,7 +1,19 @@
 """A training corpus from raw documents: five stages, each stored and read again as the next one's documents.
 
 Quality rules with controlled risk, near-duplicate removal, benchmark decontamination, mixing of sources, token files.
-SQL can't express the tokenizer and the hashing, so there is no SQL for the whole.
+SQL can't express the tokenizer and the hashing, so there is no SQL for the whole; a test compares ``run`` with a plain program.
+
+Rows, stage by stage (all but the last return the columns they got, whatever their names):
+
+* quality rules: null, empty and short texts fail the base rule and go; a null language is a stratum; without labels only the
+  base rule is in use; repeated rows are judged alike.
+* near-duplicates: rows that share a doc_id are one document; of a group its least doc_id stays; rows with a null doc_id all stay.
+* benchmark decontamination: a document without words stays; null item texts never occur; an empty benchmark leaves all.
+* source mixing: a null source is one of the sources, last in order; documents without words are in no mix; rows come as often
+  as the mix takes them.  Ties of the shuffle key go by doc_id, then text.
+* token output: null text counts as empty; documents by doc_id (null first), then text; each row is a document.
+
+An empty table gives an empty result at every stage, and texts of any length are taken whole.
 """
 
 from __future__ import annotations
