@@ -7,7 +7,9 @@ stochastic gradient descent.  As both are linear, scoring sums one row of (embed
 A fifth of the training rows only serves calibration: a temperature that makes probabilities honest, and the least
 confidence from which at least ``ACCEPTED_RIGHT`` of those rows are right.  Predictions below it are marked as rejected.
 
-Training uses at most ``SAMPLE`` rows a language, chosen by hash.
+Training uses at most ``SAMPLE`` rows a language, the first by a hash of their ids, and at most ``ROWS`` in all (but one of
+each language): with more than ROWS / SAMPLE languages each gets an equal part.  What comes to the driver of a row are the
+buckets of its subwords and how often each comes, at most ``BUCKETS`` pairs however long the text is.
 
 Rows: a text that is null or has no letter is ``und`` with score 0 and rejected.  Without training rows everything is
 ``und``.  Repeated rows get equal results; an empty table gives an empty result.  Other columns are ignored.
@@ -21,12 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gristmill.storage import materialize
 
 BUCKETS = 1 << 15
 DIM = 12
 SAMPLE = 800
+ROWS = 40_000
 #: counts of no more languages than this are broadcast; more are joined by shuffle, none is left out
 FEW_LANGUAGES = 1000
 EPOCHS = 4
@@ -75,18 +79,21 @@ class Model:
         return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(texts: list[str], langs: list[str], calibrate: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> Model | None:
-    """``calibrate`` marks the rows that only serve calibration."""
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of a text's subwords, and how often each comes."""
+    return np.unique(subwords([text])[0], return_counts=True)
+
+
+def fit(counted: list[tuple[np.ndarray, np.ndarray]], langs: list[str], calibrate: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> Model | None:
+    """``counted``: the bag of each row; ``calibrate`` marks the rows that only serve calibration."""
     names = sorted(set(langs))
     if not names:
         return None
-    y = np.array([names.index(x) for x in langs])
+    places = {x: i for i, x in enumerate(names)}
+    y = np.array([places[x] for x in langs])
     rng = np.random.default_rng(seed)
     emb, w, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, len(names))), np.zeros(len(names))
-    bags = []
-    for t in texts:
-        u, c = np.unique(subwords([t])[0], return_counts=True)
-        bags.append((u, c / max(1, c.sum())))
+    bags = [(u, c / max(1, c.sum())) for u, c in counted]
     learn = [i for i in np.flatnonzero(~calibrate) if len(bags[i][0])]
     for epoch in range(epochs):
         rate = 2.0 * (1 - epoch / epochs) + 0.05
@@ -105,7 +112,7 @@ def fit(texts: list[str], langs: list[str], calibrate: np.ndarray, epochs: int =
     model = Model(names, np.ascontiguousarray((emb @ w).T.astype(np.float32)), bias)
     held = [i for i in np.flatnonzero(calibrate) if len(bags[i][0])]
     if held:
-        z, truth = model.logits([texts[i] for i in held])[0], y[held]
+        z, truth = np.stack([model.table[:, bags[i][0]] @ bags[i][1] for i in held]) + bias, y[held]
         grid = np.geomspace(0.05, 10, 60)
 
         def loss(t: float) -> float:
@@ -126,16 +133,39 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
+def bags_of(rows: DataFrame) -> DataFrame:
+    """doc_id, lang, buckets and counts of rows with a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [bag(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([f[k].astype(np.int32) for f in found], pa.list_(pa.int32())) for k in (0, 1))], ["doc_id", "lang", "buckets", "counts"])
+
+    return rows.select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, buckets array<int>, counts array<int>")
+
+
+def chosen(docs: DataFrame, sample: int = SAMPLE, rows: int = ROWS) -> DataFrame:
+    """doc_id, lang, text of the training rows: of each language the first by hash, as many as it may have."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     counts = materialize(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")  # a row a language
-    sizes = F.broadcast(counts) if counts.count() <= FEW_LANGUAGES else counts
-    share = F.lit(sample) / F.col("n")
-    rows = known.join(sizes, "lang").where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("lang")), F.lit(1_000_000)) < share * 1_000_000)
-    got = rows.select("doc_id", "lang", "text").toPandas().sort_values(["doc_id", "lang", "text"], kind="stable")
-    ids = got["doc_id"].to_numpy(np.int64)
+    few = counts.count()
+    each = max(1, min(sample, rows // max(1, few)))
+    # twice as many by hash alone, so that only those are put in order
+    top = F.when(F.col("n") > 2 * each, F.lit(float(1 << 62)) * 2 * each / F.col("n")).otherwise(float(1 << 62)).alias("top")
+    sizes = counts.select("lang", top)
+    hashed = known.withColumn("h", F.xxhash64("doc_id", F.lit("lang")).bitwiseAND(F.lit((1 << 62) - 1)))
+    near = hashed.join(F.broadcast(sizes) if few <= FEW_LANGUAGES else sizes, "lang").where(F.col("h") <= F.col("top"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("text")))
+    return near.withColumn("k", first).where(F.col("k") <= each).select("doc_id", "lang", "text")
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, rows: int = ROWS) -> Model | None:
+    got = bags_of(chosen(docs, sample, rows)).toPandas()
+    got["first"] = [tuple(b[:8]) for b in got["buckets"]]
+    got = got.sort_values(["doc_id", "lang", "first"], kind="stable")
+    ids = got["doc_id"].fillna(0).to_numpy(np.int64)
     calibrate = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(5) == 0
-    return fit(got["text"].tolist(), got["lang"].tolist(), calibrate)
+    return fit([(np.asarray(u, np.int64), np.asarray(c, np.int64)) for u, c in zip(got["buckets"], got["counts"], strict=True)], got["lang"].tolist(), calibrate)
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -66,3 +66,36 @@ def test_subwords_stay_in_their_text(texts):
     assert n.sum() == len(h)
     alone = [langid.subwords([t])[0].tolist() for t in texts]
     assert sum(alone, []) == h.tolist()
+
+
+def test_every_language_is_trained(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda bags, langs, calibrate: seen.extend(langs))
+    for n in (3, 1500):
+        seen.clear()
+        d = spark.range(4 * n).select(F.col("id").alias("doc_id"), F.format_string("l%d", F.col("id") % n).alias("lang"), F.lit("some words").alias("text"))
+        langid.train(d)
+        want = {r["lang"] for r in d.where(~langid.held_out()).select("lang").distinct().collect()}
+        assert set(seen) == want and len(want) > 0.9 * n
+
+
+def test_training_rows_are_bounded(spark):
+    d = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "rare").otherwise("hot").alias("lang"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"))
+    d = d.unionByName(d.where("doc_id < 100").crossJoin(spark.range(30)).drop("id"))  # ids that come again and again
+    got = langid.chosen(d, sample=300).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in got} == {"hot": 300, "rare": 300}
+    assert langid.chosen(d, sample=300, rows=100).count() == 100
+    assert {tuple(r) for r in langid.chosen(d, 50).collect()} == {tuple(r) for r in langid.chosen(d.repartition(7), 50).collect()}
+    labels = d.select("doc_id", (F.col("doc_id") % 4 == 0).cast("int").alias("quality"))
+    assert {r["y"]: r["count"] for r in quality_bt.chosen(labels, 200).groupBy("y").count().collect()} == {0: 200, 1: 200}
+    assert quality_bt.chosen(labels.where("doc_id < 100"), 200).count() == labels.where("doc_id < 100").distinct().where(~quality_bt.held_out()).count()
+
+
+def test_columns_with_clashing_names(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    clash = docs.withColumns({n: F.lit("x") for n in ("score", "predicted", "held_out", "y", "h", "k", "n", "lang_pred", "buckets", "strength")})
+    twice = labels.unionByName(labels).unionByName(labels.limit(5).withColumn("quality", 1 - F.col("quality"))).withColumn("text", F.lit("t"))
+    model = quality_bt.train(clash, twice)
+    assert quality_bt.scores(clash, model).count() == docs.count()
+    got = langid.identify(clash, langid.train(clash))
+    assert got.count() == docs.count() and got.columns == ["doc_id", "held_out", "lang_pred", "score", "rejected"]
