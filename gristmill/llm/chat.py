@@ -16,7 +16,7 @@ texts are escaped, rendered and parsed again.  ``round_trip`` says whether the r
 The loss mask has the span of every assistant text, in code points of the formatted text.
 
 Rows: null text and null role count as empty.  Turns are ordered by turn (null first), ties by role, then text;
-repeated rows are turns of their own.  A null conv_id is a conversation of its own.  An empty table gives an empty
+repeated rows are turns of their own.  All rows with a null conv_id are one conversation.  An empty table gives an empty
 result.  Other columns are ignored, whatever their names.
 
 Only DataFrame functions run here.
@@ -83,6 +83,24 @@ def parse(formatted: Column, parts: Column) -> Column:
     return F.when(whole, F.transform(parts, _read_turn))
 
 
+def _loss_spans(parts: Column) -> Column:
+    """start and stop of the text of every assistant turn.
+
+    Where a turn begins is the sum of all before it.  An array that grows is copied each time, so turns are taken in groups
+    of about as many as there are groups: first the groups' sums, then the turns in each group.
+    """
+    size = F.greatest(F.ceil(F.sqrt(F.size(parts))), F.lit(1)).cast("int")
+    groups = F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0)), size), lambda i: F.slice(parts, i + 1, size))
+    chars = F.transform(groups, lambda g: F.aggregate(g, F.lit(0).cast("long"), lambda a, p: a + F.length(p)))
+    none = F.array().cast("array<bigint>")
+    begins = F.aggregate(chars, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+    empty = F.array().cast("array<struct<start:bigint,stop:bigint>>")
+    span = lambda at, p: F.struct((at + 3).alias("start"), (at + F.length(p) - 4).alias("stop"))
+    step = lambda a, p: F.struct((a["at"] + F.length(p)).alias("at"), F.when(p.startswith("<s>"), F.concat(a["spans"], F.array(span(a["at"], p)))).otherwise(a["spans"]).alias("spans"))
+    within = lambda g, at: F.aggregate(g, F.struct(at.alias("at"), empty.alias("spans")), step, lambda a: a["spans"])
+    return F.flatten(F.zip_with(groups, begins, within))
+
+
 def format_conversations(rows: DataFrame) -> DataFrame:
     """conv_id, formatted, loss_spans (start, stop of every assistant text), escaped, round_trip."""
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -92,16 +110,7 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     talks = talks.withColumn("fine", F.coalesce(parse(F.col("plain"), F.col("parts")) == F.col("turns"), F.lit(False))).drop("parts")
     talks = talks.withColumn("formatted", F.when(F.col("fine"), F.col("plain")).otherwise(render(F.col("turns"), True))).drop("plain")
     talks = talks.withColumn("parts", pieces(F.col("formatted")))
-    spans = F.aggregate(
-        "parts",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans")),
-        lambda a, p: F.struct(
-            (a["at"] + F.length(p)).alias("at"),
-            F.when(p.startswith("<s>"), F.concat(a["spans"], F.array(F.struct((a["at"] + 3).alias("start"), (a["at"] + F.length(p) - 4).alias("stop"))))).otherwise(a["spans"]).alias("spans"),
-        ),
-        lambda a: a["spans"],
-    )
-    return talks.select("conv_id", "formatted", spans.alias("loss_spans"), (~F.col("fine")).alias("escaped"), F.coalesce(parse(F.col("formatted"), F.col("parts")) == F.col("turns"), F.lit(False)).alias("round_trip"))
+    return talks.select("conv_id", "formatted", _loss_spans(F.col("parts")).alias("loss_spans"), (~F.col("fine")).alias("escaped"), F.coalesce(parse(F.col("formatted"), F.col("parts")) == F.col("turns"), F.lit(False)).alias("round_trip"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
