@@ -120,6 +120,11 @@ def with_campaigns(comments: DataFrame, tagged: DataFrame) -> DataFrame:
     return comments.join(tagged, "row_idx", "left")
 
 
+def tagged_sizes(tagged: DataFrame) -> DataFrame:
+    """campaign_id, tagged: how many comments ended in each campaign."""
+    return tagged.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("tagged"))
+
+
 def canonical(comments: DataFrame, tagged: DataFrame, label: str = "label") -> DataFrame:
     """campaign_id and its most common label text (the one seen first among equals)."""
     counts = comments.join(tagged, "row_idx").groupBy("campaign_id", label).agg(F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("f"))

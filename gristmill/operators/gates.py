@@ -100,8 +100,12 @@ def save_guarded(rows: DataFrame, path: str, force: bool = False, small: int = 1
     fs.rename(fresh, target)
 
 
-def _read_state(path: str | Path) -> dict:
-    """The state of a file below any path of this machine; an unreadable one counts as none."""
+def _read_state(path: str | Path, spark: SparkSession | None) -> dict:
+    """The state in a file of this machine, or with a session of any storage; an unreadable one counts as none."""
+    if spark is not None:
+        from gristmill.sources.files import read_document
+
+        return read_document(spark, str(path)) or {}
     p = Path(path)
     try:
         found = json.loads(p.read_text()) if p.exists() else {}
@@ -110,8 +114,8 @@ def _read_state(path: str | Path) -> dict:
     return found if isinstance(found, dict) else {}
 
 
-def published_baseline(path: str | Path) -> dict[str, float]:
-    return _read_state(path).get("last_shares") or {}
+def published_baseline(path: str | Path, spark: SparkSession | None = None) -> dict[str, float]:
+    return _read_state(path, spark).get("last_shares") or {}
 
 
 def changelog_state(state: dict, total: int, shares_: dict[str, float] | None, day: str) -> dict | None:
@@ -124,10 +128,14 @@ def changelog_state(state: dict, total: int, shares_: dict[str, float] | None, d
     return out | ({"last_shares": {k: round(v, 3) for k, v in kept.items()}} if kept else {})
 
 
-def record_publish(total: int, path: str | Path, shares_: dict[str, float] | None = None, day: str | None = None) -> bool:
+def record_publish(total: int, path: str | Path, shares_: dict[str, float] | None = None, day: str | None = None, spark: SparkSession | None = None) -> bool:
     """Enter a first publish or growth in the changelog; without growth the file stays as it is."""
-    new = changelog_state(_read_state(path), total, shares_, day or date.today().isoformat())
-    if new is not None:
+    new = changelog_state(_read_state(path, spark), total, shares_, day or date.today().isoformat())
+    if new is not None and spark is not None:
+        from gristmill.sources.sinks import write_document
+
+        write_document(spark, str(path), new)
+    elif new is not None:
         Path(path).write_text(json.dumps(new, indent=2))
     return new is not None
 

@@ -24,6 +24,7 @@ from pyspark.sql.types import StructType
 
 from gristmill.functions.text import head_tail, strip, text_or_empty
 from gristmill.operators.infer import CREDENTIAL_MARKERS, ENTITY, POLITICAL, STATE, Verified, write_stance
+from gristmill.operators.score import EVIDENCE
 
 ANSWER = "answer string, error string, model_used string, attempts int"
 #: fixed values: seconds between tries when a service limits its rate, and how it says so
@@ -267,8 +268,7 @@ def disputed_ids(verdicts: DataFrame, key: str = "id") -> DataFrame:
 
 
 def draft_labels(candidates: DataFrame, model: Model, system: str, log: str, key: str = "id", calls: Calls = Calls(retries=2), waves: int = 4) -> DataFrame:
-    """Candidates with draft label, evidence, tricky and question, empty where the model gave none."""
+    """key, draft_label and the fields of EVIDENCE, empty where the model gave none: what ``score.review_sheet`` takes."""
     said = ask_in_waves(candidates, key, F.col("text"), model, system, log, waves, calls)
     part = lambda name: text_or_empty(F.get_json_object("answer", f"$.{name}"))
-    drafts = said.select(key, strip(part("label")).alias("draft"), part("evidence").alias("evidence"), part("tricky").alias("tricky"), part("question").alias("question"))
-    return candidates.join(drafts, key, "left")
+    return said.select(key, strip(part("label")).alias("draft_label"), *[part(f).alias(f) for f in EVIDENCE])

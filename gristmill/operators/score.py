@@ -102,6 +102,12 @@ def labelled(sheet: DataFrame) -> DataFrame:
     return rows.withColumns({"truth": folded(F.col("label")), "pred": folded(F.col("pipeline_norm")), "weight": weight, "seen": seen})
 
 
+def gold_accuracy(rows: DataFrame, gold: DataFrame, right: Column, *by: str, key: str = "doc_id") -> DataFrame:
+    """n, accuracy (by group) of rows that a gold label is known for; of labels of one key the first by their values counts."""
+    one = gold.groupBy(key).agg(F.min(F.struct(*[c for c in gold.columns if c != key])).alias("_g")).select(key, "_g.*")
+    return rows.join(one, key).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(right.cast("double")).alias("accuracy"))
+
+
 def agreement(rows: DataFrame) -> DataFrame:
     """n, seen, agreement of labelled rows."""
     seen = F.count_if(F.col("seen")) if "seen" in rows.columns else F.lit(0).cast("long")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions import numbers, position, text as T
-from gristmill.operators import cluster, dedup, evaluate, export, filters, gates, ingest, report
+from gristmill.operators import cluster, dedup, evaluate, export, filters, gates, ingest, report, score
 from gristmill.plans.registry import query
 from gristmill.plans.text_queries import CITATION, CLASSIFIER
 from gristmill.sources.fixture import COMMENTS_SQL, comments, table
@@ -69,7 +69,7 @@ def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def families(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = comments(spark, sf_dir).withColumn("label", T.label_text("text", F.lit("")))
     tagged = cluster.campaigns(c, least=3)  # stored
-    return cluster.families(cluster.canonical(c, tagged), tagged.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("tagged")))
+    return cluster.families(cluster.canonical(c, tagged), cluster.tagged_sizes(tagged))
 
 
 @query(
@@ -288,8 +288,7 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT lang, count(*) AS n, avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END) AS accuracy FROM documents JOIN labels USING (doc_id) GROUP BY lang")
 def gold_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").dropDuplicates(["doc_id"]), "doc_id")
-    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("quality") == 1).cast("double")).alias("accuracy"))
+    return score.gold_accuracy(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels"), F.col("quality") == 1, "lang")
 
 
 @query("SELECT event_type, count(*) AS n FROM (SELECT DISTINCT event_id, event_type FROM events) GROUP BY 1")

@@ -36,12 +36,12 @@ def walk(fetch: Callable[[str, int], list[dict]], since: str = "", page_rows: in
         since = last
 
 
-def from_file(path: str) -> Callable[[str, int], list[dict]]:
+def from_file(path: str, page_rows: int = PAGE_ROWS) -> Callable[[str, int], list[dict]]:
     """A stand-in for a service: JSON lines with id and modified."""
     rows = sorted((json.loads(x) for x in open(path)), key=lambda r: (r["modified"], r["id"]))
 
     def fetch(since: str, page: int) -> list[dict]:
-        return [r for r in rows if r["modified"] >= since][(page - 1) * PAGE_ROWS : page * PAGE_ROWS]
+        return [r for r in rows if r["modified"] >= since][(page - 1) * page_rows : page * page_rows]
 
     return fetch
 
@@ -67,11 +67,13 @@ class _Reader(DataSourceReader):
 
     def read(self, partition):
         module, _, name = self.options.get("service", "gristmill.sources.listing:from_file").partition(":")
-        fetch = getattr(import_module(module), name)(self.options["path"])
-        for r in walk(fetch, self.options.get("since", "")):
+        rows, pages = int(self.options.get("pagerows", PAGE_ROWS)), int(self.options.get("pages", PAGES))
+        fetch = getattr(import_module(module), name)(self.options["path"], rows)
+        for r in walk(fetch, self.options.get("since", ""), rows, pages):
             yield r["id"], r["modified"], json.dumps({k: v for k, v in r.items() if k not in ("id", "modified")}, sort_keys=True)
 
 
-def read_listing(spark: SparkSession, path: str, since: str = "") -> DataFrame:
+def read_listing(spark: SparkSession, path: str, since: str = "", page_rows: int = PAGE_ROWS, pages: int = PAGES) -> DataFrame:
+    """One task: each page is asked for with what the one before told."""
     spark.dataSource.register(ListingSource)
-    return spark.read.format("listing").option("path", path).option("since", since).load()
+    return spark.read.format("listing").options(path=path, since=since, pagerows=str(page_rows), pages=str(pages)).load()

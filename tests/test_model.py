@@ -83,7 +83,7 @@ def test_audit_and_drafts(spark, tmp_path):
     assert {r["id"]: r["disputed"] for r in got.collect()} == {"a": True, "b": False}
     assert [r["id"] for r in model.disputed_ids(got).collect()] == ["a"]
     drafts = model.draft_labels(rows, judge, "", str(tmp_path / "b"), waves=1).collect()
-    assert {(r["draft"], r["evidence"], r["question"]) for r in drafts} == {("oppose", "e", "")}
+    assert {(r["draft_label"], r["evidence"], r["what_makes_it_hard"]) for r in drafts} == {("oppose", "e", "")} and len(drafts) == 2
 
 
 def test_recorded_answers_and_records(spark):
