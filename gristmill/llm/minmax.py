@@ -30,9 +30,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions.shingles import U, mixed, shingle_sets
+from gristmill.llm.token_files import slices
 from gristmill.operators.components import connected_components
 from gristmill.operators.skew import lookup
-from gristmill.storage import discard, materialize
+from gristmill.storage import discard, materialize, small_batches
 
 SHINGLE_WORDS = 5
 PERMUTATIONS = 110
@@ -40,11 +41,14 @@ ROWS = 5
 PERCENT = 75
 #: Members of a bucket in a block, and their shingles; blocks of a bucket meet two by two.
 CELL_ROWS = 256
-CELL_SHINGLES = 1_000_000
+CELL_SHINGLES = 250_000
 #: Groups that the members of a class are dealt to.
 SALTS = 256
+#: Rows that go to Python at once: texts and sets may be long.
+BATCH_ROWS = 500
+#: Bytes of text whose words are hashed at once.
+SLICE_BYTES = 500_000
 _STRIP = 8192
-_SLICE = 64
 
 
 class MinMaxHasher:
@@ -76,16 +80,14 @@ def signatures(docs: DataFrame, permutations: int = PERMUTATIONS, rows: int = RO
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinMaxHasher(permutations, rows)
-        for batch in batches:
-            for i in range(0, len(batch), _SLICE):
-                b = batch.slice(i, _SLICE)
-                sizes, one, two, keys = [], [], [], []
-                for s in shingle_sets(b.column(1), n):
-                    sizes.append(len(s))
-                    one.append(mixed(s ^ U(0x5BD1E995)).sum(dtype=U).astype(np.int64))
-                    two.append(mixed(s + U(0x1B873593)).sum(dtype=U).astype(np.int64))
-                    keys.append(hasher.band_keys(hasher.signature(s)).astype(np.int64) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "print_a", "print_b", "bands"])
+        for b in slices(batches, SLICE_BYTES):
+            sizes, one, two, keys = [], [], [], []
+            for s in shingle_sets(b.column(1), n):
+                sizes.append(len(s))
+                one.append(mixed(s ^ U(0x5BD1E995)).sum(dtype=U).astype(np.int64))
+                two.append(mixed(s + U(0x1B873593)).sum(dtype=U).astype(np.int64))
+                keys.append(hasher.band_keys(hasher.signature(s)).astype(np.int64) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "print_a", "print_b", "bands"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sign, "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>")
 
@@ -94,11 +96,9 @@ def full_sets(docs: DataFrame, ids: DataFrame, n: int = SHINGLE_WORDS) -> DataFr
     """doc_id and its whole shingle set, as sorted 64-bit integers, of the documents in ``ids``."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, len(batch), _SLICE):
-                b = batch.slice(i, _SLICE)
-                found = shingle_sets(b.column(1), n)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in found], pa.binary())], ["doc_id", "shingles"])
+        for b in slices(batches, SLICE_BYTES):
+            found = shingle_sets(b.column(1), n)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in found], pa.binary())], ["doc_id", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.join(ids.select("doc_id"), "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles binary")
@@ -110,24 +110,23 @@ def _cells(rows: Column, shingles: Column, cell_rows: int) -> Column:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """The pairs (a, b, nb) whose full sets reach the similarity.  A cell has the set of one a, and those of some of its b."""
-
-    def compare(one: pa.Table, many: pa.Table) -> pa.Table:
-        found, a = [], one["pivot"][0].as_py() if len(one) else 0
-        for own in one["set_a"]:  # more than one only where a document has several texts
-            x = np.frombuffer(own.as_buffer(), U)
-            for b, cell in zip(many["b"].to_pylist(), many["set_b"], strict=True):
-                y = np.frombuffer(cell.as_buffer(), U)
+    """The pairs (a, b, nb) whose full sets reach the similarity.  In a cell, the set of one a meets those of some of its b."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    found.append(b)
-        return pa.table({"a": pa.array([a] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     by = pairs.groupBy("a").agg(_cells(F.count(F.lit(1)), F.sum("nb"), cell_rows).alias("cells"))
     dealt = lookup(pairs, by, ["a"], "b").select("a", "b", F.pmod(F.xxhash64("b", F.lit(1)), F.col("cells")).cast("int").alias("cell"))
-    many = dealt.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b").select("a", "cell", "b", "set_b")
+    many = dealt.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
     one = by.join(sets, F.col("a") == F.col("doc_id")).select(F.col("a").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("part"), F.col("shingles").alias("set_a"))
-    return one.groupBy("pivot", "part").cogroup(many.groupBy("a", "cell")).applyInArrow(compare, "a long, b long")
+    met = many.join(one, (F.col("a") == F.col("pivot")) & (F.col("cell") == F.col("part")))
+    return met.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
 
 
 def joining_links(docs: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -195,7 +194,12 @@ def _group() -> Column:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, permutations: int = PERMUTATIONS, rows: int = ROWS, n: int = SHINGLE_WORDS, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text), stored."""
+    with small_batches(spark, BATCH_ROWS):
+        return _near_duplicates(docs, percent, permutations, rows, n, cell_rows)
+
+
+def _near_duplicates(docs: DataFrame, percent: int, permutations: int, rows: int, n: int, cell_rows: int) -> DataFrame:
     sig = materialize(signatures(docs, permutations, rows, n), "minmax-signatures")
     real = sig.where("n_shingles > 0 and doc_id is not null")
     several = materialize(real.groupBy("doc_id").count().where("count > 1").select("doc_id"), "minmax-several")

@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from gristmill.functions.shingles import buffers
 from gristmill.llm.files import read_range, write_file
-from gristmill.storage import materialize, scratch_path
+from gristmill.storage import materialize, scratch_path, small_batches
 
 MAGIC = b"GMTOKID1"
 BLOCK_IDS = 65536
@@ -40,7 +40,9 @@ FILE_IDS = 8_000_000
 MANIFEST = "part int, seq int, path string, size long, n_docs long, n_ids long"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 #: Bytes of text that are encoded at once.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_500_000
+#: Pieces and words that an encoder keeps, and their characters: some 150 MB in a worker.
+KNOWN, KNOWN_CHARS = 400_000, 12_000_000
 #: Control characters that str.split() takes for white space, and the brackets of special tokens: such texts go whole.
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
 #: fixed values: what a tokenizer's file must say for its texts to be cut here
@@ -93,6 +95,16 @@ def cut_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndar
     return pieces, np.searchsorted(first, offsets)
 
 
+def _is_cut_as_here(tokenizer) -> bool:
+    """Whether a tokenizer has the settings above."""
+    said = lambda part: json.loads(part.__getstate__()) if part is not None else {}
+    cuts = said(tokenizer.pre_tokenizer).get("pretokenizers") or [{}]
+    split = cuts[0].get("pattern") == {"Regex": _CUTS} and cuts[0].get("behavior") == "Removed" and cuts[0].get("invert") and [(c["type"], c.get("add_prefix_space"), c.get("use_regex")) for c in cuts[1:]] == [("ByteLevel", False, False)]
+    special = all(t.content.startswith("<|") and t.special for t in tokenizer.get_added_tokens_decoder().values())
+    model = type(tokenizer.model).__name__ == "BPE" and tokenizer.model.end_of_word_suffix == "</w>"
+    return bool(said(tokenizer.normalizer) == _NORMAL and split and special and model)
+
+
 class WordEncoder:
     """Encodes texts by a tokenizer, keeping the ids of pieces and words seen before.
 
@@ -101,33 +113,52 @@ class WordEncoder:
     Texts with odd control characters or a special token's brackets, and all texts of another tokenizer, go to it whole.
     """
 
-    def __init__(self, path: str, known: int = 800_000, chars: int = 24_000_000):
+    def __init__(self, path: str, known: int = KNOWN, chars: int = KNOWN_CHARS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        settings = json.loads(self.tokenizer.to_str())
-        cuts = (settings["pre_tokenizer"] or {}).get("pretokenizers", [{}])
-        split = cuts[0].get("pattern") == {"Regex": _CUTS} and cuts[0].get("behavior") == "Removed" and cuts[0].get("invert") and [(c["type"], c.get("add_prefix_space"), c.get("use_regex")) for c in cuts[1:]] == [("ByteLevel", False, False)]
-        special = all(t["content"].startswith("<|") and t["special"] for t in settings["added_tokens"])
-        self.cuttable = bool(settings["normalizer"] == _NORMAL and split and special and settings["model"]["type"] == "BPE" and settings["model"].get("end_of_word_suffix") == "</w>")
-        size = self.tokenizer.get_vocab_size()
+        self.path, self._tokenizer = path, None
+        loaded = Tokenizer.from_file(path)
+        size = loaded.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 65536 else "<u4")
+        self.cuttable = _is_cut_as_here(loaded)
         if self.cuttable:
             # for pieces, which are lowered and cut already; each comes once, so the model's own cache would only cost
-            self.by_piece = Tokenizer.from_file(path)
-            self.by_piece.normalizer = normalizers.Sequence([])
-            self.by_piece.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-            self.by_piece.model._resize_cache(0)
-            self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+            self.by_piece = loaded
+            self.ends = np.array([(loaded.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+            loaded.normalizer = normalizers.Sequence([])
+            loaded.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            loaded.model._resize_cache(0)
+        else:
+            self._tokenizer = loaded
         self.limits = (known, chars)
         self._forget()
 
+    @property
+    def tokenizer(self):
+        """The tokenizer as its file has it, for whole texts; not in memory before there is one."""
+        if self._tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_file(self.path)
+        return self._tokenizer
+
     def _forget(self) -> None:
         self.pieces, self.words, self.chars = {}, {}, 0
         self.ids, self.used = np.zeros(1 << 16, self.dtype), 0
         self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
+    def _make_room(self, kind: str, wanted: list[str]) -> None:
+        """Keeps what is known within its bounds: past them, only what is wanted now stays."""
+        if len(self.pieces) + len(self.words) <= self.limits[0] and self.chars <= self.limits[1]:
+            return
+        table = getattr(self, kind)
+        kept = [p for p in wanted if p in table]
+        numbers = np.fromiter(map(table.__getitem__, kept), np.int64, len(kept))
+        ids, sizes = self._gather(numbers, np.arange(len(kept) + 1))
+        self._forget()
+        self._keep(getattr(self, kind), kept, ids, sizes)
+
     def _keep(self, table: dict[str, int], keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         """Enter keys whose ids stand one after the other in ``ids``."""
         at = len(self.pieces) + len(self.words)
@@ -168,8 +199,7 @@ class WordEncoder:
         pieces, first = cut_pieces(*buffers(texts))
         coded = pieces.dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.pieces) + len(self.words) > self.limits[0] or self.chars > self.limits[1]:
-            self._forget()
+        self._make_room("pieces", distinct)
         self._learn([p for p in distinct if p not in self.pieces])
         numbers = np.fromiter(map(self.pieces.__getitem__, distinct), np.int64, len(distinct))
         return self._gather(numbers[coded.indices.to_numpy()], first)
@@ -177,8 +207,7 @@ class WordEncoder:
     def _by_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         split = [t.split() for t in texts]
         distinct = set().union(*split)
-        if len(self.pieces) + len(self.words) > self.limits[0] or self.chars > self.limits[1]:
-            self._forget()
+        self._make_room("words", sorted(distinct))
         new = sorted(distinct - self.words.keys())
         if new:
             self._keep(self.words, new, *self._whole(new))
@@ -357,7 +386,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST), "token-manifest")
+    with small_batches(docs.sparkSession):
+        return materialize(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST), "token-manifest")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
