@@ -138,7 +138,7 @@ def rule_page(rows: DataFrame, sections: DataFrame, patterns: Iterable[str], sam
     """
     cited = rows.select("row_idx", "position", F.explode(unioned_values(F.col("text"), patterns)).alias("number"))
     counts = cited.groupBy("number").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("position") == "Oppose").alias("oppose"), F.count_if(F.col("position") == "Support").alias("support"))
-    few = cited.join(F.broadcast(sections.select("number").distinct()), "number").withColumn("k", F.row_number().over(Window.partitionBy("number").orderBy("row_idx"))).where(F.col("k") <= samples)
+    few = cited.join(sections.select("number").distinct(), "number").withColumn("k", F.row_number().over(Window.partitionBy("number").orderBy("row_idx"))).where(F.col("k") <= samples)
     # lines are made of the few rows that are shown
     quote = strip(_field(rows, "key_quote"))
     line = snippet(F.when(quote != "", quote).otherwise(text_or_empty("text")), 120)
