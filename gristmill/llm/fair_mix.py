@@ -23,7 +23,8 @@ from gristmill.storage import materialize
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
-BLOCK_ROWS = 8192
+#: Rows of a block, up to so many blocks; beyond those, blocks have more rows, so that one task can go over all blocks' sums.
+BLOCK_ROWS, BLOCK_BITS = 1024, 20
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -63,7 +64,7 @@ def shuffle_key(seed: str = "mix") -> Column:
 def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: str = "mix") -> DataFrame:
     """``sizes``: a stored table of doc_id, source, size, tie.  Adds source_size, target, taken, epochs."""
     rows = sizes.count()
-    bits = max(0, (rows // BLOCK_ROWS)).bit_length()  # 2 ** bits blocks hold a source that has all rows
+    bits = min(BLOCK_BITS, (rows // BLOCK_ROWS).bit_length())  # 2 ** bits blocks hold a source that has all rows
     keyed = sizes.withColumn("key", shuffle_key(seed)).withColumn("block", F.shiftright("key", 48 - bits) if bits else F.lit(0).cast("long"))
     tgt = targets(sizes, weights, repeats)
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
