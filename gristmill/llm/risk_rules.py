@@ -127,12 +127,12 @@ def settings(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta:
     per = cells.groupBy("_stratum", "mask", least.alias("first")).agg(F.sum("g").alias("g"), F.sum("b").alias("b"))
     steps = per.groupBy("_stratum", "mask").agg(F.sum("g").alias("n"), F.collect_list(F.struct("first", "g", "b")).alias("c")).where("n > 0").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))))
     upto = lambda name: F.aggregate(F.filter("c", lambda x: x["first"] <= F.col("step")), F.lit(0).cast("long"), lambda a, x: a + x[name])
-    steps = steps.select("_stratum", "mask", "step", "n", upto("g").alias("good"), upto("b").alias("bad"))
-    strata = steps.agg(F.count_distinct(F.coalesce(F.concat(F.lit("="), F.col("_stratum")), F.lit(""))).alias("strata"))  # one row
-    steps = steps.crossJoin(F.broadcast(strata))
-    failed = binomial_tail(F.col("good"), F.col("n"), risk) > F.lit(delta) / (2 ** len(RULES) - 1) / F.col("strata")
+    # some rows a stratum from here on
+    steps = materialize(steps.select("_stratum", "mask", "step", "n", upto("g").alias("good"), upto("b").alias("bad")), "rules-settings")
+    strata = steps.agg(F.count_distinct(F.coalesce(F.concat(F.lit("="), F.col("_stratum")), F.lit("")))).first()[0]
+    failed = binomial_tail(F.col("good"), F.col("n"), risk) > F.lit(delta) / (2 ** len(RULES) - 1) / F.lit(max(1, strata))
     so_far = Window.partitionBy("_stratum", "mask").orderBy("step")
-    return steps.withColumn("passed", F.max(failed.cast("int")).over(so_far) == 0).drop("strata")
+    return steps.withColumn("passed", F.max(failed.cast("int")).over(so_far) == 0)
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
