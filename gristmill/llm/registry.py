@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpus_pipeline import run
-from gristmill.llm import chat, decontam, fair_mix, langid, minmax, quality_bt, risk_rules, secrets, sql, token_files, warc
+from gristmill.llm import chat, decontam, divergence, fair_mix, fim, langid, licenses, minmax, quality_bt, risk_rules, secrets, sql, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bradley_terry": quality_bt.op1_bradley_terry,
@@ -23,6 +23,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_segments": warc.op8_warc_segments,
     "op9_min_max": minmax.op9_min_max,
     "op10_prefix_join": decontam.op10_prefix_join,
+    "op11_fill_middle": fim.op11_fill_middle,
+    "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_license_join": licenses.op13_license_join,
     "pipeline": run,
 }
 

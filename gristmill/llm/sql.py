@@ -6,7 +6,10 @@ None for scores, tokenizers, archives and hashes that SQL lacks: those are teste
 from __future__ import annotations
 
 from gristmill.llm.decontam import WINDOW
+from gristmill.llm.divergence import LEAST_DOCS, SCALE, TOP_TERMS
 from gristmill.llm.fair_mix import REPEATS, WEIGHTS
+from gristmill.llm.fim import MARKS, SEED, SUFFIX_FIRST, TRANSFORMED
+from gristmill.llm.licenses import PHRASES, TEMPLATES, needed, stride, words
 from gristmill.llm.risk_rules import DELTA, FEATURES, MIN_WORDS, RISK, RULES, STEPS
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -116,9 +119,71 @@ SELECT d.id AS doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(n_hit,
 FROM d LEFT JOIN hit USING (id) LEFT JOIN names USING (id)
 """
 
+# --- fill-in-middle -------------------------------------------------------------------------------------------------
+
+_P, _S, _M = MARKS
+_DRAW = [f"CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT)" for k in range(4)]
+
+FILL_MIDDLE = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+t AS (SELECT doc_id, text, h, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS tokens FROM d),
+c AS (SELECT *, len(tokens) AS n, {_DRAW[0]} % (len(tokens) + 1) AS x, {_DRAW[1]} % (len(tokens) + 1) AS y,
+  CASE WHEN text = '' OR contains(text, '{_P}') OR contains(text, '{_S}') OR contains(text, '{_M}') OR {_DRAW[2]} % 100 >= {TRANSFORMED} THEN 'plain' WHEN {_DRAW[3]} % 100 < {SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM t),
+s AS (SELECT *, array_to_string(tokens[1:least(x, y)], '') AS p, array_to_string(tokens[least(x, y) + 1:greatest(x, y)], '') AS m, array_to_string(tokens[greatest(x, y) + 1:n], '') AS z FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN len(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN len(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{_P}' || p || '{_S}' || z || '{_M}' || m ELSE '{_S}' || z || '{_P}' || p || '{_M}' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM s
+"""
+
+# --- divergence of sources ------------------------------------------------------------------------------------------
+
+_SHARE = f"1 + (CAST({SCALE} AS HUGEINT) * (n + 1)) // CAST(words AS HUGEINT)"
+_VALUE = "((p - q) * (p - q)) // q"
+
+DIVERGENCE = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_lowered("text")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+w AS (SELECT id, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= {LEAST_DOCS}),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT lang, source, coalesce(sum(n), 0) + coalesce(any_value(v.v), 0) AS words FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN v USING (lang) LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+l AS (SELECT lang, sum(n) + any_value(v.v) AS words FROM c JOIN v USING (lang) GROUP BY lang),
+gp AS (SELECT lang, source, term, n, {_SHARE} AS p FROM (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, g.words FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term)),
+lp AS (SELECT lang, term, {_SHARE} AS q FROM (SELECT c.lang, term, sum(n) AS n, any_value(l.words) AS words FROM c JOIN l USING (lang) GROUP BY c.lang, term)),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum({_VALUE}) AS value FROM gp a JOIN (SELECT lang, source, term, p AS q FROM gp) b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pair.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, {_VALUE} AS value FROM gp JOIN lp USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= {TOP_TERMS}
+"""
+
+# --- licenses -------------------------------------------------------------------------------------------------------
+
+_PHRASES = ", ".join(f"([{', '.join(f"'{w}'" for w in p.split())}], '{label}')" for p, label in PHRASES.items())
+_NOTICES = [(label, words(t)) for label, t in TEMPLATES]
+_TEMPLATES = ", ".join(f"('{label}', [{', '.join(f"'{w}'" for w in sorted(set(ws)))}], {stride(len(ws))}, {needed(len(set(ws)))})" for label, ws in _NOTICES)
+
+LICENSES = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, {_split(_lowered("text"), _LETTERS)} AS words FROM documents),
+phrases AS (SELECT * FROM (VALUES {_PHRASES}) AS p(phrase, label)),
+templates AS (SELECT * FROM (VALUES {_TEMPLATES}) AS t(label, tokens, stride, needed)),
+places AS (SELECT id, label, i FROM (SELECT id, words, phrase, label, unnest(range(1, len(words) + 1)) AS i FROM d, phrases WHERE list_contains(words, 'license')) WHERE words[i:i + len(phrase) - 1] = phrase),
+base AS (SELECT id, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY id),
+blocks AS (SELECT id, stride, list_distinct(words[k * stride + 1:(k + 2) * stride]) AS block FROM (SELECT id, words, stride, unnest(range(0, (len(words) - 1) // stride + 1)) AS k FROM d, (SELECT DISTINCT stride FROM templates) WHERE len(words) > 0)),
+met AS (SELECT id, label, len(list_intersect(tokens, block)) AS common, len(tokens) AS size, needed FROM blocks JOIN templates USING (stride)),
+best AS (SELECT id, max(CAST(common AS DOUBLE) / size) AS best FROM met WHERE common >= needed GROUP BY id),
+every AS (SELECT id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT id, label FROM places UNION ALL SELECT id, label FROM met WHERE common >= needed) GROUP BY id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base IS NOT NULL THEN 1.0 ELSE coalesce(best, 0.0) END AS score
+FROM d LEFT JOIN base USING (id) LEFT JOIN best USING (id) LEFT JOIN every USING (id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_risk_rules": RISK_RULES,
     "op4_fair_mix": FAIR_MIX,
     "op5_chat_round_trip": CHAT,
     "op10_prefix_join": DECONTAMINATION,
+    "op11_fill_middle": FILL_MIDDLE,
+    "op12_source_divergence": DIVERGENCE,
+    "op13_license_join": LICENSES,
 }
