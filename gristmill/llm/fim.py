@@ -17,6 +17,7 @@ of any length are cut whole: what is held of a text is a few numbers a run.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,7 +92,7 @@ def transformed(docs: DataFrame, seed: int = SEED, marks: tuple[str, str, str] =
 
 def restored(output: Column, form: Column, marks: tuple[str, str, str] = MARKS) -> Column:
     """The text, from output and form."""
-    between = "|".join(rf"\Q{x}\E" for x in marks)
+    between = "|".join(map(re.escape, marks))
     part = F.split(output, between, -1)
     return F.when(form == "psm", F.concat(part[1], part[3], part[2])).when(form == "spm", F.concat(part[2], part[3], part[1])).otherwise(output)
 
