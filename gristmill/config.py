@@ -9,12 +9,19 @@ from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from gristmill.functions.text import flag_label
 from gristmill.operators.flags import regex_flags
 from gristmill.operators.gates import GateLimits
-from gristmill.operators.infer import known_or, only_known
+from gristmill.operators.infer import COSIGNERS, ENTITY, POLITICAL, STATE, known_or, only_known
+
+
+#: what the second pass works on beside the fields that a collection declares
+CHECKED = {"stances": "array<string>", "verified_stance": "string", "verification_reasoning": "string"}
+for _v in (ENTITY, STATE, POLITICAL):
+    CHECKED |= {n: "string" for n in (_v.value, _v.quote, _v.verified, _v.reasoning) if n}
+CHECKED |= COSIGNERS
 
 
 @dataclass(frozen=True)
@@ -41,18 +48,19 @@ class Config:
     gate: GateLimits = GateLimits()
 
     def schema(self) -> StructType:
-        """The analysis record; what a second pass adds is declared from the start."""
-        own = [StructField(f.name, ArrayType(StringType()) if f.type == "multi_enum" else StringType()) for f in self.fields if f.source == "model"]
-        return StructType([*own, StructField("verified_stance", StringType()), StructField("verified_reasoning", StringType())])
+        """The analysis record: the declared fields, and from the start all that a second pass reads and adds."""
+        own = {f.name: "array<string>" if f.type == "multi_enum" else "string" for f in self.fields if f.source == "model"}
+        return StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in (own | {n: t for n, t in CHECKED.items() if n not in own}).items()))
 
     def repaired(self, analysis: Column) -> Column:
-        """The record with values outside the declared options taken out."""
-        out = []
+        """The record with values outside the declared options taken out; what a second pass has added stays."""
+        own, out = {f.name for f in self.fields if f.source == "model"}, []
         for f in self.fields:
             if f.source == "model":
                 c = analysis[f.name]
                 c = only_known(c, list(f.options)) if f.type == "multi_enum" else known_or(c, list(f.options), f.default) if f.type in ("single_enum", "enum_or_empty") else F.coalesce(c, F.lit(""))
                 out.append(c.alias(f.name))
+        out += [analysis[n].alias(n) for n in CHECKED if n not in own]
         return F.when(analysis.isNotNull(), F.struct(*out))
 
     def prompt(self) -> str:

@@ -20,6 +20,29 @@ BUCKET = ["band", "bucket"]
 _SLICE = 256
 
 
+def banding(threshold: float, permutations: int = 128) -> tuple[int, int]:
+    """Bands and rows whose candidates are least wrong about a similarity threshold.
+
+    Two sets of similarity s share a band with the probability 1 - (1 - s ** rows) ** bands.  What lies below the threshold under
+    that curve, and above the threshold over it, counts as error; both are integrated at midpoints.
+    """
+    n = 1000
+    below, above = threshold * (np.arange(n) + 0.5) / n, threshold + (1 - threshold) * (np.arange(n) + 0.5) / n
+
+    def error(bands: int, rows: int) -> float:
+        wrong = (1 - (1 - below**rows) ** bands).mean() * threshold
+        missed = ((1 - above**rows) ** bands).mean() * (1 - threshold)
+        return wrong + missed
+
+    return min(((b, r) for b in range(1, permutations + 1) for r in range(1, permutations // b + 1)), key=lambda x: error(*x))
+
+
+def configured(declared: dict) -> dict:
+    """What ``campaigns`` takes, from a collection's settings: threshold, min_size and min_chars, each with its default."""
+    bands, rows = banding(float(declared.get("threshold", 0.45)))
+    return {"bands": bands, "rows": rows, "least": int(declared.get("min_size", 5)), "min_chars": int(declared.get("min_chars", 100))}
+
+
 class MinHash:
     """Least values of a set under ``bands * rows`` hash functions, and a key for every band of them."""
 
@@ -127,8 +150,10 @@ def tagged_sizes(tagged: DataFrame) -> DataFrame:
 
 def canonical(comments: DataFrame, tagged: DataFrame, label: str = "label") -> DataFrame:
     """campaign_id and its most common label text (the one seen first among equals)."""
-    counts = comments.join(tagged, "row_idx").groupBy("campaign_id", label).agg(F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("f"))
-    return counts.groupBy("campaign_id").agg(F.max_by(label, F.struct("n", -F.col("f"))).alias("canonical"))
+    prints = comments.select("row_idx", F.sha2(label, 256).alias("_p")).join(tagged.select("row_idx", "campaign_id"), "row_idx")
+    counts = prints.groupBy("campaign_id", "_p").agg(F.count(F.lit(1)).alias("n"), F.min("row_idx").alias("f"))
+    best = counts.groupBy("campaign_id").agg(F.max_by("f", F.struct("n", -F.col("f"))).alias("row_idx"))  # whose text it is
+    return best.join(comments.select("row_idx", F.col(label).alias("canonical")), "row_idx").select("campaign_id", "canonical")
 
 
 def families(canon: DataFrame, sizes: DataFrame, bands: int = 37, rows: int = 3) -> DataFrame:

@@ -7,9 +7,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
-from pyspark.sql.window import Window
 
 from gristmill.functions.text import cell, distinct_matches, slug, strip, text_or_empty
+from gristmill.operators.skew import nth
 from gristmill.storage import materialize
 
 
@@ -30,8 +30,7 @@ def match_source(comments: DataFrame, source: DataFrame) -> DataFrame:
     c, s, found = c0, s0, []
 
     def pair(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-        x = a.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("row_idx")))
-        y = b.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("src_idx")))
+        x, y = nth(a, keys, "row_idx", "_n"), nth(b, keys, "src_idx", "_n")
         return x.join(y.select(*keys, "_n", "src_idx"), [*keys, "_n"]).select("row_idx", "src_idx")
 
     for keys in (["base", "suffix"], ["base", "t"], ["base"]):

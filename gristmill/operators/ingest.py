@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gristmill.functions.text import combined_text, strip
+from gristmill.operators.skew import nth
 
 
 def first_filled(*columns: Column) -> Column:
@@ -29,11 +29,16 @@ def with_text(rows: DataFrame, body: str, attachment: str) -> DataFrame:
     return rows.withColumn("text", combined_text(body, attachment)).where(strip("text") != "")
 
 
-def distinct_ids(rows: DataFrame, tracking: str = "tracking", order: str = "row_idx") -> DataFrame:
-    """The second and later rows of an id get its tracking number, else their count, as a suffix."""
-    nth = F.row_number().over(Window.partitionBy("id").orderBy(order))
-    suffix = F.coalesce(first_filled(F.col(tracking)), F.concat(F.lit("dup"), nth.cast("string")))
-    return rows.withColumn("_nth", nth).withColumn("id", F.when(F.col("_nth") == 1, F.col("id")).otherwise(F.concat("id", F.lit("#"), suffix))).drop("_nth")
+def distinct_ids(rows: DataFrame, tracking: str = "tracking", order: str = "row_idx", mark: str | None = None) -> DataFrame:
+    """The second and later rows of an id get its tracking number, else their count, as a suffix; ``mark`` names a column that tells them.
+
+    Counted on ids alone, so that no text is sorted, and in blocks, so that an id with a third of all rows is many tasks.
+    """
+    places = nth(rows.select("id", order), ["id"], order, "_nth").where("_nth > 1").select(F.col(order).alias("_at"), "_nth")
+    suffix = F.coalesce(first_filled(F.col(tracking)), F.concat(F.lit("dup"), F.col("_nth").cast("string")))
+    later = rows.join(places, F.col(order) == F.col("_at"), "left").drop("_at")
+    later = later.withColumn(mark, F.col("_nth").isNotNull()) if mark else later
+    return later.withColumn("id", F.when(F.col("_nth").isNull(), F.col("id")).otherwise(F.concat("id", F.lit("#"), suffix))).drop("_nth")
 
 
 def order_hash(key: Column, seed: str) -> Column:
@@ -54,9 +59,15 @@ def united(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def run_counts(rows: DataFrame, kind: str | None = None, public: str = "Public Submission", error: str | None = None) -> DataFrame:
-    """rows, other_kinds, repeated_ids, failed: what a run says of itself.  ``rows``: id, and the columns named."""
+def counted(rows: DataFrame, kind: str | None = None, public: str = "Public Submission", error: str | None = None, repeated: str | None = None) -> tuple[DataFrame, Observation]:
+    """``rows`` as they are, and the counters rows, other_kinds, repeated_ids, failed, which come with whatever writes them.
+
+    ``kind``, ``error`` and ``repeated`` name columns; the last one is true for later rows of an id, as ``distinct_ids`` finds them.
+    No job is run for the counters: they are there (``.get``) when the first action over the rows has ended.
+    """
+    told = Observation("run")
     none = F.lit(0).cast("long")
-    other = F.count_if(~F.coalesce(F.col(kind) == public, F.lit(False))) if kind else none
-    failed = F.count_if(strip(error) != "") if error else none
-    return rows.agg(F.count(F.lit(1)).alias("rows"), other.alias("other_kinds"), F.count_if(F.col("id").contains("#")).alias("repeated_ids"), failed.alias("failed"))
+    other = F.count_if(~F.coalesce(F.col(kind) == public, F.lit(False))) if kind else F.max(none)
+    failed = F.count_if(strip(error) != "") if error else F.max(none)
+    again = F.count_if(F.col(repeated)) if repeated else F.max(none)
+    return rows.observe(told, F.count(F.lit(1)).alias("rows"), other.alias("other_kinds"), again.alias("repeated_ids"), failed.alias("failed")), told

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gristmill.functions.numbers import display_pct, split_pct
 from gristmill.functions.text import preview, snippet, strip
-from gristmill.storage import materialize
 
 
 def share_by(rows: DataFrame, bucket: str) -> DataFrame:
@@ -104,76 +99,3 @@ def with_position(rows: DataFrame, order: str, block: int = 65536) -> DataFrame:
     ahead = per.select(F.col("_b").alias("_k"), F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
     inside = F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1
     return keyed.withColumn("_i", inside).join(ahead, F.col("_b") == F.col("_k")).withColumn("position", F.col("_ahead") + F.col("_i")).drop("_b", "_k", "_i", "_ahead")
-
-
-def _chunk_map(sizes: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """What a block of rows does to a chunk that it finds begun.
-
-    ends: bytes up to and with each row; nxt: the row that a chunk begun at each row can't take any more; last: the row at
-    which the block's last chunk begins, if one begins at each row; count: how many begin after it.
-    """
-    ends = np.cumsum(sizes)
-    nxt = np.maximum(np.searchsorted(ends, ends - sizes + cap, "right"), np.arange(len(sizes)) + 1)
-    last, count = np.arange(len(sizes)), np.zeros(len(sizes), np.int64)
-    for i in range(len(sizes) - 1, -1, -1):
-        if nxt[i] < len(sizes):
-            last[i], count[i] = last[nxt[i]], count[nxt[i]] + 1
-    return ends, nxt, np.stack([last, count], axis=1), int(ends[-1])
-
-
-def byte_chunks(rows: DataFrame, line: str, order: str, cap: int, block: int = 65536) -> DataFrame:
-    """Adds chunk: rows in order fill chunks of at most ``cap`` bytes, a line's end included (a longer row has one alone).
-
-    Where a chunk ends depends on all that comes before, but a block of rows only needs to know how full the chunk is that it
-    finds: it sends where each possible first new chunk would leave it (a row for each row up to ``cap`` bytes), one task walks
-    over the blocks, and each block fills its own chunks.
-    """
-    sizes = materialize(rows.select(F.col(order).cast("long").alias("o"), (F.octet_length(line).cast("long") + 1).alias("b")).withColumn("k", F.floor(F.col("o") / block)), "chunk-sizes")
-
-    def summary(part: pd.DataFrame) -> pd.DataFrame:
-        b = part.sort_values("o")["b"].to_numpy()
-        ends, _, after, total = _chunk_map(b, cap)
-        reach = int(np.searchsorted(ends, cap, "right")) + 1  # a begun chunk ends at one of these rows
-        i = np.arange(min(reach, len(b)))
-        return pd.DataFrame({"k": part["k"].iloc[0], "i": i, "ends": ends[i], "fresh": total - (ends - b)[after[i, 0]], "more": after[i, 1], "total": total})
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunk, used = 0, 0
-        for k, part in _by_block(frames):
-            yield pd.DataFrame({"k": [k], "chunk": [chunk], "used": [used]})
-            if used + part["total"].iloc[0] <= cap:
-                used += int(part["total"].iloc[0])
-                continue
-            at = int(np.searchsorted(part["ends"].to_numpy(), cap - used, "right")) if used else 0
-            first = part.iloc[at]
-            chunk, used = chunk + int(first["more"]) + (1 if used else 0), int(first["fresh"])
-
-    def fill(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("o")
-        b, chunk, used = part["b"].to_numpy(), int(part["chunk"].iloc[0]), int(part["used"].iloc[0])
-        ends, nxt, _, _ = _chunk_map(b, cap)
-        at = int(np.searchsorted(ends, cap - used, "right")) if used else 0
-        begins = np.zeros(len(b), np.int64)
-        if at or used:
-            begins[at:][:1] = 1
-        while at < len(b):
-            at = int(nxt[at])
-            begins[at:][:1] = 1
-        return pd.DataFrame({"o": part["o"], "chunk": chunk + np.cumsum(begins)})
-
-    maps = sizes.groupBy("k").applyInPandas(summary, "k long, i long, ends long, fresh long, more long, total long")
-    starts = materialize(maps.repartition(1).sortWithinPartitions("k", "i").mapInPandas(walk, "k long, chunk long, used long"), "chunk-starts")
-    told = sizes.join(starts, "k").groupBy("k").applyInPandas(fill, "o long, chunk int")
-    return rows.join(told, rows[order] == F.col("o")).drop("o")
-
-
-def _by_block(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
-    """The rows of each k, from frames in order that may cut through one."""
-    held = None
-    for frame in frames:
-        frame = frame if held is None else pd.concat([held, frame])
-        parts = list(frame.groupby("k", sort=True))
-        yield from parts[:-1]
-        held = parts[-1][1] if parts else None
-    if held is not None:
-        yield int(held["k"].iloc[0]), held

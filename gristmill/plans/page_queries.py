@@ -10,7 +10,7 @@ from gristmill.operators import export, flags, infer, model, pages, report, scor
 from gristmill.plans.registry import query
 from gristmill.plans.report_queries import _SPLIT, C, _pct
 from gristmill.plans.text_queries import CITATION
-from gristmill.sources import attachments
+from gristmill.sources import attachments, files
 from gristmill.sources.fixture import comments, table
 from gristmill.storage import scratch_path
 
@@ -20,7 +20,8 @@ STATES = ["src1", "src2", "src3"]
 def rich(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The comment table with entity, state, party, first sentence as quote, attachments and campaigns."""
     k, c = F.col("row_idx"), comments(spark, sf_dir)
-    att = table(spark, sf_dir, "conversations").where("turn = 1").select(F.col("conv_id").alias("row_idx"), F.col("text").alias("attachment_text"))
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"), F.concat(F.lit("turn "), "turn", F.lit(".txt")).alias("filename"), "text")
+    att = files.attachment_text(files.attachment_groups(turns)).select(F.col("doc").alias("row_idx"), "attachment_text")
     source = F.regexp_extract("source", r"^src(\d+)$", 1).try_cast("int")
     fields = {
         "stances": F.col("analysis.stances"),
@@ -41,7 +42,7 @@ RICH = (
     + f""", rich AS (SELECT c.*, coalesce(c.pos, 'Unclear') AS position, coalesce(a.text, '') AS attachment_text, CASE WHEN TRY_CAST(nullif(regexp_extract(source, '^src(\\d+)$', 1), '') AS INTEGER) < 8 THEN TRY_CAST(nullif(regexp_extract(source, '^src(\\d+)$', 1), '') AS INTEGER) END AS campaign_id,
       CASE WHEN analysed THEN CASE lang WHEN 'en' THEN 'Attorney/Lawyer' WHEN 'fr' THEN 'Organization' ELSE 'Individual/Other' END END AS kind, CASE WHEN analysed AND source IN ('src1', 'src2', 'src3') THEN source ELSE '' END AS state,
       CASE WHEN analysed THEN CASE row_idx % 4 WHEN 0 THEN 'Democrat' WHEN 1 THEN 'Republican' ELSE '' END ELSE '' END AS party, CASE WHEN analysed THEN regexp_extract(c.text, '^[^.!?]*[.!?]', 0) ELSE '' END AS key_quote
-      FROM comments c LEFT JOIN (SELECT conv_id, text FROM conversations WHERE turn = 1) a ON a.conv_id = c.row_idx)
+      FROM comments c LEFT JOIN (SELECT conv_id, string_agg(trim(text), '{files.BETWEEN}' ORDER BY turn) FILTER (trim(text) <> '') AS text FROM conversations GROUP BY conv_id) a ON a.conv_id = c.row_idx)
     """
 )
 
@@ -230,13 +231,13 @@ def model_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     C
     + rf""", q AS (SELECT *, left(text, 2000) AS p, pos = 'Support' OR (pos = 'Oppose' AND len(text) < 800) AS fires FROM comments WHERE analysed), v AS (SELECT *, CASE WHEN fires THEN replace(CASE {_ANSWERED} WHEN '' THEN 'Unclear' ELSE {_ANSWERED} END, 'Position: ', '') END AS verdict FROM q)
     SELECT row_idx, CASE WHEN verdict IS NULL THEN NULL WHEN verdict = pos THEN 'confirmed' ELSE 'changed' END AS outcome, coalesce(verdict, CASE WHEN pos = 'Unclear' THEN 'Unclear' END) AS verified,
-    concat_ws('|', CASE WHEN coalesce(verdict, pos) <> 'Unclear' THEN 'Position: ' || coalesce(verdict, pos) END, 'Concern: ' || lang, CASE WHEN licensed THEN 'Concern: license' END) AS tags FROM v"""
+    concat_ws('|', CASE WHEN coalesce(verdict, pos) <> 'Unclear' THEN 'Position: ' || coalesce(verdict, pos) END, 'Concern: ' || lang, CASE WHEN licensed THEN 'Concern: license' END) AS tags, CASE WHEN fires THEN 'by words' END AS reasoning FROM v"""
 )
 def second_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = comments(spark, sf_dir).where("analysis is not null")
+    c = comments(spark, sf_dir).where("analysis is not null").withColumn("analysis", F.col("analysis").withField("verification_reasoning", F.lit(None).cast("string")))
     check = model.load_checks({"stance": "Which position?", "entity": "Who writes?"}, {})["stance"]
     out = model.second_pass(c, infer.stance_trigger(F.col("analysis"), F.col("text"), short_oppose=800), check, F.col("text"), model.Scripted("gristmill.plans.scripted:second_pass"))
-    return out.select("row_idx", "outcome", F.col("analysis.verified_stance").alias("verified"), F.array_join("analysis.stances", "|").alias("tags"))
+    return out.select("row_idx", "outcome", F.col("analysis.verified_stance").alias("verified"), F.array_join("analysis.stances", "|").alias("tags"), F.col("analysis.verification_reasoning").alias("reasoning"))
 
 
 # --- evaluation sets ------------------------------------------------------------------------------------------------

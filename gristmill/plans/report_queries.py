@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions import numbers, position, text as T
-from gristmill.operators import cluster, dedup, evaluate, export, filters, gates, ingest, report, score
+from gristmill.operators import chunks, cluster, dedup, evaluate, export, filters, gates, ingest, report, score
 from gristmill.plans.registry import query
 from gristmill.plans.text_queries import CITATION, CLASSIFIER
+from gristmill.sources import listing
 from gristmill.sources.fixture import COMMENTS_SQL, comments, table
-from gristmill.storage import materialize
+from gristmill.storage import materialize, scratch_path
 from gristmill.streaming import incremental
 
 C = "WITH " + COMMENTS_SQL
@@ -62,14 +63,14 @@ def minhash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.campaigns(comments(spark, sf_dir), least=3)
+    return cluster.campaigns(comments(spark, sf_dir), **cluster.configured({"threshold": 0.45, "min_size": 3}))
 
 
 @query()
 def families(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = comments(spark, sf_dir).withColumn("label", T.label_text("text", F.lit("")))
-    tagged = cluster.campaigns(c, least=3)  # stored
-    return cluster.families(cluster.canonical(c, tagged), cluster.tagged_sizes(tagged))
+    tagged = cluster.campaigns(c, **cluster.configured({"threshold": 0.45, "min_size": 3}))  # stored
+    return cluster.families(cluster.canonical(c, tagged), cluster.tagged_sizes(tagged), *cluster.banding(0.3))
 
 
 @query(
@@ -140,7 +141,7 @@ def detail_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def row_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = comments(spark, sf_dir).select("row_idx", F.to_json(F.struct("id", "text")).alias("line"))
-    return report.byte_chunks(c, "line", "row_idx", 262_144).select("row_idx", "chunk")
+    return chunks.byte_chunks(c, "line", "row_idx", 262_144).select("row_idx", "chunk")
 
 
 FILTERS = filters.FilterSpec({"lang": ("one_of", "lang"), "q": ("contains", "text"), "posted": ("dates", "posted"), "position": ("one_of", "position"), "license": ("flag", "licensed")})
@@ -266,8 +267,9 @@ def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     _SCORED
     + """, big AS (SELECT CASE WHEN len(text) > 1500 THEN 'long' WHEN contains(text, '!!') THEN 'loud' ELSE 'good' END AS pred FROM documents), nk AS (SELECT pred, count(*) AS n FROM s GROUP BY 1), bk AS (SELECT pred, CAST(count(*) AS DOUBLE) AS b FROM big GROUP BY 1), tot AS (SELECT CAST(count(*) AS DOUBLE) AS t FROM big),
     x AS (SELECT s.pred, s.truth, count(*) AS n FROM s GROUP BY 1, 2), y AS (SELECT truth, b, CAST(x.n AS DOUBLE) / nk.n AS p, nk.n AS nk FROM x JOIN nk USING (pred) JOIN bk USING (pred)),
-    z AS (SELECT truth AS class, sum(b * p) AS est, sqrt(sum(CASE WHEN nk > 1 THEN b * b * p * (1 - p) / nk ELSE 0 END)) AS se FROM y GROUP BY 1)
-    SELECT class, est * 100 / t AS pct, least(greatest(est - 1.96 * se, 0), t) * 100 / t AS low, least(greatest(est + 1.96 * se, 0), t) * 100 / t AS high FROM z, tot"""
+    z AS (SELECT truth AS class, sum(b * p) AS est, sqrt(sum(CASE WHEN nk > 1 THEN b * b * p * (1 - p) / nk ELSE 0 END)) AS se FROM y GROUP BY 1), k AS (SELECT DISTINCT truth AS class FROM s UNION SELECT DISTINCT pred FROM s),
+    e AS (SELECT class, coalesce(est, 0) AS est, coalesce(se, 0) AS se, coalesce(b, 0) AS b FROM k LEFT JOIN z USING (class) LEFT JOIN bk ON bk.pred = class)
+    SELECT class, CAST(b AS BIGINT) AS tool_says, b * 100 / t AS tool_pct, est AS estimated, est * 100 / t AS pct, greatest(est - 1.96 * se, 0) * 100 / t AS low, least(est + 1.96 * se, t) * 100 / t AS high FROM e, tot"""
 )
 def prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
@@ -294,8 +296,6 @@ def gold_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n FROM (SELECT DISTINCT event_id, event_type FROM events) GROUP BY 1")
 def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New events by key, read as a stream of files."""
-    from gristmill.storage import scratch_path
-
     src, out, state = (scratch_path(spark, f"stream-{x}") for x in ("in", "out", "state"))
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
     e.write.parquet(src)
@@ -303,3 +303,15 @@ def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT CAST(event_id AS VARCHAR) AS id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS modified, event_type FROM events")
+def listing_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a service lists them, followed in two runs: what it had up to the middle of its time, then the rest."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("modified"), "event_type")
+    e = materialize(e, "listed")
+    middle = e.agg(F.percentile_approx(F.unix_timestamp("modified"), 0.5).alias("t")).first()["t"]
+    early = materialize(e.where(F.unix_timestamp("modified") < middle), "listed-early")
+    target, state = scratch_path(spark, "listing-target"), scratch_path(spark, "listing-state")
+    for served in (early, e):
+        listed = listing.stream_listing(spark, served._gristmill_path, page_rows=1000, service="gristmill.sources.listing:from_table")
+        incremental.follow_listing(listed, target, state)
+    return spark.read.parquet(target).select("id", "modified", F.get_json_object("body", "$.event_type").alias("event_type"))

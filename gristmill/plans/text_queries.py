@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions import position, text as T
-from gristmill.operators import dedup, flags, infer, ingest
+from gristmill.operators import dedup, flags, infer, ingest, model, report
 from gristmill.plans.registry import query
 from gristmill.sources import files
 from gristmill.sources.fixture import COMMENTS_SQL, comments, table
@@ -206,13 +206,14 @@ def localize_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with one of the items as a quote, all of them in turn."""
+    """Every document with one of the items as a quote, all of them in turn, whatever their ids are."""
     d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    b = report.with_position(b, "item_id")
     n = b.agg(F.count(F.lit(1)).alias("n_items"))  # one row
-    return d.crossJoin(F.broadcast(n)).join(b, F.col("doc_id") % F.col("n_items") == F.col("item_id"))
+    return d.crossJoin(F.broadcast(n)).join(b, F.pmod("doc_id", "n_items") == F.col("position"))
 
 
-@query("SELECT d.doc_id, b.item_id, contains(lower(d.text), lower(regexp_replace(b.text, '^\\s+|\\s+$', '', 'g'))) AS valid FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)")
+@query("SELECT d.doc_id, b.item_id, contains(lower(d.text), lower(regexp_replace(b.text, '^\\s+|\\s+$', '', 'g'))) AS valid FROM documents d JOIN (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS position FROM benchmark) b ON b.position = d.doc_id % (SELECT count(*) FROM benchmark)")
 def quote_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quoted(spark, sf_dir).select("doc_id", "item_id", dedup.contains_quote(F.col("quote"), F.col("text")).alias("valid"))
 
@@ -260,16 +261,22 @@ def checkpoint_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infer.read_log(e, "key", "event_id").select("user_id", "event_type", "event_id")
 
 
+def _looked_at() -> Column:
+    """An analysis of which some were looked at for signers before."""
+    k = F.col("row_idx") % 6
+    return F.when(F.col("analysis").isNotNull(), F.struct(F.when(k == 0, True).when(k == 1, False).alias("cosigner_checked")))
+
+
 @query(
     "WITH "
     + COMMENTS_SQL
     + r""", l AS (SELECT row_idx, lower(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS x FROM comments, unnest(string_split(text, chr(10))) AS u(x)),
     r AS (SELECT DISTINCT row_idx FROM l WHERE len(x) BETWEEN 4 AND 60 AND NOT regexp_matches(x, '^[0-9]+$') GROUP BY row_idx, x HAVING count(*) > 1)
-    SELECT row_idx, coalesce(analysed AND (pos = 'Support' OR (pos = 'Oppose' AND len(text) < 800)), false) AS stance, (r.row_idx IS NOT NULL OR regexp_matches(text, '(?i)undersigned|disclaimer')) AS signers FROM comments LEFT JOIN r USING (row_idx)"""
+    SELECT row_idx, coalesce(analysed AND (pos = 'Support' OR (pos = 'Oppose' AND len(text) < 800)), false) AS stance, (analysed AND row_idx % 6 <> 0 AND (r.row_idx IS NOT NULL OR regexp_matches(text, '(?i)undersigned|disclaimer'))) AS signers FROM comments LEFT JOIN r USING (row_idx)"""
 )
 def verify_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = comments(spark, sf_dir)
-    return c.select("row_idx", F.coalesce(infer.stance_trigger(F.col("analysis"), F.col("text"), short_oppose=800), F.lit(False)).alias("stance"), infer.signer_trigger(F.col("text"), ["undersigned", "disclaimer"]).alias("signers"))
+    return c.select("row_idx", F.coalesce(infer.stance_trigger(F.col("analysis"), F.col("text"), short_oppose=800), F.lit(False)).alias("stance"), F.coalesce(infer.signer_trigger(_looked_at(), F.col("text"), ["undersigned", "disclaimer"]), F.lit(False)).alias("signers"))
 
 
 @query(
@@ -350,31 +357,60 @@ def verify_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT d.doc_id, md5(coalesce(string_agg(x, '|' ORDER BY i) FILTER (n = 1), '')) AS names, coalesce(count(*) FILTER (n = 1), 0) AS count FROM documents d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id"""
 )
 def signer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").withColumn("_l", infer.clean_lines(F.col("text"))).withColumn("_low", F.transform("_l", F.lower))
-    once = F.filter("_l", lambda x: F.size(F.filter(F.col("_low"), lambda y: y == F.lower(x))) == 1)
-    return d.withColumn("n", once).select("doc_id", F.md5(F.array_join("n", "|")).alias("names"), F.size("n").cast("long").alias("count"))
+    once = infer.single_lines(infer.clean_lines(F.col("text")))
+    return table(spark, sf_dir, "documents").withColumn("n", once).select("doc_id", F.md5(F.array_join("n", "|")).alias("names"), F.size("n").cast("long").alias("count"))
 
 
 _CLEAN = r"x <> '' AND NOT regexp_matches(x, '(?i)^(page\s*)?\d+(\s*of\s*\d+)?$') AND NOT regexp_matches(x, '^\d{1,3}\s+\S') AND NOT regexp_matches(x, '(?i)^(sincerely|very truly yours|yours truly|respectfully( submitted)?|regards|best regards|cordially)[,.]?$') AND NOT regexp_matches(x, '\sv\.\s.+\(\d{4}\)$')"
 _LINE = r"regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
 
 
-@query(
-    rf"""WITH l AS (SELECT doc_id, i, {_LINE} AS x FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(x, i)),
+def _parsed(source: str) -> str:
+    """SQL for doc_id, names (a list) and count of the signature blocks of a table of doc_id and text."""
+    return rf"""l AS (SELECT doc_id, i, {_LINE} AS x FROM {source}, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(x, i)),
     c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, lower(x)) AS n FROM l WHERE {_CLEAN}),
     dense AS (SELECT doc_id, list(x ORDER BY i) AS names FROM c WHERE n = 1 GROUP BY doc_id),
-    p AS (SELECT doc_id, j, part FROM documents, unnest(string_split_regex(text, '\n\s*\n')) WITH ORDINALITY AS u(part, j)),
+    p AS (SELECT doc_id, j, part FROM {source}, unnest(string_split_regex(text, '\n\s*\n')) WITH ORDINALITY AS u(part, j)),
     pl AS (SELECT doc_id, j, i, {_LINE} AS x FROM p, unnest(string_split(part, chr(10))) WITH ORDINALITY AS u(x, i)),
     f AS (SELECT doc_id, j, arg_min(x, i) AS x FROM pl WHERE {_CLEAN} GROUP BY doc_id, j),
     parts AS (SELECT doc_id, list(x ORDER BY j) AS heads FROM f GROUP BY doc_id),
-    a AS (SELECT d.doc_id, d.text, coalesce(names, []) AS names, coalesce(heads, []) AS heads FROM documents d LEFT JOIN dense USING (doc_id) LEFT JOIN parts USING (doc_id)),
-    b AS (SELECT doc_id, text, CASE WHEN len(names) <= 15 AND len(heads) >= 2 AND len(heads) <= len(names) THEN heads ELSE names END AS names FROM a)
-    SELECT doc_id, md5(array_to_string(names, '|')) AS names, CAST(coalesce(TRY_CAST(replace(regexp_extract(text, '{infer.STATED_COUNT}', 1), ',', '') AS INTEGER), len(names)) AS INTEGER) AS count FROM b"""
-)
+    a AS (SELECT d.doc_id, d.text, coalesce(names, []) AS names, coalesce(heads, []) AS heads FROM {source} d LEFT JOIN dense USING (doc_id) LEFT JOIN parts USING (doc_id)),
+    b AS (SELECT doc_id, text, CASE WHEN len(names) <= 15 AND len(heads) >= 2 AND len(heads) <= len(names) THEN heads ELSE names END AS names FROM a),
+    parsed AS (SELECT doc_id, names, CAST(coalesce(TRY_CAST(replace(regexp_extract(text, '{infer.STATED_COUNT}', 1), ',', '') AS INTEGER), len(names)) AS INTEGER) AS count FROM b)"""
+
+
+@query(f"WITH {_parsed('documents')} SELECT doc_id, md5(array_to_string(names, '|')) AS names, count FROM parsed")
 def signer_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infer.signers(table(spark, sf_dir, "documents"), "text").select("doc_id", F.md5(F.array_join("names", "|")).alias("names"), "count")
 
 
+@query(
+    "WITH "
+    + COMMENTS_SQL
+    + r""", l0 AS (SELECT row_idx, lower(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS x FROM comments, unnest(string_split(text, chr(10))) AS u(x)),
+    r0 AS (SELECT DISTINCT row_idx FROM l0 WHERE len(x) BETWEEN 4 AND 60 AND NOT regexp_matches(x, '^[0-9]+$') GROUP BY row_idx, x HAVING count(*) > 1),
+    asked AS (SELECT c.*, (row_idx % 6 <> 0 AND (r0.row_idx IS NOT NULL OR regexp_matches(text, '(?i)the|der'))) AS fires, substr(text, len(text) - 119, 25) AS q0, CASE WHEN row_idx % 5 = 0 THEN 'no such words in it' ELSE right(text, 20) END AS q1, CASE WHEN row_idx % 7 <> 0 THEN row_idx % 3 <> 0 END AS said FROM comments c LEFT JOIN r0 USING (row_idx) WHERE analysed),
+    tails AS (SELECT row_idx, q1, substr(text, len(text) - len(q0) - strpos(reverse(text), reverse(q0)) + 2) AS tail FROM asked WHERE fires AND said AND len(text) >= 120),
+    blocks AS (SELECT row_idx AS doc_id, left(tail, strpos(tail, q1) - 1 + len(q1)) AS text FROM tails WHERE strpos(tail, q1) > 0), """
+    + _parsed("blocks")
+    + """ SELECT row_idx, CASE WHEN NOT fires THEN NULL WHEN said IS NULL THEN 'error' WHEN NOT said THEN 'none' WHEN parsed.doc_id IS NULL THEN 'error' ELSE 'found' END AS outcome, CASE WHEN fires THEN coalesce(said, false) ELSE false END AS has_signers,
+    CASE WHEN parsed.doc_id IS NULL THEN 1 ELSE greatest(count, 1) END AS count, md5(coalesce(array_to_string(parsed.names, '|'), '')) AS names, CASE WHEN fires AND said IS NOT NULL THEN 'as quoted' END AS reasoning FROM asked LEFT JOIN parsed ON parsed.doc_id = row_idx"""
+)
+def checked_signers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters that may have several signers, with recorded answers: block cut from the whole text, names read and written back."""
+    k, t = F.col("row_idx"), F.col("text")
+    fields = {n: F.lit(None).cast(kind) for n, kind in infer.COSIGNERS.items()} | {"cosigner_checked": k % 6 == 0}
+    c = comments(spark, sf_dir).where("analysis is not null").select("row_idx", "text", F.struct(*[v.alias(n) for n, v in fields.items()]).alias("analysis"))
+    c = c.withColumn("fires", infer.signer_trigger(F.col("analysis"), t, ["the", "der"]))
+    first = F.when(F.length(t) >= 120, F.substring(t, F.length(t) - 119, F.lit(25))).otherwise("")
+    last = F.when(k % 5 == 0, "no such words in it").otherwise(F.right(t, F.lit(20)))
+    answer = F.to_json(F.struct((k % 3 != 0).alias("has_cosigners"), first.alias("block_start"), last.alias("block_end"), F.lit("as quoted").alias("reasoning")))
+    said = c.where("fires").select("row_idx", F.when(k % 7 != 0, answer).alias("answer"))
+    a = F.col("analysis")
+    out = model.with_signers(c, said, "text")
+    return out.select("row_idx", "outcome", F.coalesce(a["cosigner_has_flag"], F.lit(False)).alias("has_signers"), F.coalesce(a["cosigner_count"], F.lit(1)).alias("count"), F.md5(F.coalesce(F.array_join(a["cosigner_names"], "|"), F.lit(""))).alias("names"), a["cosigner_reasoning"].alias("reasoning"))
+
+
 @query(
     "WITH "
     + COMMENTS_SQL

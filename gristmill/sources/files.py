@@ -6,26 +6,38 @@ from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from gristmill.functions.text import strip, text_or_empty
+from gristmill.operators.skew import lookup
+from gristmill.sources import csv_ranges
 from gristmill.storage import materialize
 
 
+#: Rows of the table of a collection's files that is sent to all tasks; a longer one is joined in groups.
+FEW_FILES = 20_000
+
+
 def read_export(spark: SparkSession, path: str, columns: list[str], first: int | None = None) -> DataFrame:
     """A CSV export with quoted line breaks, and row_idx: the place of each row, files in order of their names.
 
-    Every column is text, nothing is inferred.  With ``first`` only so many rows.  A file with quoted line breaks is read by
-    one task from its start, so the rows of a file are numbered one after the other there; the counts of files do the rest.
+    Every column is text, nothing is inferred.  With ``first`` only so many rows.  A file is read in ranges by many tasks; a
+    header that names other columns is an error.  Where the header ends with a carriage return, quoted breaks lose theirs.
     """
-    schema = StructType([StructField(c, StringType()) for c in columns])
-    rows = spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', enforceSchema=False)
-    rows = materialize(rows.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at")), "export")
-    files = rows.groupBy("_file").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))  # a row a file
-    ahead = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.join(files.withColumn("_ahead", ahead), "_file").withColumn("row_idx", F.col("_ahead") + F.col("_at") - F.col("_first"))
-    return (rows if first is None else rows.where(F.col("row_idx") < first)).select("row_idx", *[f"`{c}`" for c in columns])
+    found, counts = csv_ranges.records(spark, path)
+    heads = found.where("number = 0").select("file", F.col("record").endswith("\r").alias("returns"), "record")
+    ahead = F.coalesce(F.sum(F.col("n") - 1).over(Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = materialize(counts.where("n > 0").join(heads, "file").select("file", "returns", ahead.alias("ahead"), F.regexp_replace("record", "^\ufeff|\r$", "").alias("head")), "export-files")  # a row a file
+    schema, options = ", ".join(f"`{c}` string" for c in columns), {"escape": '"', "multiLine": "true"}
+    named = places.select(F.from_csv("head", schema, options).alias("r")).select(F.array(*[f"r.`{c}`" for c in columns]).alias("names"))
+    if other := named.where(F.col("names") != F.array(*map(F.lit, columns))).first():
+        raise ValueError(f"the header is {other['names']}, not {columns}")
+    rows, places = found.where("number > 0"), places.select("file", "returns", "ahead")
+    rows = rows.join(F.broadcast(places), "file") if places.count() <= FEW_FILES else lookup(rows, places, ["file"], "number")
+    record = F.when(F.col("returns"), F.regexp_replace(F.replace("record", F.lit("\r\n"), F.lit("\n")), "\r$", "")).otherwise(F.col("record"))
+    rows = rows.select((F.col("ahead") + F.col("number") - 1).alias("row_idx"), F.from_csv(record, schema, options).alias("r"))
+    return (rows if first is None else rows.where(F.col("row_idx") < first)).select("row_idx", "r.*")
 
 
 def read_stored(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -50,6 +62,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def holds_parquet(spark: SparkSession, path: str) -> bool:
+    """Whether a folder has files of a table: one whose first write broke off has none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/*.parquet")
+    return len(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []) > 0
+
+
 def read_whole(spark: SparkSession, path: str) -> str | None:
     """A small file as one text, from any storage that the session can read; None where there is none."""
     return spark.read.text(path, wholetext=True).first()[0] if exists(spark, path) else None

@@ -1,4 +1,4 @@
-"""A paged listing as a Spark data source: pages follow a cursor until nothing new comes.
+"""A paged listing as a Spark data source, in batches and as a stream: pages follow a cursor until nothing new comes.
 
 The service is a callable from (since, page) to rows, given by import path, so that tests and offline runs use a file.
 """
@@ -6,11 +6,14 @@ The service is a callable from (since, page) to rows, given by import path, so t
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+
+from gristmill.sources import shared
 
 PAGE_ROWS, PAGES = 250, 20
 
@@ -46,6 +49,54 @@ def from_file(path: str, page_rows: int = PAGE_ROWS) -> Callable[[str, int], lis
     return fetch
 
 
+def from_table(path: str, page_rows: int = PAGE_ROWS) -> Callable[[str, int], list[dict]]:
+    """A stand-in for a service: a stored table with id, modified and others, in pages by modified and id."""
+    import pyarrow.parquet as pq
+
+    where, at = shared.located(path)
+    rows = pq.read_table(at, filesystem=where).sort_by([("modified", "ascending"), ("id", "ascending")])
+    times = rows.column("modified").to_pylist()
+
+    def fetch(since: str, page: int) -> list[dict]:
+        return rows.slice(bisect_left(times, since) + (page - 1) * page_rows, page_rows).to_pylist()
+
+    return fetch
+
+
+class Stalled(RuntimeError):
+    """More rows share one time than the service lists: no cursor gets past them."""
+
+
+def window(fetch: Callable[[str, int], list[dict]], start: dict, page_rows: int = PAGE_ROWS, pages: int = PAGES) -> tuple[list[dict], dict]:
+    """The rows behind a cursor, as far as the service lists them at once, and the cursor behind those.
+
+    A cursor is the last time seen and the ids seen at that time, as the service lists that time again.
+    """
+    known, out, full = set(start["seen"]), {}, True
+    for page in range(1, pages + 1):
+        rows = fetch(start["since"], page)
+        out |= {r["id"]: r for r in rows if not (r["modified"] == start["since"] and r["id"] in known)}
+        if len(rows) < page_rows:
+            full = False
+            break
+    last = max((r["modified"] for r in out.values()), default=start["since"])
+    if full and last == start["since"]:
+        raise Stalled(f"{pages * page_rows} rows or more were modified at {last!r}")
+    seen = {i for i, r in out.items() if r["modified"] == last} | (known if last == start["since"] else set())
+    return list(out.values()), {"since": last, "seen": sorted(seen)}
+
+
+def between(fetch: Callable[[str, int], list[dict]], start: dict, end: dict, page_rows: int = PAGE_ROWS, pages: int = PAGES) -> Iterator[dict]:
+    """The rows between two cursors, as they are listed now: a batch that is done again."""
+    ends = set(end["seen"])
+    while True:
+        rows, after = window(fetch, start, page_rows, pages)
+        yield from (r for r in rows if r["modified"] < end["since"] or r["modified"] == end["since"] and r["id"] in ends)
+        if after["since"] >= end["since"] or not rows:
+            return
+        start = after
+
+
 class ListingSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -57,23 +108,67 @@ class ListingSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return _StreamReader(self.options)
+
+
+class _Service:
+    """What the options name: how the service is asked, and how much it lists at once."""
 
-class _Reader(DataSourceReader):
     def __init__(self, options):
         self.options = options
+        self.limits = int(options.get("pagerows", PAGE_ROWS)), int(options.get("pages", PAGES))
 
+    def fetch(self) -> Callable[[str, int], list[dict]]:
+        module, _, name = self.options.get("service", "gristmill.sources.listing:from_file").partition(":")
+        return getattr(import_module(module), name)(self.options["path"], self.limits[0])
+
+    @staticmethod
+    def row(r: dict) -> tuple[str, str, str]:
+        return r["id"], r["modified"], json.dumps({k: v for k, v in r.items() if k not in ("id", "modified")}, sort_keys=True)
+
+
+class _Reader(_Service, DataSourceReader):
     def partitions(self):
         return [InputPartition(0)]
 
     def read(self, partition):
-        module, _, name = self.options.get("service", "gristmill.sources.listing:from_file").partition(":")
-        rows, pages = int(self.options.get("pagerows", PAGE_ROWS)), int(self.options.get("pages", PAGES))
-        fetch = getattr(import_module(module), name)(self.options["path"], rows)
-        for r in walk(fetch, self.options.get("since", ""), rows, pages):
-            yield r["id"], r["modified"], json.dumps({k: v for k, v in r.items() if k not in ("id", "modified")}, sort_keys=True)
+        yield from map(self.row, walk(self.fetch(), self.options.get("since", ""), *self.limits))
+
+
+class _StreamReader(_Service, SimpleDataSourceStreamReader):
+    """A batch is what the service lists at once; its offset is the cursor."""
+
+    def initialOffset(self) -> dict:
+        return {"since": self.options.get("since", ""), "seen": []}
+
+    def read(self, start: dict):
+        if not hasattr(self, "asked"):
+            self.asked = self.fetch()
+        rows, end = window(self.asked, start, *self.limits)
+        return iter([self.row(r) for r in rows]), end
 
+    def readBetweenOffsets(self, start: dict, end: dict):
+        return iter([self.row(r) for r in between(self.fetch(), start, end, *self.limits)])
 
-def read_listing(spark: SparkSession, path: str, since: str = "", page_rows: int = PAGE_ROWS, pages: int = PAGES) -> DataFrame:
+    def commit(self, end: dict) -> None:
+        pass
+
+
+def _options(path: str, since: str, page_rows: int, pages: int, service: str) -> dict[str, str]:
+    return {"path": path, "since": since, "pagerows": str(page_rows), "pages": str(pages), "service": service}
+
+
+FILE = "gristmill.sources.listing:from_file"
+
+
+def read_listing(spark: SparkSession, path: str, since: str = "", page_rows: int = PAGE_ROWS, pages: int = PAGES, service: str = FILE) -> DataFrame:
     """One task: each page is asked for with what the one before told."""
     spark.dataSource.register(ListingSource)
-    return spark.read.format("listing").options(path=path, since=since, pagerows=str(page_rows), pages=str(pages)).load()
+    return spark.read.format("listing").options(**_options(path, since, page_rows, pages, service)).load()
+
+
+def stream_listing(spark: SparkSession, path: str, since: str = "", page_rows: int = PAGE_ROWS, pages: int = PAGES, service: str = FILE) -> DataFrame:
+    """The listing as a stream, a batch for every ``pages`` pages; its place survives in the checkpoint of the query that reads it."""
+    spark.dataSource.register(ListingSource)
+    return spark.readStream.format("listing").options(**_options(path, since, page_rows, pages, service)).load()

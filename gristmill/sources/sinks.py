@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.operators.report import byte_chunks, shards
+from gristmill.operators.chunks import byte_chunks
+from gristmill.operators.report import shards
 
 
 def append_log(rows: DataFrame, path: str) -> None:
@@ -35,32 +37,51 @@ def write_jdbc(rows: DataFrame, url: str, table: str, batch: int = 1000, **prope
     rows.write.mode("append").option("batchsize", batch).jdbc(url, table, properties=properties)
 
 
+def _names(*names: str) -> None:
+    """Names of tables and columns are put into statements, so they must be names; values never are."""
+    if bad := [n for n in names if not all(part.replace("_", "").isalnum() for part in n.split("."))]:
+        raise ValueError(f"not names: {', '.join(bad)}")
+
+
 def delete_statement(table: str, key: str) -> str:
-    """Removes the rows of one key; names are those of a table and a column, never values."""
-    if not all(part.replace("_", "").isalnum() for part in [*table.split("."), key]):
-        raise ValueError(f"not names: {table}, {key}")
+    """Removes the rows of one key."""
+    _names(table, key)
     return f"DELETE FROM {table} WHERE {key} = ?"
 
 
 def replace_jdbc(rows: DataFrame, url: str, table: str, key: str, value: str, batch: int = 1000, **properties: str) -> None:
-    """The rows of one key anew: the old ones go in a transaction of their own, the new ones follow in batches."""
+    """The rows of one key anew, in one transaction.
+
+    Tasks write the new rows in batches to a table of the same shape beside the target.  Then the old rows go and the new ones
+    are copied inside the database, and both or neither hold; whatever fails before leaves the old rows as they are.
+    """
+    staged, columns = f"{table}_{uuid.uuid4().hex[:12]}", ", ".join(rows.columns)
+    _names(table, key, *rows.columns)
     jvm = rows.sparkSession._jvm
     props = jvm.java.util.Properties()
     for k, v in properties.items():
         props.setProperty(k, v)
     con = jvm.java.sql.DriverManager.getConnection(url, props)
     try:
-        con.setAutoCommit(False)
-        statement = con.prepareStatement(delete_statement(table, key))
-        statement.setString(1, value)
-        statement.executeUpdate()
-        con.commit()
-    except Exception:
-        con.rollback()
-        raise
+        con.createStatement().execute(f"CREATE TABLE {staged} AS SELECT {columns} FROM {table} WITH NO DATA")
+        try:
+            write_jdbc(rows, url, staged, batch, **properties)
+            con.setAutoCommit(False)
+            try:
+                gone = con.prepareStatement(delete_statement(table, key))
+                gone.setString(1, value)
+                gone.executeUpdate()
+                con.createStatement().executeUpdate(f"INSERT INTO {table} ({columns}) SELECT {columns} FROM {staged}")
+                con.commit()
+            except Exception:
+                con.rollback()
+                raise
+            finally:
+                con.setAutoCommit(True)
+        finally:
+            con.createStatement().execute(f"DROP TABLE {staged}")
     finally:
         con.close()
-    write_jdbc(rows, url, table, batch, **properties)
 
 
 def snapshot(rows: DataFrame, path: str) -> str:
@@ -94,9 +115,12 @@ def write_document(spark: SparkSession, path: str, document: Any) -> None:
     write_text(spark, path, json.dumps(document, indent=1, ensure_ascii=False))
 
 
-def write_ids(ids: DataFrame, path: str, key: str = "id") -> None:
-    """A list of ids in order, as one JSON document; for lists that people read."""
-    write_document(ids.sparkSession, path, [r[key] for r in ids.select(key).orderBy(key).collect()])
+def write_ids(ids: DataFrame, path: str, key: str = "id", most: int = 100_000) -> None:
+    """A list of ids in order, as one JSON document; for lists that people read: more than ``most`` ids are an error."""
+    found = [r[key] for r in ids.select(key).orderBy(key).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} ids: write them as a table")
+    write_document(ids.sparkSession, path, found)
 
 
 def stored_bytes(spark: SparkSession, path: str) -> int | None:

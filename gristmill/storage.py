@@ -69,11 +69,12 @@ def discard(*tables: DataFrame | str) -> None:
     for t in tables:
         path = t if isinstance(t, str) else getattr(t, "_gristmill_path", None)
         for spark, made in [x for x in _made if x[1] == path]:
-            _remove(spark, made)
+            remove(spark, made)
             _made.remove((spark, made))
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """A file or folder, if it is there."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(conf).delete(p, True)
@@ -83,6 +84,6 @@ def _remove(spark: SparkSession, path: str) -> None:
 def _cleanup() -> None:
     for spark, path in _made:
         try:
-            _remove(spark, path)
+            remove(spark, path)
         except Exception:  # the session has ended before
             return

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.operators import cluster, components, dedup, evaluate, export, filters, gates, infer, ingest, report, skew
+from gristmill.operators import chunks, cluster, components, dedup, evaluate, export, filters, gates, infer, ingest, report, skew
 from gristmill.sources import files
 
 
@@ -144,7 +144,7 @@ def test_ids_and_guard(spark):
 @pytest.mark.parametrize("block", [1, 7, 65536])
 def test_byte_chunks(spark, cap, block):
     lines = [("é" * (i * 7 % 30 + 1)) for i in range(60)]
-    got = report.byte_chunks(spark.createDataFrame(list(enumerate(lines)), "row_idx long, line string"), "line", "row_idx", cap, block).orderBy("row_idx").collect()
+    got = chunks.byte_chunks(spark.createDataFrame(list(enumerate(lines)), "row_idx long, line string"), "line", "row_idx", cap, block, fan=3).orderBy("row_idx").collect()
     chunk, used, want = 0, 0, []
     for x in lines:
         n = len(x.encode()) + 1

@@ -19,7 +19,7 @@ def test_guards(spark):
     with pytest.raises(pages.Incomplete):
         pages.need_rule_page(True, [])
     pages.need_rule_page(False, None)
-    rows = spark.createDataFrame([("a", "429 quota"), ("b", "")], "id string, analysis_error string")
+    rows = spark.createDataFrame([("a", "RateLimitError: insufficient_quota"), ("b", "")], "id string, analysis_error string")
     with pytest.raises(gates.Refused):
         gates.credential_block(rows)
     gates.credential_block(rows.where("id = 'b'"))
@@ -280,7 +280,38 @@ def test_deletes_name_columns_only():
 
 def test_run_counts(spark):
     rows = spark.createDataFrame([("a", "Public Submission", ""), ("a#2", "Notice", "e"), ("b", None, "")], "id string, kind string, err string")
-    assert tuple(ingest.run_counts(rows, "kind", error="err").first()) == (3, 2, 1, 1)
+    seen, told = ingest.counted(rows.withColumn("later", F.col("id").contains("#")), "kind", error="err", repeated="later")
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    seen.write.format("noop").mode("overwrite").save()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) == len(before) + 1  # the write alone
+    assert told.get == {"rows": 3, "other_kinds": 2, "repeated_ids": 1, "failed": 1}
+
+
+def test_later_rows_of_an_id_are_marked_and_an_own_hash_is_none(spark):
+    rows = spark.createDataFrame([(0, "a", ""), (1, "a", "T"), (2, "x#1", ""), (3, "a", None), (4, None, ""), (5, None, "")], "row_idx long, id string, tracking string")
+    got = {r["row_idx"]: (r["id"], r["later"]) for r in ingest.distinct_ids(rows, mark="later").collect()}
+    assert got == {0: ("a", False), 1: ("a#T", True), 2: ("x#1", False), 3: ("a#dup3", True), 4: (None, False), 5: (None, True)}
+    seen, told = ingest.counted(ingest.distinct_ids(rows, mark="later"), repeated="later")
+    assert seen.count() == 6 and told.get["repeated_ids"] == 3
+
+
+def test_ids_are_given_where_there_is_none(spark):
+    rows = spark.createDataFrame([(0, "a", "x"), (1, " ", "y"), (2, None, ""), (3, None, None)], "row_idx long, a string, b string")
+    assert [r["id"] for r in ingest.with_id(rows, "a", "b").orderBy("row_idx").collect()] == ["a", "y", "comment_2", "comment_3"]
+
+
+def test_samples_are_the_same_on_every_run(spark):
+    rows = spark.range(500).select(F.col("id").alias("k"), F.lit("x").alias("other"))
+    first = [r["k"] for r in ingest.sample_rows(rows, 20, "k", "s").collect()]
+    again = [r["k"] for r in ingest.sample_rows(rows.repartition(7), 20, "k", "s").collect()]
+    assert first == again and len(set(first)) == 20 and first != [r["k"] for r in ingest.sample_rows(rows, 20, "k", "t").collect()]
+    assert ingest.sample_rows(rows, 0, "k", "s").count() == 0 and ingest.sample_rows(rows, 900, "k", "s").count() == 500
+
+
+def test_log_of_the_second_pass(spark):
+    rows = spark.createDataFrame([("a", None, None, 1), ("b", "", None, 2), ("c", None, "OH", 3)], "id string, verified_stance string, verified_state string, n int")
+    got = sinks.verification_log(rows, ["verified_stance", "verified_state"])
+    assert got.columns == ["id", "verified_stance", "verified_state"] and sorted(r["id"] for r in got.collect()) == ["b", "c"]
 
 
 def test_downloads_that_fail_are_told(spark):
@@ -300,8 +331,11 @@ def test_tables_of_other_columns_are_united(spark):
 
 
 def test_errors_of_credentials(spark):
-    rows = spark.createDataFrame([("invalid API key",), ("HTTP 429",), ("timed out",), (None,)], "analysis_error string")
-    assert infer.credential_errors(rows).count() == 2 and infer.credential_errors(rows, markers=infer.CREDENTIAL_MARKERS).count() == 1
+    told = ["Invalid API key", "HTTP 429", "timed out", None, "RateLimitError: slow down", "no credits remaining", "JSONDecodeError: line 1 column 401 (char 400)", "AuthenticationError: x"]
+    rows = spark.createDataFrame([(x,) for x in told], "analysis_error string")
+    assert sorted(r[0] for r in infer.credential_errors(rows).collect()) == ["AuthenticationError: x", "Invalid API key", "RateLimitError: slow down", "no credits remaining"]
+    for marker in infer.PUBLISH_MARKERS:
+        assert infer.credential_errors(spark.createDataFrame([(f"E: {marker.upper()}!",)], "analysis_error string")).count() == 1
 
 
 def test_fields_take_options_from_elsewhere():
