@@ -9,7 +9,8 @@ confidence from which at least ``ACCEPTED_RIGHT`` of those rows are right.  Pred
 
 Training uses at most ``SAMPLE`` rows a language, the first by a hash of their ids, and at most ``ROWS`` in all (but one of
 each language): with more than ROWS / SAMPLE languages each gets an equal part.  What comes to the driver of a row are the
-buckets of its subwords and how often each comes, at most ``BUCKETS`` pairs however long the text is.
+buckets of its subwords and how often each comes: at most ``PAIRS`` of these pairs over all rows, each row with an equal part
+(the most frequent of its buckets, the lower among equals), however long its text is.
 
 Rows: a text that is null or has no letter is ``und`` with score 0 and rejected.  Without training rows everything is
 ``und``.  Repeated rows get equal results; an empty table gives an empty result.  Other columns are ignored.
@@ -31,6 +32,9 @@ BUCKETS = 1 << 15
 DIM = 12
 SAMPLE = 800
 ROWS = 40_000
+#: pairs of bucket and count that training takes, 8 bytes each on the driver and as many again while they arrive
+PAIRS = 16_000_000
+LEAST_PAIRS = 16
 #: counts of no more languages than this are broadcast; more are joined by shuffle, none is left out
 FEW_LANGUAGES = 1000
 EPOCHS = 4
@@ -93,7 +97,7 @@ def fit(counted: list[tuple[np.ndarray, np.ndarray]], langs: list[str], calibrat
     y = np.array([places[x] for x in langs])
     rng = np.random.default_rng(seed)
     emb, w, bias = rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.1, (DIM, len(names))), np.zeros(len(names))
-    bags = [(u, c / max(1, c.sum())) for u, c in counted]
+    bags = [(u, (c / max(1, c.sum())).astype(np.float32)) for u, c in counted]
     learn = [i for i in np.flatnonzero(~calibrate) if len(bags[i][0])]
     for epoch in range(epochs):
         rate = 2.0 * (1 - epoch / epochs) + 0.05
@@ -133,12 +137,20 @@ def held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
 
-def bags_of(rows: DataFrame) -> DataFrame:
-    """doc_id, lang, buckets and counts of rows with a text."""
+def most_frequent(buckets: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most so many pairs, those with the greatest counts, in order of their buckets."""
+    if len(buckets) <= most:
+        return buckets, counts
+    kept = np.sort(np.lexsort((buckets, -counts))[:most])
+    return buckets[kept], counts[kept]
+
+
+def bags_of(rows: DataFrame, most: int = BUCKETS) -> DataFrame:
+    """doc_id, lang, buckets and counts (at most ``most`` of each) of rows with a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [bag(t) for t in b.column(2).to_pylist()]
+            found = [most_frequent(*bag(t), most) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([f[k].astype(np.int32) for f in found], pa.list_(pa.int32())) for k in (0, 1))], ["doc_id", "lang", "buckets", "counts"])
 
     return rows.select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, buckets array<int>, counts array<int>")
@@ -159,13 +171,14 @@ def chosen(docs: DataFrame, sample: int = SAMPLE, rows: int = ROWS) -> DataFrame
     return near.withColumn("k", first).where(F.col("k") <= each).select("doc_id", "lang", "text")
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, rows: int = ROWS) -> Model | None:
-    got = bags_of(chosen(docs, sample, rows)).toPandas()
+def train(docs: DataFrame, sample: int = SAMPLE, rows: int = ROWS, pairs: int = PAIRS) -> Model | None:
+    picked = materialize(chosen(docs, sample, rows), "language-sample")
+    got = bags_of(picked, max(LEAST_PAIRS, pairs // max(1, picked.count()))).toPandas()
     got["first"] = [tuple(b[:8]) for b in got["buckets"]]
     got = got.sort_values(["doc_id", "lang", "first"], kind="stable")
     ids = got["doc_id"].fillna(0).to_numpy(np.int64)
     calibrate = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(5) == 0
-    return fit([(np.asarray(u, np.int64), np.asarray(c, np.int64)) for u, c in zip(got["buckets"], got["counts"], strict=True)], got["lang"].tolist(), calibrate)
+    return fit([(np.asarray(u, np.int32), np.asarray(c, np.int32)) for u, c in zip(got["buckets"], got["counts"], strict=True)], got["lang"].tolist(), calibrate)
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:

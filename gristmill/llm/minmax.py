@@ -213,7 +213,7 @@ def _near_duplicates(docs: DataFrame, percent: int, permutations: int, rows: int
     banded = reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("band", "key").agg(F.min(F.struct("doc", "n")).alias("p"), F.max("doc").alias("other")).where("p.doc <> other")
     shared = materialize(shared.select("band", "key", F.col("p.doc").alias("pivot"), F.col("p.n").alias("na")), "minmax-shared")
-    members = materialize(banded.join(shared, ["band", "key"]), "minmax-members")
+    members = materialize(lookup(banded, shared, ["band", "key"], "doc"), "minmax-members")
     sets = full_sets(docs, materialize(members.select(F.col("doc").alias("doc_id")).distinct(), "minmax-candidates"), n)
     sets = materialize(sets.dropDuplicates() if repeated else sets, "minmax-sets")
 
@@ -229,7 +229,7 @@ def _near_duplicates(docs: DataFrame, percent: int, permutations: int, rows: int
     rest = members.select("band", "key", "doc", "n").join(linked, F.col("doc") == F.col("node"), "left").select("band", "key", "doc", "n", F.coalesce("component", "doc").alias("part"))
     rest = materialize(rest, "minmax-members")
     buckets = rest.groupBy("band", "key").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), _cells(F.count(F.lit(1)), F.sum("n"), cell_rows).alias("blocks")).where("p0 <> p1")
-    open_ = rest.join(materialize(buckets.select("band", "key", "blocks"), "minmax-open"), ["band", "key"])
+    open_ = lookup(rest, materialize(buckets.select("band", "key", "blocks"), "minmax-open"), ["band", "key"], "doc")
     more = materialize(_between_components(open_, sets, percent), "minmax-links")
     if more.limit(1).count():
         linked = connected_components(near.unionByName(more))

@@ -88,42 +88,51 @@ def weak_parts(text: str, strong: list[tuple[int, int, str]]) -> list[tuple[int,
     return out
 
 
+#: what a strong finding is as a part, and what each part needs in its scope
+_PART = {"access": "ident", "assign": "secret", "hex": "secret"}
+_NEEDS = {"ident": ("secret",), "secret": ("ident",), "endpoint": ("ident", "secret")}
+
+
+def complemented(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The spans, weak or strong, in whose scope what complements them stands."""
+    if len(spans) < 2:
+        return []
+    borders = [m.start() for m in _BLANK.finditer(text)]
+    part = lambda kind: _PART.get(kind, kind)
+    there = {(bisect_right(borders, a), part(kind)) for a, _, kind in spans}
+    return [(a, b, kind) for a, b, kind in spans if all((bisect_right(borders, a), k) in there for k in _NEEDS[part(kind)])]
+
+
 def linked(text: str, strong: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """The weak parts in whose scope what complements them stands."""
     weak = weak_parts(text, strong)
-    if not weak:
-        return []
-    borders = [m.start() for m in _BLANK.finditer(text)]
-    part = {"access": "ident", "assign": "secret", "hex": "secret"}
-    there = {(bisect_right(borders, a), part.get(kind, kind)) for a, _, kind in [*strong, *weak]}
-    needs = {"ident": ("secret",), "secret": ("ident",), "endpoint": ("ident", "secret")}
-    return [(a, b, kind) for a, b, kind in weak if all((bisect_right(borders, a), k) in there for k in needs[kind])]
+    return [s for s in complemented(text, [*strong, *weak]) if s[2] not in _PART] if weak else []
 
 
 def written(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1])))
 
 
-def scan(text: str) -> tuple[int, int, int, str, str]:
+def scan(text: str) -> tuple[int, int, int, str, str, str]:
     base = base_spans(text)
-    more = linked(text, base)
+    every = base + linked(text, base)
     n = Counter(k for _, _, k in base)
-    return n["assign"], n["access"], n["hex"], hashlib.sha256(written(base).encode()).hexdigest(), written(base + more)
+    return n["assign"], n["access"], n["hex"], hashlib.sha256(written(base).encode()).hexdigest(), written(every), written(complemented(text, every))
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, links (those spans, strong ones too, that complement each other)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, len(b), 1024):
                 part = b.slice(i, 1024)
                 cols = list(zip(*(scan(t or "") for t in part.column(1).to_pylist()), strict=True))
-                kinds = [pa.int64()] * 3 + [pa.string()] * 2
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+                kinds = [pa.int64()] * 3 + [pa.string()] * 3
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "links"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, links string")
 
 
 def op7_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

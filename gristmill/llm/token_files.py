@@ -387,7 +387,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with small_batches(docs.sparkSession):
-        return materialize(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST), "token-manifest")
+        # the head of a text keeps the rows of one id (or of none) in order and lets them be many tasks
+        return materialize(rows.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST), "token-manifest")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:

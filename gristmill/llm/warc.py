@@ -31,9 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm.files import read_range, write_file
+from gristmill.operators.skew import lookup
 from gristmill.storage import materialize, scratch_path
 
 SEGMENT_BYTES = 32_768
+#: what the query writes: pages have some 3 KB
+QUERY_SEGMENT = 2048
 CHUNK_BYTES = 4096
 FILE_BYTES = 32_000_000
 FEED_BYTES = 16_384
@@ -149,8 +152,11 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0, segment_
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("sha", F.sha1("payload"))
     # one row a payload that occurs again
     again = rows.where(F.length("payload") >= min_revisit).groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("rep")).where("n > 1")
-    rows = rows.join(materialize(again.select("sha", "rep"), "warc-again"), "sha", "left")
-    refers = F.when(F.col("rep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("rep")), F.col("rep"))
+    again = materialize(again.select("sha", "rep"), "warc-again")
+    # who refers to whom by digests alone, a payload of many pages in groups; then by page, which no payload makes hot
+    refs = lookup(rows.select("page_id", "sha"), again, ["sha"], "page_id").where("page_id is null or page_id <> rep").distinct()
+    refs = materialize(refs.select(F.col("page_id").alias("r_page"), F.col("sha").alias("r_sha"), "rep"), "warc-refs")
+    rows = rows.join(refs, F.col("page_id").eqNullSafe(F.col("r_page")) & (F.col("sha") == F.col("r_sha")), "left")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, n = [], 0, 0
@@ -175,7 +181,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0, segment_
         if held:
             yield flush()
 
-    return materialize(rows.select("page_id", "url", "payload", refers.alias("ref")).mapInArrow(write, "path string, size long, n long"), "warc-manifest")
+    return materialize(rows.select("page_id", "url", "payload", F.col("rep").alias("ref")).mapInArrow(write, "path string, size long, n long"), "warc-manifest")
 
 
 # --- reading --------------------------------------------------------------------------------------------------------
@@ -266,5 +272,6 @@ def reassemble(parts: DataFrame) -> DataFrame:
 
 
 def op8_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), scratch_path(spark, "warc"))
+    """Segments of ``QUERY_SEGMENT`` bytes, so that most pages come in several records."""
+    manifest = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), scratch_path(spark, "warc"), segment_bytes=QUERY_SEGMENT)
     return reassemble(fragments(manifest))
