@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.text import text_key, text_or_empty
 from gristmill.operators.skew import lookup
+from gristmill.storage import materialize
 
 
 def text_print(c: Column | str = "text_key") -> Column:
@@ -17,34 +18,44 @@ def text_print(c: Column | str = "text_key") -> Column:
     return F.sha2(F.col(c) if isinstance(c, str) else c, 256)
 
 
-def groups(comments: DataFrame) -> DataFrame:
+def prints(comments: DataFrame) -> DataFrame:
+    """row_idx, text_print of every comment, stored: what groups, representatives and members are found by, without any text."""
+    return materialize(comments.select("row_idx", text_print(text_key("text")).alias("text_print")), "text-prints")
+
+
+def groups(comments: DataFrame, keyed: DataFrame | None = None) -> DataFrame:
     """text_print, total_count, is_unique, duplication_ratio, rep (the first row_idx) of every distinct text.
 
-    Counts are combined before the shuffle, so a hot text is one row per task; ``members`` has who is in a group.
+    Counts are combined before the shuffle, so a hot text is one row per task; ``members`` has who is in a group.  ``keyed``, here
+    and below: the stored ``prints`` of the comments, where there are any.
     """
-    total = comments.agg(F.count(F.lit(1)).alias("_all"))  # one row
-    out = comments.groupBy(text_print(text_key("text")).alias("text_print")).agg(F.count(F.lit(1)).alias("total_count"), F.min("row_idx").alias("rep"))
+    keyed = comments.select("row_idx", text_print(text_key("text")).alias("text_print")) if keyed is None else keyed
+    total = keyed.agg(F.count(F.lit(1)).alias("_all"))  # one row
+    out = keyed.groupBy("text_print").agg(F.count(F.lit(1)).alias("total_count"), F.min("row_idx").alias("rep"))
     share = F.concat(F.lit("1/"), F.floor(F.col("_all") / F.col("total_count")).cast("string"))
     return out.crossJoin(F.broadcast(total)).select("text_print", "total_count", (F.col("total_count") == 1).alias("is_unique"), share.alias("duplication_ratio"), "rep")
 
 
 def members(comments: DataFrame) -> DataFrame:
     """row_idx, id, rep, total_count of every comment: its group by the group's first row.  A hot text is dealt to many tasks."""
-    keyed = comments.select("row_idx", "id", text_print(text_key("text")).alias("text_print"))
-    return lookup(keyed, groups(comments).select("text_print", "rep", "total_count"), ["text_print"], "row_idx").select("row_idx", "id", "rep", "total_count")
+    keyed = materialize(comments.select("row_idx", "id", text_print(text_key("text")).alias("text_print")), "text-prints")
+    return lookup(keyed, groups(comments, keyed).select("text_print", "rep", "total_count"), ["text_print"], "row_idx").select("row_idx", "id", "rep", "total_count")
 
 
-def representatives(comments: DataFrame) -> DataFrame:
+def representatives(comments: DataFrame, keyed: DataFrame | None = None) -> DataFrame:
     """The first row of every distinct text, with its key and count."""
-    first = groups(comments).select(F.col("rep").alias("row_idx"), "total_count")
+    first = groups(comments, keyed).select(F.col("rep").alias("row_idx"), "total_count")
     return comments.join(first, "row_idx").withColumn("text_key", text_key("text"))
 
 
-def spread(comments: DataFrame, analysed: DataFrame) -> DataFrame:
-    """Give every comment the analysis of its text, null without one.  A hot text is dealt to many tasks."""
-    c = comments.drop("analysis").withColumn("text_key", text_key("text")).withColumn("_print", text_print())
-    a = analysed.select(text_print().alias("_print"), "analysis")
-    return lookup(c, a, ["_print"], "row_idx", "left").drop("_print")
+def spread(comments: DataFrame, analysed: DataFrame, keyed: DataFrame | None = None) -> DataFrame:
+    """Give every comment the analysis of its text, null without one.
+
+    The analyses find their rows by prints alone, a hot text in many tasks; the comments then take them by row.
+    """
+    keyed = prints(comments) if keyed is None else keyed
+    told = lookup(keyed, analysed.select(text_print().alias("text_print"), "analysis"), ["text_print"], "row_idx").select("row_idx", "analysis")
+    return comments.drop("analysis").join(told, "row_idx", "left").withColumn("text_key", text_key("text"))
 
 
 def contains_quote(quote: Column, source: Column) -> Column:

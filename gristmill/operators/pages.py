@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from gristmill.functions import position
 from gristmill.functions.numbers import display_pct, safe_int, significant, split_pct
 from gristmill.functions.text import anonymous, distinct_matches, iso_date, preview, snippet, strip, text_or_empty
+from gristmill.storage import materialize
 
 #: fixed values: ids that a page embeds, samples of a section, and the name of what is not an organisation
 EMBED_IDS, SECTION_SAMPLES, NOBODY = 5000, 8, "Individual/Other"
@@ -166,11 +167,16 @@ def digest(rows: DataFrame, citations: str | None = None) -> DataFrame:
 
     ``rows``: row_idx, text, position, analysis, attachment_text, campaign_size (null outside of campaigns).
     """
-    member = F.coalesce(F.col("campaign_size") > 1, F.lit(False))
+    tags = F.filter(position.tags(F.col("analysis")), lambda s: s.startswith("Concern:"))
+    told = {"member": F.coalesce(F.col("campaign_size") > 1, F.lit(False)), "attached": strip("attachment_text") != "", "kind": _field(rows, "entity_type", NOBODY)}
+    told |= {"concerns": F.transform(tags, lambda s: F.replace(s, F.lit("Concern: "), F.lit(""))), "cited": distinct_matches(F.col("text"), citations) if citations else F.array().cast("array<string>")}
+    # what is counted, found once and stored without texts
+    rows = materialize(rows.select("row_idx", "position", *[c.alias(n) for n, c in told.items()]), "digest-rows")
+    member = F.col("member")
     total = rows.agg(F.count(F.lit(1)).alias("total"))  # one row
     one = lambda section, label, cond: (section, label, F.count_if(cond))
     plain = [one("stance", p, F.col("position") == p) for p in ("Oppose", "Support", "Unclear")]
-    plain += [one("campaigns", "in a campaign", member), one("campaigns", "unique", ~member), one("attachments", "with attachment text", strip("attachment_text") != "")]
+    plain += [one("campaigns", "in a campaign", member), one("campaigns", "unique", ~member), one("attachments", "with attachment text", F.col("attached"))]
     plain += [one("in a campaign by stance", p, member & (F.col("position") == p)) for p in ("Oppose", "Support", "Unclear")]
     sums = rows.agg(*[n.alias(f"c{i}") for i, (_, _, n) in enumerate(plain)])
     first = sums.select(F.explode(F.array(*[F.struct(F.lit(s).alias("section"), F.lit(i).alias("place"), F.lit(label).alias("label"), F.col(f"c{i}").alias("n")) for i, (s, label, _) in enumerate(plain)])).alias("r")).select("r.*")
@@ -181,11 +187,10 @@ def digest(rows: DataFrame, citations: str | None = None) -> DataFrame:
         ranked = in_order(ranked.limit(k) if k else ranked, F.desc("n"), F.col("f"), F.col("label"))
         return ranked.select(F.lit(section).alias("section"), "place", "label", "n")
 
-    tags = F.filter(position.tags(F.col("analysis")), lambda s: s.startswith("Concern:"))
-    concern = rows.select("row_idx", "position", F.explode(F.transform(tags, lambda s: F.replace(s, F.lit("Concern: "), F.lit("")))).alias("label"))
-    parts = [first, top("submitters", rows.select("row_idx", _field(rows, "entity_type", NOBODY).alias("label")), None), top("concerns", concern, 15), top("concerns of supporters", concern.where("position = 'Support'"), 10)]
+    concern = rows.select("row_idx", "position", F.explode("concerns").alias("label"))
+    parts = [first, top("submitters", rows.select("row_idx", F.col("kind").alias("label")), None), top("concerns", concern, 15), top("concerns of supporters", concern.where("position = 'Support'"), 10)]
     if citations:
-        cited = rows.select("row_idx", F.explode(distinct_matches(F.col("text"), citations)).alias("label")).withColumn("row_idx", F.lit(0))
+        cited = rows.select(F.lit(0).alias("row_idx"), F.explode("cited").alias("label"))
         parts.append(top("citations", cited, 12))
     out = reduce(DataFrame.unionByName, parts).crossJoin(F.broadcast(total))
     return out.select("section", F.col("place").cast("int").alias("place"), "label", "n", significant(F.col("n")).cast("long").alias("about"), F.bround(F.col("n") * 100.0 / F.col("total"), 0).cast("int").alias("pct"))

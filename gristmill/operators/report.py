@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from gristmill.functions.numbers import display_pct, split_pct
 from gristmill.functions.text import preview, snippet, strip
+from gristmill.storage import materialize
 
 
 def share_by(rows: DataFrame, bucket: str) -> DataFrame:
@@ -63,6 +64,37 @@ def campaign_stats(rows: DataFrame, campaign: str = "campaign", position: str =
     return out.join(told, campaign, "left").join(samples(members, campaign, n_samples).select(campaign, "samples"), campaign, "left")
 
 
+def _section(name: str, rows: DataFrame, by: str, total: DataFrame, n_samples: int) -> DataFrame:
+    """section, place, name, n, oppose, support, unclear, oppose_pct, support_pct, pct, samples: groups in order of size, then of their first row."""
+    counts = split_counts(rows, by).join(samples(rows, by, n_samples).select(by, "samples"), by).crossJoin(F.broadcast(total))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "first_idx"))  # a row a group
+    return counts.select(F.lit(name).alias("section"), place.alias("place"), F.col(by).cast("string").alias("name"), "n", "oppose", "support", "unclear", "oppose_pct", "support_pct", display_pct(F.col("n"), F.col("total")).alias("pct"), "samples")
+
+
+def whole_briefing(rows: DataFrame, n_samples: int = 200, campaign_samples: int = 10) -> DataFrame:
+    """All that a report opens with, as one table: a row for each total, concern, entity type, state, party and campaign.
+
+    ``rows``: row_idx, id, analysis, position, attachment_text, campaign_id.  Groups come in order of size, those of a size as
+    they are first seen, with the first ids of each; pct is of all comments.  Concerns count as often as they are tagged.
+    """
+    a = F.col("analysis")
+    rows = materialize(rows.select("row_idx", "id", "position", "campaign_id", (strip("attachment_text") != "").alias("attached"), a["stances"].alias("stances"), F.coalesce(a["entity_type"], F.lit("Individual/Other")).alias("entity"), strip(a["state_identified"]).alias("state"), strip(a["political_affiliation"]).alias("party")), "briefing-rows")
+    total = rows.agg(F.count(F.lit(1)).alias("total"))  # one row
+    split = [F.count_if(F.col("position") == p).alias(p.lower()) for p in ("Oppose", "Support", "Unclear")]
+    all_ = rows.agg(F.count(F.lit(1)).alias("n"), *split, F.min("row_idx").alias("f")).withColumn("name", F.lit("comments"))
+    attached = rows.where("attached").agg(F.count(F.lit(1)).alias("n"), *split, F.min("row_idx").alias("f")).withColumn("name", F.lit("with attachments"))
+    in_campaigns = rows.where("campaign_id is not null").agg(F.count(F.lit(1)).alias("n"), *split, F.min("row_idx").alias("f")).withColumn("name", F.lit("in campaigns"))
+    pct = split_pct(F.col("oppose"), F.col("support"))
+    out = None
+    for place, t in enumerate((all_, attached, in_campaigns), 1):
+        t = t.crossJoin(F.broadcast(total)).select(F.lit("totals").alias("section"), F.lit(place).alias("place"), "name", "n", "oppose", "support", "unclear", pct.alias("oppose_pct"), F.when(F.col("oppose") + F.col("support") > 0, 100 - pct).otherwise(0).alias("support_pct"), display_pct(F.col("n"), F.col("total")).alias("pct"), F.array().cast("array<string>").alias("samples"))
+        out = t if out is None else out.unionByName(t)
+    parts = [("concerns", concern_tags(rows.withColumn("analysis", F.struct("stances"))), "concern", n_samples), ("entity types", rows, "entity", n_samples), ("states", rows.where("state <> ''"), "state", n_samples), ("parties", rows.where("party <> ''"), "party", n_samples), ("campaigns", rows.where("campaign_id is not null"), "campaign_id", campaign_samples)]
+    for name, part, by, many in parts:
+        out = out.unionByName(_section(name, part, by, total, many))
+    return out
+
+
 def group_samples(rows: DataFrame, group: str, fields: list[str], n: int = 200) -> DataFrame:
     """group, n, first row, and of its first ``n`` rows the fields, as an array of records; blank groups are left out."""
     kept = rows.where(strip(group) != "").withColumn("_v", F.struct(*fields))

@@ -205,6 +205,27 @@ def wide_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("Body", "Tracking Number")
 
 
+def _ranked(section: str, source: str, name: str, many: int) -> str:
+    return f"""SELECT '{section}' AS section, CAST(row_number() OVER (ORDER BY n DESC, first_idx) AS INTEGER) AS place, name, n, oppose, support, unclear, oppose_pct, CASE WHEN oppose + support > 0 THEN 100 - oppose_pct ELSE 0 END AS support_pct, {_pct("n", "(SELECT count(*) FROM rich)")} AS pct, samples
+    FROM (SELECT CAST({name} AS VARCHAR) AS name, {_SPLIT}, string_agg(id, ',' ORDER BY row_idx) FILTER (k <= {many}) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY {name} ORDER BY row_idx) AS k FROM ({source})) GROUP BY {name})"""
+
+
+_TAGGED = "SELECT *, lang AS concern FROM rich WHERE analysed UNION ALL SELECT *, 'license' FROM rich WHERE analysed AND licensed"
+_SECTIONS = [("concerns", _TAGGED, "concern", 200), ("entity types", "SELECT *, coalesce(kind, 'Individual/Other') AS entity FROM rich", "entity", 200), ("states", "SELECT * FROM rich WHERE state <> ''", "state", 200), ("parties", "SELECT * FROM rich WHERE party <> ''", "party", 200), ("campaigns", "SELECT * FROM rich WHERE campaign_id IS NOT NULL", "campaign_id", 10)]
+_TOTALS = [("comments", "true"), ("with attachments", "trim(attachment_text) <> ''"), ("in campaigns", "campaign_id IS NOT NULL")]
+
+
+@query(
+    RICH
+    + " UNION ALL ".join(
+        [f"SELECT 'totals' AS section, {i} AS place, '{name}' AS name, n, oppose, support, unclear, oppose_pct, CASE WHEN oppose + support > 0 THEN 100 - oppose_pct ELSE 0 END AS support_pct, {_pct('n', '(SELECT count(*) FROM rich)')} AS pct, '' AS samples FROM (SELECT {_SPLIT} FROM rich WHERE {cond})" for i, (name, cond) in enumerate(_TOTALS, 1)]
+        + [_ranked(*x) for x in _SECTIONS]
+    )
+)
+def whole_briefing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.whole_briefing(rich(spark, sf_dir)).withColumn("samples", F.array_join("samples", ","))
+
+
 # --- model runs -----------------------------------------------------------------------------------------------------
 
 _ANSWERED = r"""CASE WHEN regexp_matches(p, '(?i)idiot|disgusting') THEN 'Position: Oppose' WHEN regexp_matches(p, '(?i)\bthe\b') THEN 'Position: Support' ELSE '' END"""

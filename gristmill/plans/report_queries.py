@@ -45,7 +45,8 @@ j AS (SELECT k.lang AS concern, a.pos FROM k JOIN a USING (k))
 def concern_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every submission counts; every distinct text is classified once."""
     c = comments(spark, sf_dir)
-    out = dedup.spread(c, CLASSIFIER.classify(dedup.representatives(c))).withColumn("position", position.shown(F.col("analysis")))
+    keyed = dedup.prints(c)
+    out = dedup.spread(c, CLASSIFIER.classify(dedup.representatives(c, keyed)), keyed).withColumn("position", position.shown(F.col("analysis")))
     s = report.split_counts(out, "lang").withColumnRenamed("lang", "concern")
     return s.select("concern", "n", "oppose", "support", "unclear", numbers.display_pct(F.col("oppose"), F.col("n")).alias("oppose_share"), numbers.display_pct(F.col("support"), F.col("n")).alias("support_share"))
 

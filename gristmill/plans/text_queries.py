@@ -10,6 +10,7 @@ from gristmill.operators import dedup, flags, infer, ingest, model, report
 from gristmill.plans.registry import query
 from gristmill.sources import files
 from gristmill.sources.fixture import COMMENTS_SQL, comments, table
+from gristmill.storage import scratch_path
 
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 KEY = "lower(" + STRIP.format("text") + ")"
@@ -88,6 +89,17 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.with_html_text(table(spark, sf_dir, "pages")).select("page_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, doc_id, md5(text) AS body FROM documents")
+def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as a bulk export with quoted line breaks, read in ranges: every row where it stood."""
+    path = scratch_path(spark, "export")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write
+    out.options(header=True, escape='"', emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    rows = files.read_export(spark, path, ["doc_id", "text"])
+    return rows.select("row_idx", F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("body"))
+
+
 @query(
     r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, CAST(len(coalesce(text, '')) AS DOUBLE) AS n FROM documents),
     c AS (SELECT *, n - len(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g')) AS control, n - len(regexp_replace(text, '\pL', '', 'g')) AS letters,
@@ -185,7 +197,8 @@ def rule_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_CLASSIFIED} SELECT k.doc_id AS row_idx, tags, kind FROM k JOIN t USING (k)")
 def merge_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = comments(spark, sf_dir)
-    out = dedup.spread(c, CLASSIFIER.classify(dedup.representatives(c)))
+    keyed = dedup.prints(c)
+    out = dedup.spread(c, CLASSIFIER.classify(dedup.representatives(c, keyed)), keyed)
     return out.select("row_idx", F.array_join("analysis.stances", " | ").alias("tags"), F.col("analysis.entity_type").alias("kind"))
 
 
@@ -199,8 +212,9 @@ def merge_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def localize_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = comments(spark, sf_dir)
-    reps = dedup.representatives(c).select("text_key", F.struct(F.col("submitter").alias("entity_name"), F.col("organization").alias("state_quote"), "total_count").alias("analysis"))
-    rows = dedup.spread(c, reps).select("*", "analysis.*").withColumn("state_identified", F.lit("CA"))
+    keyed = dedup.prints(c)
+    reps = dedup.representatives(c, keyed).select("text_key", F.struct(F.col("submitter").alias("entity_name"), F.col("organization").alias("state_quote"), "total_count").alias("analysis"))
+    rows = dedup.spread(c, reps, keyed).select("*", "analysis.*").withColumn("state_identified", F.lit("CA"))
     own = F.concat_ws(" ", "submitter", "organization", "text")
     return dedup.localize(rows, own).select("row_idx", "entity_name", "state_quote", "state_identified")
 

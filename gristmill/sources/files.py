@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -181,6 +183,22 @@ def rule_sections(xml: str, part: str | None = None) -> list[dict[str, str]]:
     return out
 
 
+def sections(documents: DataFrame, part: str | None = None) -> DataFrame:
+    """path, place, number, sectno, heading, amendment, text of the sections of rules in XML (path, xml), many documents at once.
+
+    A document that isn't well formed is an error; null or blank ones have no sections.
+    """
+    names = ["number", "sectno", "heading", "amendment", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, xml in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = rule_sections(xml, part) if xml and xml.strip() else []
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array(range(len(found)), pa.int32()), *(pa.array([f[n] for f in found], pa.string()) for n in names)], ["path", "place", *names])
+
+    return documents.select(F.col("path").cast("string").alias("path"), F.col("xml").cast("string").alias("xml")).mapInArrow(run, "path string, place int, " + ", ".join(f"{n} string" for n in names))
+
+
 # --- attachments ----------------------------------------------------------------------------------------------------
 
 #: fixed value: what stands between the texts of two attachments

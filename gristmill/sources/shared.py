@@ -16,7 +16,7 @@ def write_file(uri: str, data: bytes) -> None:
     """Under another name first, so that a reader never sees half a file."""
     where, path = located(uri)
     where.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with where.open_output_stream(path + ".part") as f:
+    with where.open_output_stream(path + ".part", compression=None) as f:
         f.write(data)
     where.move(path + ".part", path)
 
@@ -26,5 +26,5 @@ def read_file(uri: str) -> bytes | None:
     where, path = located(uri)
     if where.get_file_info(path).type == fs.FileType.NotFound:
         return None
-    with where.open_input_stream(path) as f:
+    with where.open_input_stream(path, compression=None) as f:  # as it is, whatever the name ends with
         return f.read()

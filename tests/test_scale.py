@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.operators import chunks, cluster, evaluate, export, ingest, skew
-from gristmill.sources import files, listing, sinks
+from gristmill.operators import chunks, cluster, evaluate, export, gates, ingest, skew
+from gristmill.sources import files, listing, packs, sinks
 from gristmill.streaming import incremental
 
 
@@ -239,3 +239,64 @@ def test_cursors(spark):
         start = {"since": "", "seen": []}
         for _ in range(9):
             _, start = listing.window(lambda s, p: same[(p - 1) * 4 : p * 4], start, 4, 3)
+
+
+# --- packed caches --------------------------------------------------------------------------------------------------
+
+CACHE = "doc string, filename string, text string"
+
+
+def cached(spark, n=60):
+    rows = [(f"D-{i % 20}/x", f"file {i}.pdf", f"text {i} é\n" * (i % 9)) for i in range(n)]
+    return rows, spark.createDataFrame([*rows, ("D-1", "blank.pdf", " \n"), ("D-1", "none.pdf", None)], CACHE)
+
+
+def test_caches_are_packed_and_come_back(spark, tmp_path):
+    rows, cache = cached(spark)
+    full = [r for r in rows if r[2].strip()]
+    target = f"{tmp_path}/store"
+    assert packs.push(cache, target, archive_bytes=300) == len(full)
+    assert len(list((tmp_path / "store").glob("*/*.tar.gz"))) > 5
+    assert sorted(tuple(r) for r in packs.pull(spark, target).collect()) == sorted(full)
+    local = spark.createDataFrame([(*full[0][:2], "done again here"), ("own", "a.txt", "only here"), (*full[1][:2], "")], CACHE)
+    got = {(r["doc"], r["filename"]): r["text"] for r in packs.refresh(local, target).collect()}
+    assert got == {r[:2]: r[2] for r in full} | {full[0][:2]: "done again here", ("own", "a.txt"): "only here"}
+    with pytest.raises(gates.Refused, match="would replace"):
+        packs.push(cache.limit(5), target)
+    assert packs.pull(spark, target).count() == len(full)
+    packs.push(cache.where("doc = 'D-7/x'"), target, force=True)
+    assert packs.pull(spark, target).select("doc").distinct().count() == 1
+
+
+@pytest.mark.parametrize("harm", ["empty", "gone", "short", "other"])
+def test_harmed_archives_are_refused(spark, tmp_path, harm):
+    target = f"{tmp_path}/store"
+    packs.push(cached(spark)[1], target, archive_bytes=500)
+    a, b, *_ = sorted((tmp_path / "store").glob("*/*.tar.gz"))
+    if harm == "gone":
+        a.unlink()
+    else:
+        a.write_bytes({"empty": b"", "short": a.read_bytes()[:-9], "other": b.read_bytes()}[harm])
+    with pytest.raises(Exception, match="empty or absent" if harm in ("empty", "gone") else "not what was written"):
+        packs.pull(spark, target)
+
+
+def test_nothing_is_pushed_or_pulled(spark, tmp_path):
+    with pytest.raises(gates.Refused, match="nothing to push"):
+        packs.push(spark.createDataFrame([("a", "b", " ")], CACHE), f"{tmp_path}/store")
+    with pytest.raises(gates.Refused, match="nothing was pushed"):
+        packs.pull(spark, f"{tmp_path}/store")
+
+
+# --- rules ----------------------------------------------------------------------------------------------------------
+
+
+def test_sections_of_many_rules(spark):
+    section = lambda no, text: f"<SECTION><SECTNO>§ {no}</SECTNO><SUBJECT>On {no}</SUBJECT><P>{text}</P><P>more</P></SECTION>"
+    one = f"<RULE><AMDPAR>1. Revise</AMDPAR>{section('none', 'x')}{section('200.1', 'first')}{section('300.2', 'second')}</RULE>"
+    rows = spark.createDataFrame([("a", one), ("b", f"<R>{section('200.9', 'third')}</R>"), ("c", None), ("d", " ")], "path string, xml string")
+    got = [tuple(r) for r in files.sections(rows).orderBy("path", "place").collect()]
+    assert [r[:3] for r in got] == [("a", 0, "200.1"), ("a", 1, "300.2"), ("b", 0, "200.9")]
+    assert got[0][4:] == ("On 200.1", "1. Revise", "first\n\nmore") and got[1][5] == ""
+    assert [r["number"] for r in files.sections(rows, "300").collect()] == ["300.2"]
+    assert files.sections(rows.limit(0)).count() == 0
