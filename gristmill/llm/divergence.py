@@ -32,13 +32,15 @@ from pyspark.sql.window import Window
 
 from gristmill.llm.bytewords import LETTERS, cut, slices, table
 from gristmill.operators.skew import lookup
-from gristmill.storage import materialize
+from gristmill.storage import materialize, small_batches
 
 SCALE = 1_000_000_000
 LEAST_DOCS = 3
 TOP_TERMS = 200
 #: Terms of a chunk, groups of a block, chunks that one task goes over.
 CHUNK, BLOCK, RUN = 1 << 14, 16, 8
+#: Rows of texts and of packed counts that go to Python at once.
+TEXT_ROWS, PACKED_ROWS = 1000, 64
 #: Counts below this stay within 64 bits when they are scaled.
 WIDE = 9_000_000_000
 #: Rows of a table of groups that is sent to all tasks; a longer one is joined.
@@ -75,7 +77,8 @@ def kept_terms(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     cells = counted(docs).groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     every = Window.partitionBy("lang", "term")  # a row a source
     cells = cells.withColumns({"in_docs": F.sum("docs").over(every), "total": F.sum("n").over(every), "first": F.col("source") == F.min("source").over(every)})
-    return materialize(cells.where((F.col("in_docs") >= least_docs) | F.col("term").isNull()).select("lang", "source", "term", "n", "total", "first"), "divergence-cells")
+    with small_batches(docs.sparkSession, TEXT_ROWS):
+        return materialize(cells.where((F.col("in_docs") >= least_docs) | F.col("term").isNull()).select("lang", "source", "term", "n", "total", "first"), "divergence-cells")
 
 
 def groups_of(cells: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -195,7 +198,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def pairs(cells: DataFrame, groups: DataFrame, few: bool, chunk: int = CHUNK, run: int = RUN) -> DataFrame:
-    """lang, source, item (another source), value of all pairs."""
+    """lang, source, item (another source), value of all pairs, stored."""
     terms = cells.where("term is not null")
     chunks = max(1, -(-terms.where("first").count() // chunk))
     terms = terms.withColumn("chunk", F.pmod(F.xxhash64("term"), F.lit(chunks)).cast("int"))
@@ -212,7 +215,8 @@ def pairs(cells: DataFrame, groups: DataFrame, few: bool, chunk: int = CHUNK, ru
     tile = ["lang", "i", "j", "run"]
     sent = sent.select(*tile, "chunk", "block", "source", "words", "vocabulary", "pos", "n").repartition(*tile).sortWithinPartitions(*tile, "chunk", "block", "source")
     parts = sent.mapInArrow(_tiles, "lang string, source string, item string, value long")
-    return parts.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    with small_batches(cells.sparkSession, PACKED_ROWS):
+        return materialize(parts.groupBy("lang", "source", "item").agg(F.sum("value").alias("value")), "divergence-pairs")
 
 
 def overused(cells: DataFrame, groups: DataFrame, few: bool) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm.bytewords import DIGITS, LETTERS, cut, slices, table
-from gristmill.storage import materialize
+from gristmill.storage import materialize, small_batches
 
 THRESHOLD = 0.9
 #: Words of templates that tasks are given; beyond it, scan in several runs.
@@ -219,8 +219,9 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, thre
     tokens = sorted({w for _, t in templates for w in words(t)})
     if len(tokens) > MOST_TOKENS:
         raise ValueError(f"the templates have {len(tokens)} words; a scan takes {MOST_TOKENS} at most")
-    index = Index(templates, _counts(docs, tokens), threshold)
-    rows = scanned(docs, index, phrases)
+    with small_batches(docs.sparkSession):
+        index = Index(templates, _counts(docs, tokens), threshold)
+        rows = scanned(docs, index, phrases)
     met = joined(rows, index).groupBy("row").agg(F.collect_set("label").alias("met"), F.max("containment").alias("best"))
     found = F.coalesce("met", F.array().cast("array<string>"))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0)))
