@@ -13,6 +13,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gristmill.functions.text import gibberish, strip, text_or_empty
 from gristmill.sources.files import FORMATS
@@ -20,6 +21,7 @@ from gristmill.sources.files import FORMATS
 #: fixed values: pictures, the largest one that is sent to a client, how it says that there is no text, pages of a scan it may see
 PICTURES = (".png", ".jpg", ".jpeg", ".gif", ".webp")
 PICTURE_BYTES, NO_TEXT, SCAN_PAGES = 5 * 1024 * 1024, "EMPTY", 20
+KEY = ["doc", "filename"]
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -149,10 +151,43 @@ def extracted(files: DataFrame, readers: dict[str, Callable[[bytes], str]] | Non
     return out.withColumns({"reason": F.when(broken, "gibberish").otherwise(F.col("reason")), "text": F.when(broken, "").otherwise(F.col("text"))})
 
 
-# --- the cache ------------------------------------------------------------------------------------------------------
+#: fixed value: a page with so many readable characters needs no client
+PAGE_CHARS = 100
 
-KEY = ["doc", "filename"]
 
+def scanned_pages(pages: DataFrame, least: int = PAGE_CHARS, most: int = SCAN_PAGES) -> DataFrame:
+    """Of ``pages`` (doc, filename, page, text, ink, others) those with something on them but no readable text; the first ``most`` of a file.
+
+    ``scans`` tells how many of the file's pages are such.  Pages without ink are blank and need no one to say so.
+    """
+    readable = (F.length(strip("text")) >= least) & ~gibberish(strip("text"))
+    needy = pages.where(F.coalesce(F.col("ink"), F.lit(False)) & ~F.coalesce(readable, F.lit(False)))
+    counts = needy.groupBy(*KEY).agg(F.count(F.lit(1)).alias("scans"))
+    first = needy.withColumn("_k", F.row_number().over(Window.partitionBy(*KEY).orderBy("page"))).where(F.col("_k") <= most).drop("_k")
+    return first.join(counts, KEY)
+
+
+def read_scans(pages: DataFrame, ocr: OcrClient, least: int = PAGE_CHARS, most: int = SCAN_PAGES) -> DataFrame:
+    """doc, filename, text, scans, asked of every file with scanned pages: what a client reads on them, in order, a line break between.
+
+    ``pages`` has ``picture``, the page drawn as PNG.  A page that is too large, empty, gibberish or fails gives nothing.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for i in range(0, len(frame), 16):
+                part = frame.iloc[i : i + 16]
+                yield part.drop(columns="picture").assign(read=[read_file("page.png", bytes(c) if c is not None else b"", {}, ocr)[0] for c in part["picture"]])
+
+    shown = scanned_pages(pages, least, most).select(*KEY, "page", "scans", "picture")
+    kinds = dict(shown.dtypes)
+    told = shown.mapInPandas(run, ", ".join(f"{n} {kinds[n]}" for n in (*KEY, "page", "scans")) + ", read string")
+    told = told.withColumn("read", F.when(~gibberish("read"), F.col("read")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(strip("read") != "", F.struct("page", "read")))), lambda x: x["read"]), "\n")
+    return told.groupBy(*KEY).agg(text.alias("text"), F.max("scans").alias("scans"), F.count(F.lit(1)).alias("asked"))
+
+
+# --- the cache ------------------------------------------------------------------------------------------------------
 
 def answers(cache: DataFrame) -> DataFrame:
     """Cached texts that are any: an empty one is no answer."""

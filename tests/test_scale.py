@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gristmill.operators import chunks, cluster, evaluate, export, gates, ingest, skew
-from gristmill.sources import files, listing, packs, sinks
+from gristmill.sources import attachments, files, listing, packs, sinks
 from gristmill.streaming import incremental
 
 
@@ -300,3 +300,29 @@ def test_sections_of_many_rules(spark):
     assert got[0][4:] == ("On 200.1", "1. Revise", "first\n\nmore") and got[1][5] == ""
     assert [r["number"] for r in files.sections(rows, "300").collect()] == ["300.2"]
     assert files.sections(rows.limit(0)).count() == 0
+
+
+# --- scanned pages --------------------------------------------------------------------------------------------------
+
+
+def test_pages_without_readable_text_are_read_by_a_client(spark):
+    class Eyes:
+        """Reads what a picture says, and fails or finds nothing where it says so."""
+
+        def read(self, content, extension):
+            assert extension == ".png"
+            if content == b"fail":
+                raise RuntimeError("no answer")
+            return content.decode()
+
+    clear, many = "This page has a text layer that anyone can read, as it is made of words and they are many. " * 2, 25
+    page = lambda doc, i, text, ink, picture: (doc, "f.pdf", i, text, ink, picture)
+    said = lambda i: f"What stands on page number {i} of the scan".encode()
+    rows = [page("a", 0, clear, True, said(0)), page("a", 1, "", True, said(1)), page("a", 2, None, False, said(2)), page("a", 3, "\x01\x02" * 80, True, said(3)), page("a", 4, "short", True, b"empty"), page("a", 5, "", True, b"fail"), page("a", 6, "", True, None)]
+    rows += [page("b", i, "", True, said(i)) for i in range(many)] + [page("c", 0, clear, True, said(0))]
+    pages = spark.createDataFrame(rows, "doc string, filename string, page int, text string, ink boolean, picture binary").repartition(3)
+    got = {r["doc"]: r for r in attachments.read_scans(pages, Eyes()).collect()}
+    assert got.keys() == {"a", "b"}
+    assert got["a"]["text"] == "\n".join(said(i).decode() for i in (1, 3)) and (got["a"]["scans"], got["a"]["asked"]) == (5, 5)
+    assert got["b"]["text"] == "\n".join(said(i).decode() for i in range(20)) and (got["b"]["scans"], got["b"]["asked"]) == (many, 20)
+    assert attachments.read_scans(pages.limit(0), Eyes()).count() == 0
