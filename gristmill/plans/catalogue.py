@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.plans import page_queries, report_queries, text_queries
+from gristmill.plans import page_queries, report_queries, state_queries, text_queries
 from gristmill.plans.registry import QUERIES, SQL, Query
 
-MODULES = (text_queries, report_queries, page_queries)  # importing them enters their queries
+MODULES = (text_queries, report_queries, page_queries, state_queries)  # importing them enters their queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
