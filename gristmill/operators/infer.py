@@ -242,12 +242,16 @@ def clean_lines(block: Column) -> Column:
 
 
 def single_lines(lines: Column) -> Column:
-    """The lines that come once, whatever their case, in their order: equal ones stand side by side once sorted."""
+    """The lines that come once, whatever their case, in their order: equal ones stand side by side once sorted.
+
+    Each sorted line is zipped with its neighbours, so that no line looks at the whole list.
+    """
     placed = F.array_sort(F.transform(lines, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("i"), x.alias("line"))))
-    low = F.transform(placed, lambda p: p["low"])
-    same = lambda i, by: F.coalesce(F.try_element_at(low, i + 1 + by) == F.element_at(low, i + 1), F.lit(False))
-    once = F.filter(placed, lambda _, i: ~same(i, 1) & ~F.when(i > 0, same(i, -1)).otherwise(False))
-    return F.transform(F.array_sort(F.transform(once, lambda p: F.struct(p["i"].alias("i"), p["line"].alias("line")))), lambda p: p["line"])
+    low, none = F.transform(placed, lambda p: p["low"]), F.array(F.lit(None).cast("string"))
+    rest = F.greatest(F.size(lines) - 1, F.lit(0))
+    beside = F.arrays_zip(placed, F.concat(none, F.slice(low, F.lit(1), rest)), F.concat(F.slice(low, F.lit(2), rest), none))
+    once = F.filter(beside, lambda z: z["0"].isNotNull() & ~z["0"]["low"].eqNullSafe(z["1"]) & ~z["0"]["low"].eqNullSafe(z["2"]))
+    return F.transform(F.array_sort(F.transform(once, lambda z: F.struct(z["0"]["i"].alias("i"), z["0"]["line"].alias("line")))), lambda p: p["line"])
 
 
 def signers(rows: DataFrame, block: str) -> DataFrame:

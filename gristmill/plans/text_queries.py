@@ -371,8 +371,8 @@ def verify_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT d.doc_id, md5(coalesce(string_agg(x, '|' ORDER BY i) FILTER (n = 1), '')) AS names, coalesce(count(*) FILTER (n = 1), 0) AS count FROM documents d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id"""
 )
 def signer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    once = infer.single_lines(infer.clean_lines(F.col("text")))
-    return table(spark, sf_dir, "documents").withColumn("n", once).select("doc_id", F.md5(F.array_join("n", "|")).alias("names"), F.size("n").cast("long").alias("count"))
+    d = table(spark, sf_dir, "documents").withColumn("_l", infer.clean_lines(F.col("text")))
+    return d.withColumn("n", infer.single_lines(F.col("_l"))).select("doc_id", F.md5(F.array_join("n", "|")).alias("names"), F.size("n").cast("long").alias("count"))
 
 
 _CLEAN = r"x <> '' AND NOT regexp_matches(x, '(?i)^(page\s*)?\d+(\s*of\s*\d+)?$') AND NOT regexp_matches(x, '^\d{1,3}\s+\S') AND NOT regexp_matches(x, '(?i)^(sincerely|very truly yours|yours truly|respectfully( submitted)?|regards|best regards|cordially)[,.]?$') AND NOT regexp_matches(x, '\sv\.\s.+\(\d{4}\)$')"

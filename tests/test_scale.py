@@ -60,6 +60,20 @@ def test_strata_are_cut_before_the_shuffle(spark):
     assert evaluate.stratified(d, "s", {}, "doc_id").count() == 0
 
 
+def test_single_lines_of_long_letters(spark):
+    from collections import Counter
+
+    from gristmill.operators import infer
+
+    rng = random.Random(4)
+    letters = [[], ["a"], ["a", "A"], ["b", "a", "b"], ["é", "É", "x"], [f"Name {rng.randint(0, 9000)}" for _ in range(12_000)]]
+    df = spark.createDataFrame(list(enumerate(letters)), "k int, lines array<string>")
+    got = {r["k"]: r["once"] for r in df.select("k", infer.single_lines(F.col("lines")).alias("once")).collect()}
+    for k, lines in enumerate(letters):
+        n = Counter(x.lower() for x in lines)
+        assert got[k] == [x for x in lines if n[x.lower()] == 1]
+
+
 # --- chunks ---------------------------------------------------------------------------------------------------------
 
 
