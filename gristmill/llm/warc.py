@@ -35,6 +35,8 @@ from gristmill.operators.skew import lookup
 from gristmill.storage import materialize, scratch_path
 
 SEGMENT_BYTES = 32_768
+#: pages that refer to others, of some 80 bytes each, which are sent to all tasks; more are joined
+FEW_REFS = 100_000
 #: what the query writes: pages have some 3 KB
 QUERY_SEGMENT = 2048
 CHUNK_BYTES = 4096
@@ -156,7 +158,8 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0, segment_
     # who refers to whom by digests alone, a payload of many pages in groups; then by page, which no payload makes hot
     refs = lookup(rows.select("page_id", "sha"), again, ["sha"], "page_id").where("page_id is null or page_id <> rep").distinct()
     refs = materialize(refs.select(F.col("page_id").alias("r_page"), F.col("sha").alias("r_sha"), "rep"), "warc-refs")
-    rows = rows.join(refs, F.col("page_id").eqNullSafe(F.col("r_page")) & (F.col("sha") == F.col("r_sha")), "left")
+    few = refs.count() <= FEW_REFS  # then no payload is shuffled
+    rows = rows.join(F.broadcast(refs) if few else refs, F.col("page_id").eqNullSafe(F.col("r_page")) & (F.col("sha") == F.col("r_sha")), "left")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, n = [], 0, 0

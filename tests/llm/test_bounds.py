@@ -24,7 +24,9 @@ def test_few_pairs_still_tell_languages(spark, sf):
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.9
 
 
-def test_a_payload_of_many_pages(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_a_payload_of_many_pages(spark, monkeypatch, few):
+    monkeypatch.setattr(warc, "FEW_REFS", few)
     rows = spark.createDataFrame([(i, "u", "" if i % 3 == 0 else "same page" if i % 3 == 1 else f"page {i} " * 300) for i in range(240)] + [(None, "u", "same page"), (7, "u", "same page")], "page_id long, url string, html string")
     got = warc.reassemble(warc.fragments(warc.write_archives(rows, scratch_path(spark, "t"), segment_bytes=400))).collect()
     assert len(got) == 242 and all(r["status"] == "ok" for r in got)
