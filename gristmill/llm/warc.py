@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.files import read_range, write_file
 from gristmill.operators.skew import lookup
-from gristmill.storage import materialize, scratch_path
+from gristmill.storage import materialize, remove, scratch_path
 
 SEGMENT_BYTES = 32_768
 #: pages that refer to others, of some 80 bytes each, which are sent to all tasks; more are joined
@@ -276,5 +276,7 @@ def reassemble(parts: DataFrame) -> DataFrame:
 
 def op8_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of ``QUERY_SEGMENT`` bytes, so that most pages come in several records."""
-    manifest = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), scratch_path(spark, "warc"), segment_bytes=QUERY_SEGMENT)
-    return reassemble(fragments(manifest))
+    folder = scratch_path(spark, "warc")
+    parts = fragments(write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder, segment_bytes=QUERY_SEGMENT))
+    remove(spark, folder)  # read to the end; what follows works on the stored records
+    return reassemble(parts)
