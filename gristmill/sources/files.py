@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Collection, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -129,6 +130,10 @@ def read_ids(spark: SparkSession, path: str, notes: list[str] = (), clip: int =
     return ids.where(text_or_empty("id") != "").select("id", "entry", short.alias("note")).dropDuplicates(["id"])
 
 
+#: an ampersand, and what a semicolon closes behind it
+REFERENCE = re.compile(r"&(#?\w+;)?")
+
+
 class _Text(HTMLParser):
     def __init__(self) -> None:
         super().__init__()
@@ -146,24 +151,29 @@ class _Text(HTMLParser):
             self.parts.append(data.strip())
 
 
-def html_to_text(html: str) -> str:
+def html_to_text(html: str, references: Collection[str] | None = None) -> str:
+    """The texts between tags, a line each.
+
+    ``references``: the only names that stand for a character, and only closed; without it all of HTML's do, closed or not.
+    """
+    if references is not None:
+        html = REFERENCE.sub(lambda m: m[0] if m[1] and m[1][:-1] in references else "&amp;" + m[0][1:], html)
     p = _Text()
     p.feed(html)
     p.close()
     return "\n".join(p.parts)
 
 
-def with_html_text(pages: DataFrame, html: str = "html") -> DataFrame:
+def with_html_text(pages: DataFrame, html: str = "html", references: Collection[str] | None = None) -> DataFrame:
     @F.pandas_udf("string")
     def convert(s):
-        return s.fillna("").map(html_to_text)
+        return s.fillna("").map(lambda x: html_to_text(x, references))
 
     return pages.withColumn("text", convert(F.col(html)))
 
 
 def rule_sections(xml: str, part: str | None = None) -> list[dict[str, str]]:
     """Sections of a rule in reading order; an amendment before a section goes to the next section that has a number."""
-    import re
     from xml.etree import ElementTree
 
     text = lambda e: " ".join("".join(e.itertext()).split()) if e is not None else ""
