@@ -60,5 +60,8 @@ def from_cursor(c: Column) -> Column:
 
 
 def withdrawn_candidates(listed: DataFrame, known: DataFrame, mark: str, modified: str = "modified", key: str = "id") -> DataFrame:
-    """Known rows that were modified after the high-water mark; the mark itself moves by ``remote.next_mark``."""
+    """Known rows that were modified after the high-water mark, in parts of a second too if ``modified`` has them.
+
+    ``modified`` is a time, or text that sorts as one; the mark itself moves by ``remote.next_mark``.
+    """
     return listed.where(F.col(modified) > mark).join(known.select(key), key, "left_semi")

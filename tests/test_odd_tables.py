@@ -21,3 +21,10 @@ def test_references_that_end_within_a_text(spark, tmp_path):
     texts = ["<h1>a &amp</h1>b", "<p>a&am</p><p>&</p>&amp;&amp", "<p>&quo</p>&ampx; &copy &copy; &amp;lt; &lt;&#60;", "x &middot", "&nbsp;&lt", ""]
     got, want = both(spark, tmp_path, "html_text", pages=spark.createDataFrame(list(enumerate(texts)), "page_id long, html string"))
     assert got == want
+
+
+def test_modified_within_the_second_of_the_mark(spark, tmp_path):
+    times = ["11:59:59.999999", "12:00:00", "12:00:00.000001", "12:00:00.302911", "12:00:01", None]
+    events = spark.createDataFrame([(i, t and f"2024-01-02 {t}") for i, t in enumerate(times)], "event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got, want = both(spark, tmp_path, "withdrawn_candidates", events=events, documents=spark.range(9).toDF("doc_id"))
+    assert got == want == [(2,), (3,), (4,)]
