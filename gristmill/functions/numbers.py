@@ -6,11 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def display_pct(count: Column, total: Column, decimals: int = 1) -> Column:
-    """Percent with ``decimals`` places, or as many more (up to 12) as a first digit other than zero needs."""
+def display_pct(count: Column, total: Column, decimals: int = 1, most: int = 12) -> Column:
+    """Percent with ``decimals`` places, or as many more (up to ``most``) as a first digit other than zero needs."""
     pct = count.cast("double") / F.nullif(total.cast("double"), F.lit(0.0)) * 100
-    steps = [F.nullif(F.bround(pct, d), F.lit(0.0)) for d in range(decimals, 12)]
-    return F.when((count == 0) | count.isNull() | total.isNull() | (total == 0), 0.0).otherwise(F.coalesce(*steps, F.bround(pct, 12)))
+    steps = [F.nullif(F.bround(pct, d), F.lit(0.0)) for d in range(decimals, most)]
+    return F.when((count == 0) | count.isNull() | total.isNull() | (total == 0), 0.0).otherwise(F.coalesce(*steps, F.bround(pct, most)))
 
 
 def split_pct(part: Column, other: Column) -> Column:

@@ -28,3 +28,9 @@ def test_modified_within_the_second_of_the_mark(spark, tmp_path):
     events = spark.createDataFrame([(i, t and f"2024-01-02 {t}") for i, t in enumerate(times)], "event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     got, want = both(spark, tmp_path, "withdrawn_candidates", events=events, documents=spark.range(9).toDF("doc_id"))
     assert got == want == [(2,), (3,), (4,)]
+
+
+def test_shares_that_five_places_do_not_show(spark, tmp_path):
+    rows = spark.range(20_000_100).select(F.greatest(F.col("id") - 20_000_000, F.lit(0)).alias("l_orderkey"))
+    got, want = both(spark, tmp_path, "display_percent", lineitem=rows)
+    assert got == want and dict(got)[7] == 0
