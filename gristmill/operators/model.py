@@ -344,13 +344,16 @@ def find_signers(rows: DataFrame, trigger: Column, text: str, model: Model, syst
     return with_signers(rows, ask_all(picked, key, signer_prompt(F.col(text)), model, system, calls), text, key)
 
 
-def with_signers(rows: DataFrame, said: DataFrame, text: str, key: str = "row_idx") -> DataFrame:
-    """``rows`` with the signers that answers (key, answer; null: the call failed) point at, and the outcome (null: not asked)."""
+def with_signers(rows: DataFrame, said: DataFrame, text: str, key: str = "row_idx", rounds: int = 5) -> DataFrame:
+    """``rows`` with the signers that answers (key, answer; null: the call failed) point at, and the outcome (null: not asked).
+
+    A block goes on behind its last quote up to ``rounds`` times (``slice_blocks``); with 0 it is as it was quoted.
+    """
     first, last = quotes_of(F.col("answer"))
     told = said.select(key, (F.get_json_object("answer", "$.has_cosigners") == "true").alias("_said"), first.alias("_first"), last.alias("_last"), text_or_empty(F.get_json_object("answer", "$.reasoning")).alias("_why"), F.col("answer").isNotNull().alias("_told"))
     found = rows.select(key, F.col(text).alias("_text")).join(told.where("_said"), key)
     cut = F.col("block") != ""  # no filter: it would be pushed down through all that the block is made of
-    parsed = signers(slice_blocks(found, "_text", "_first", "_last"), "block").select(key, F.when(cut, F.col("names")).alias("_names"), F.when(cut, F.col("count")).alias("_count"))
+    parsed = signers(slice_blocks(found, "_text", "_first", "_last", rounds=rounds), "block").select(key, F.when(cut, F.col("names")).alias("_names"), F.when(cut, F.col("count")).alias("_count"))
     told = told.select(key, F.struct(F.when(F.col("_told"), F.coalesce("_said", F.lit(False))).alias("said"), F.col("_why").alias("why")).alias("_t"))
     out, a, said_ = rows.join(told.join(parsed, key, "left"), key, "left"), F.col("analysis"), F.col("_t.said")
     asked = F.col("_t").isNotNull()

@@ -34,3 +34,12 @@ def test_shares_that_five_places_do_not_show(spark, tmp_path):
     rows = spark.range(20_000_100).select(F.greatest(F.col("id") - 20_000_000, F.lit(0)).alias("l_orderkey"))
     got, want = both(spark, tmp_path, "display_percent", lineitem=rows)
     assert got == want and dict(got)[7] == 0
+
+
+def test_blocks_end_where_their_quotes_do(spark, tmp_path):
+    texts = {2: "Dear Sir, " * 13 + "\nthe end im.\n" + "Einte im.\n" * 25 + "Einte", 4: "the " * 25 + "Zu und. Die Ann Lee.\nBob Roe wrote a longer line than any of the others, which comes once, and that is not the last.\nZu und. Die Ann Lee."}
+    d = spark.createDataFrame([(i, t, "de", "src0") for i, t in texts.items()], "doc_id long, text string, lang string, source string")
+    events = spark.range(9).select(F.col("id").alias("event_id"), F.lit("2024-01-02").cast("timestamp_ntz").alias("ts"))
+    labels = spark.range(9).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    got, want = both(spark, tmp_path, "checked_signers", documents=d, events=events, labels=labels)
+    assert got == want and [r[1] for r in got] == ["found", "found"]
