@@ -6,16 +6,20 @@ The service is a callable from (since, page) to rows, given by import path, so t
 from __future__ import annotations
 
 import json
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from importlib import import_module
+from itertools import pairwise
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from gristmill.sources import shared
+from gristmill.storage import scratch_path
 
-PAGE_ROWS, PAGES = 250, 20
+PAGE_ROWS, PAGES, WINDOWS = 250, 20, 50
 
 
 def walk(fetch: Callable[[str, int], list[dict]], since: str = "", page_rows: int = PAGE_ROWS, pages: int = PAGES) -> Iterator[dict]:
@@ -49,16 +53,50 @@ def from_file(path: str, page_rows: int = PAGE_ROWS) -> Callable[[str, int], lis
     return fetch
 
 
+def in_order(rows: DataFrame, name: str) -> str:
+    """Store a table as ``from_table`` serves it, by modified and id in small row groups; its path."""
+    path = scratch_path(rows.sparkSession, name)
+    rows.orderBy("modified", "id").write.option("parquet.block.size", 1 << 20).parquet(path)
+    return path
+
+
 def from_table(path: str, page_rows: int = PAGE_ROWS) -> Callable[[str, int], list[dict]]:
-    """A stand-in for a service: a stored table with id, modified and others, in pages by modified and id."""
+    """A stand-in for a service: a table that ``in_order`` stored, in pages by modified and id.
+
+    Of the table, footers are read at first and then the row groups in which a page lies; two are kept.
+    """
     import pyarrow.parquet as pq
 
     where, at = shared.located(path)
-    rows = pq.read_table(at, filesystem=where).sort_by([("modified", "ascending"), ("id", "ascending")])
-    times = rows.column("modified").to_pylist()
+    groups, tops, ends = [], [], []  # file and number of a row group, its last time, rows up to its end
+    for f in sorted(x.path for x in where.get_file_info(fs.FileSelector(at)) if x.path.endswith(".parquet")):
+        with where.open_input_file(f) as opened:
+            meta = pq.read_metadata(opened)
+        column = meta.schema.names.index("modified")
+        for i in range(meta.num_row_groups):
+            times = meta.row_group(i).column(column).statistics
+            if tops and times.min < tops[-1]:
+                raise ValueError(f"{path} isn't stored in order of modified")
+            groups.append((f, i))
+            tops.append(times.max)
+            ends.append((ends[-1] if ends else 0) + meta.row_group(i).num_rows)
+
+    @lru_cache(2)
+    def group(k: int):
+        with where.open_input_file(groups[k][0]) as opened:
+            rows = pq.ParquetFile(opened).read_row_group(groups[k][1])
+        return rows, rows.column("modified").to_pylist(), ends[k] - rows.num_rows
 
     def fetch(since: str, page: int) -> list[dict]:
-        return rows.slice(bisect_left(times, since) + (page - 1) * page_rows, page_rows).to_pylist()
+        k = bisect_left(tops, since)
+        if k == len(tops):
+            return []
+        at = group(k)[2] + bisect_left(group(k)[1], since) + (page - 1) * page_rows
+        out: list[dict] = []
+        while len(out) < page_rows and at + len(out) < ends[-1]:
+            rows, _, before = group(bisect_right(ends, at + len(out)))
+            out += rows.slice(at + len(out) - before, page_rows - len(out)).to_pylist()
+        return out
 
     return fetch
 
@@ -86,6 +124,22 @@ def window(fetch: Callable[[str, int], list[dict]], start: dict, page_rows: int
     return list(out.values()), {"since": last, "seen": sorted(seen)}
 
 
+def behind(fetch: Callable[[str, int], list[dict]], start: dict, page_rows: int = PAGE_ROWS, pages: int = PAGES) -> dict:
+    """The cursor that ``window`` ends with, from the last page alone where the service lists so many (and one time doesn't fill it)."""
+    rows = fetch(start["since"], pages)
+    if len(rows) < page_rows:
+        return window(fetch, start, page_rows, pages)[1]
+    last = max(r["modified"] for r in rows)
+    if last == start["since"]:
+        raise Stalled(f"{pages * page_rows} rows or more were modified at {last!r}")
+    seen, page = {r["id"] for r in rows if r["modified"] == last}, pages
+    while page > 1 and all(r["modified"] == last for r in rows):
+        page -= 1
+        rows = fetch(start["since"], page)
+        seen |= {r["id"] for r in rows if r["modified"] == last}
+    return {"since": last, "seen": sorted(seen)}
+
+
 def between(fetch: Callable[[str, int], list[dict]], start: dict, end: dict, page_rows: int = PAGE_ROWS, pages: int = PAGES) -> Iterator[dict]:
     """The rows between two cursors, as they are listed now: a batch that is done again."""
     ends = set(end["seen"])
@@ -108,7 +162,7 @@ class ListingSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return _StreamReader(self.options)
 
 
@@ -136,23 +190,56 @@ class _Reader(_Service, DataSourceReader):
         yield from map(self.row, walk(self.fetch(), self.options.get("since", ""), *self.limits))
 
 
-class _StreamReader(_Service, SimpleDataSourceStreamReader):
-    """A batch is what the service lists at once; its offset is the cursor."""
+class _Span(InputPartition):
+    """The rows between two cursors."""
+
+    def __init__(self, start: dict, end: dict):
+        self.start, self.end = start, end
+
+
+class _StreamReader(_Service, DataSourceStreamReader):
+    """A batch is some windows, each of which is what the service lists at once; its offset is the cursor behind them.
+
+    The driver asks for cursors, tasks for rows, one for each window.
+    """
+
+    def __init__(self, options):
+        super().__init__(options)
+        self.windows = int(options.get("windows", WINDOWS))
+        self.at: dict | None = None
+        self.planned: list[dict] = []
 
     def initialOffset(self) -> dict:
         return {"since": self.options.get("since", ""), "seen": []}
 
-    def read(self, start: dict):
+    def latestOffset(self) -> dict:
         if not hasattr(self, "asked"):
             self.asked = self.fetch()
-        rows, end = window(self.asked, start, *self.limits)
-        return iter([self.row(r) for r in rows]), end
-
-    def readBetweenOffsets(self, start: dict, end: dict):
-        return iter([self.row(r) for r in between(self.fetch(), start, end, *self.limits)])
+        self.planned = [self.at or self.initialOffset()]
+        for _ in range(self.windows):
+            try:
+                end = behind(self.asked, self.planned[-1], *self.limits)
+            except Exception:
+                if len(self.planned) == 1:
+                    raise
+                break  # what came before is a batch, and the next one is asked for this again
+            if end == self.planned[-1]:
+                break
+            self.planned.append(end)
+        self.at = self.planned[-1]
+        return self.at
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        """A batch of an earlier run, which Spark asks for first when it goes on, is one task."""
+        self.at = self.at or end
+        cuts = self.planned if self.planned and (self.planned[0], self.planned[-1]) == (start, end) else [start, end]
+        return [_Span(a, b) for a, b in pairwise(cuts) if a != b]
+
+    def read(self, partition: _Span) -> Iterator[tuple]:
+        return map(self.row, between(self.fetch(), partition.start, partition.end, *self.limits))
 
     def commit(self, end: dict) -> None:
-        pass
+        self.at = self.at or end
 
 
 def _options(path: str, since: str, page_rows: int, pages: int, service: str) -> dict[str, str]:
@@ -168,7 +255,7 @@ def read_listing(spark: SparkSession, path: str, since: str = "", page_rows: int
     return spark.read.format("listing").options(**_options(path, since, page_rows, pages, service)).load()
 
 
-def stream_listing(spark: SparkSession, path: str, since: str = "", page_rows: int = PAGE_ROWS, pages: int = PAGES, service: str = FILE) -> DataFrame:
-    """The listing as a stream, a batch for every ``pages`` pages; its place survives in the checkpoint of the query that reads it."""
+def stream_listing(spark: SparkSession, path: str, since: str = "", page_rows: int = PAGE_ROWS, pages: int = PAGES, service: str = FILE, windows: int = WINDOWS) -> DataFrame:
+    """The listing as a stream, up to ``windows`` times ``pages`` pages a batch; its place survives in the checkpoint of the query that reads it."""
     spark.dataSource.register(ListingSource)
-    return spark.readStream.format("listing").options(**_options(path, since, page_rows, pages, service)).load()
+    return spark.readStream.format("listing").options(windows=str(windows), **_options(path, since, page_rows, pages, service)).load()

@@ -37,7 +37,15 @@ def follow_listing(listed: DataFrame, target: str, state: str, key: str = "id")
     A run that breaks off, in the service or here, goes on where its last whole batch ended.
     """
     spark = listed.sparkSession
-    query = listed.writeStream.foreachBatch(lambda batch, _: merge(batch, target, key)).option("checkpointLocation", state).start()
+
+    def append(batch: DataFrame, _: int) -> None:
+        batch.persist()  # the service is asked once
+        try:
+            merge(batch, target, key)
+        finally:
+            batch.unpersist()
+
+    query = listed.writeStream.foreachBatch(append).option("checkpointLocation", state).start()
     try:
         query.processAllAvailable()
     finally:

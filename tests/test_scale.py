@@ -2,6 +2,7 @@
 
 import json
 import random
+from bisect import bisect_left
 
 import pytest
 from pyspark.sql import functions as F
@@ -340,3 +341,63 @@ def test_pages_without_readable_text_are_read_by_a_client(spark):
     assert got["a"]["text"] == "\n".join(said(i).decode() for i in (1, 3)) and (got["a"]["scans"], got["a"]["asked"]) == (5, 5)
     assert got["b"]["text"] == "\n".join(said(i).decode() for i in range(20)) and (got["b"]["scans"], got["b"]["asked"]) == (many, 20)
     assert attachments.read_scans(pages.limit(0), Eyes()).count() == 0
+
+
+def test_cursors_from_last_pages():
+    rng = random.Random(4)
+    for _ in range(60):
+        rows = sorted(({"id": f"{i}", "modified": f"{rng.randrange(30):03}"} for i in range(rng.randrange(90))), key=lambda r: (r["modified"], r["id"]))
+        fetch = lambda since, page, rows=rows: [r for r in rows if r["modified"] >= since][(page - 1) * 4 : page * 4]
+        start = {"since": "", "seen": []}
+        while True:
+            end = listing.window(fetch, start, 4, 4)[1]
+            assert listing.behind(fetch, start, 4, 4) == end
+            if end == start:
+                break
+            start = end
+        assert not rows or start["since"] == rows[-1]["modified"]
+    same = [{"id": f"s{i}", "modified": "t"} for i in range(40)]
+    with pytest.raises(listing.Stalled):
+        listing.behind(lambda s, p: same[(p - 1) * 4 : p * 4], {"since": "t", "seen": []}, 4, 3)
+
+
+def test_a_long_table_is_served_in_parts(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    n, read = 300_000, []
+    id = F.col("id").cast("string")
+    rows = spark.range(n).select(F.md5(id).alias("id"), F.format_string("%07d", F.col("id") % 90_001).alias("modified"), F.sha1(id).alias("x"))
+    path = listing.in_order(rows, "served")
+    monkeypatch.setattr(pq, "read_table", None)
+    one = pq.ParquetFile.read_row_group
+    monkeypatch.setattr(pq.ParquetFile, "read_row_group", lambda f, i: read.append(f.metadata.row_group(i).num_rows) or one(f, i))
+    plain = sorted((r["modified"], r["id"]) for r in rows.select("modified", "id").collect())
+    times = [t for t, _ in plain]
+    for since in ("", "0000500", "0050000", "0090000", "1"):
+        del read[:]
+        fetch = listing.from_table(path, 700)
+        for page in (1, 2, 7):
+            at = bisect_left(times, since) + (page - 1) * 700
+            assert [(r["modified"], r["id"]) for r in fetch(since, page)] == plain[at : at + 700]
+        assert sum(read) < n / 3
+    path = listing.scratch_path(spark, "unordered")
+    rows.coalesce(1).write.option("parquet.block.size", 1 << 20).parquet(path)
+    with pytest.raises(ValueError, match="order"):
+        listing.from_table(path)
+
+
+def test_the_driver_asks_a_listing_for_cursors_and_tasks_for_rows(tmp_path):
+    rows = [{"id": f"{i:04}", "modified": f"{i // 3:05}"} for i in range(5000)]
+    path = tmp_path / "l.jsonl"
+    path.write_text("\n".join(map(json.dumps, rows)))
+    reader = listing.ListingSource({"path": str(path), "pagerows": "20", "pages": "10", "windows": "9"}).streamReader(None)
+    fetch, got = reader.fetch(), []
+    reader.asked = lambda since, page: got.append(x := fetch(since, page)) or x
+    start, found = reader.initialOffset(), []
+    while (end := reader.latestOffset()) != start:
+        tasks = reader.partitions(start, end)
+        assert len(tasks) <= 9
+        found += [[r[0] for r in reader.read(t)] for t in tasks]
+        start = end
+    assert [i for task in found for i in task] == [r["id"] for r in rows] and max(map(len, found)) <= 200
+    assert sum(map(len, got)) < len(rows) / 3
